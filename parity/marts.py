@@ -353,7 +353,7 @@ def _(spark, sf):
 _PROVINCE_UNDERWRITERS = """SELECT province, underwriter, count(DISTINCT issuer) AS issuers, count(*) AS bonds,
         round(sum(issue_amount), 2) AS issue_amount,
         round(CAST(count(*) AS DOUBLE) / nullif(count(DISTINCT issuer), 0), 2) AS bonds_per_issuer
-    FROM (SELECT province, issuer, issue_amount, trim(unnest(string_split(underwriters, ','))) AS underwriter FROM bond)
+    FROM (SELECT province, issuer, issue_amount, trim(u) AS underwriter FROM bond, unnest(string_split(underwriters, ',')) AS t(u))
     WHERE underwriter <> '' GROUP BY province, underwriter"""
 
 
