@@ -68,12 +68,6 @@ def rating_rank(c) -> Column:
     return F.coalesce(lookup(c, RATING_RANK), F.lit(0))
 
 
-def list_items(c, mark: str = ",", drop_blank: bool = False) -> Column:
-    """Trimmed elements of a text list. Empty elements stay unless drop_blank."""
-    items = F.transform(F.split(c, mark), trim_spaces)
-    return F.filter(items, lambda x: x != "") if drop_blank else items
-
-
 def joined_names(c) -> Column:
     """Aggregate: distinct names in order, as one text."""
     return F.array_join(F.sort_array(F.collect_set(c)), LIST_MARK)

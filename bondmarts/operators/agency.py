@@ -53,16 +53,14 @@ def agency_landscape(e: DataFrame) -> DataFrame:
 def agency_list(bond: DataFrame, by=("province",)) -> DataFrame:
     """All agencies named for issuers or bonds, with the bonds they rate the issuer of, in that order."""
 
-    def names(column: str, counted: Column) -> DataFrame:
-        named = bond.filter(F.col(column).isNotNull() & (strip_text(column) != ""))
-        return named.groupBy(*by, column).agg(F.count("*").alias("n")).select(
-            *by, strip_text(column).alias("agency"), counted.alias("n")
-        )
-
-    # Only a cell equal to the stripped name counts as a bond of the agency.
-    own = F.when(F.col("issuer_agency") == strip_text("issuer_agency"), F.col("n")).otherwise(F.lit(0))
-    both = names("issuer_agency", own).unionByName(names("bond_agency", F.lit(0).cast("bigint")))
-    return both.groupBy(*by, "agency").agg(F.sum("n").alias("issuer_bonds"))
+    # Only a cell equal to its stripped name counts as a bond of the agency.
+    own = F.when(F.col("issuer_agency") == strip_text("issuer_agency"), 1).otherwise(0)
+    cells = F.array(
+        F.struct(strip_text("issuer_agency").alias("agency"), own.alias("n")),
+        F.struct(strip_text("bond_agency").alias("agency"), F.lit(0).alias("n")),
+    )
+    named = bond.select(*by, F.explode(cells).alias("a")).select(*by, "a.agency", "a.n")
+    return named.filter("agency is not null and agency != ''").groupBy(*by, "agency").agg(F.sum("n").alias("issuer_bonds"))
 
 
 def agency_listing(agencies: DataFrame, by=("province",)) -> DataFrame:

@@ -3,13 +3,18 @@
 from pyspark.sql import DataFrame, functions as F
 
 from bondmarts.constants import LIST_MARK
-from bondmarts.functions.text import list_items
+from bondmarts.functions.text import trim_spaces
 
 
 def exploded(df: DataFrame, column: str, name: str, mark: str = ",", drop_blank: bool = False) -> DataFrame:
-    """One row per trimmed list element in a new column; the list column goes, a null list gives no row."""
+    """One row per trimmed list element in a new column; the list column goes, a null list gives no row.
+
+    Empty elements stay unless drop_blank. Elements are trimmed after the explode, which keeps the whole
+    step in generated code; an array function with a lambda would leave it.
+    """
     others = [c for c in df.columns if c not in (column, name)]
-    return df.select(*others, F.explode(list_items(column, mark, drop_blank)).alias(name))
+    items = df.select(*others, F.explode(F.split(column, mark)).alias(name)).withColumn(name, trim_spaces(name))
+    return items.filter(F.col(name) != "") if drop_blank else items
 
 
 def list_names(df: DataFrame, column: str, by=(), name: str = "issuer") -> DataFrame:

@@ -1,9 +1,9 @@
 """Which underwriters share clients with which rating agency."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bondmarts import constants as K
-from bondmarts.functions.text import joined_names
+from bondmarts.functions.text import joined_names, trim_spaces
 from bondmarts.operators.filters import filter_eq, rated
 from bondmarts.operators.lists import exploded, list_names
 from bondmarts.operators.ranking import top_rows
@@ -14,14 +14,17 @@ def scope(bond: DataFrame) -> DataFrame:
     return rated(bond.filter("province is not null and underwriters is not null and underwriters != ''"))
 
 
-def agency_issuers(bond: DataFrame) -> DataFrame:
-    """Distinct province, issuer and agency, from issuer and bond ratings."""
+def agency_issuers(bond: DataFrame, with_all: bool = False) -> DataFrame:
+    """Distinct province, issuer and agency, from issuer and bond ratings, in one scan.
 
-    def named(column: str) -> DataFrame:
-        rows = bond.filter(F.col(column).isNotNull() & (F.col(column) != "")).select("province", "issuer", column)
-        return exploded(rows, column, "agency")
-
-    return named("issuer_agency").unionByName(named("bond_agency")).distinct()
+    with_all adds one row without agency for every issuer.
+    """
+    none = F.array().cast("array<string>")
+    names = [F.when(F.col(c) != "", F.split(c, ",")).otherwise(none) for c in ("issuer_agency", "bond_agency")]
+    if with_all:
+        names.append(F.array(F.lit(None).cast("string")))
+    rows = bond.select("province", "issuer", F.explode(F.concat(*names)).alias("agency"))
+    return rows.withColumn("agency", trim_spaces("agency")).distinct()
 
 
 def underwriter_issuers(bond: DataFrame, drop_blank: bool = False) -> DataFrame:
@@ -51,26 +54,33 @@ def grade(shared: Column, main_at: int) -> Column:
 def partner_network(bond: DataFrame, main_at: int = K.MAIN_PARTNER_AT, lists: bool = True) -> DataFrame:
     """Clients of each underwriter and those shared with each agency, by province.
 
-    With lists the client names are joined to one text per row, which must fit into memory; without, only
-    counts are kept, and `shared_clients` and `underwriter_issuers` give the names as rows.
+    Every issuer has a row without agency beside those of its agencies, so one join and one aggregation give
+    the shared clients and, in the group without agency, all clients. With lists the client names are joined
+    to one text per row, which must fit into memory; without, only counts are kept, and `shared_clients`
+    and `underwriter_issuers` give the names as rows.
     """
-
-    def summary(rows: DataFrame, by, count: str, names: str) -> DataFrame:
-        listed = [joined_names("issuer").alias(names)] if lists else []
-        return rows.groupBy(*by).agg(F.count("issuer").alias(count), *listed)
-
-    totals = summary(underwriter_issuers(scope(bond)), ["province", "underwriter"], "total_issuers", "total_list")
-    shared = summary(shared_clients(bond), ["province", "agency", "underwriter"], "shared_issuers", "shared_list")
-    joined = totals.join(shared, ["province", "underwriter"], "left")
-    count = F.coalesce("shared_issuers", F.lit(0))
-    return joined.select(
+    rows = scope(bond)
+    pairs = underwriter_issuers(rows).join(agency_issuers(rows, with_all=True), ["province", "issuer"])
+    names = [joined_names("issuer").alias("names")] if lists else []
+    clients = pairs.groupBy("province", "underwriter", "agency").agg(F.count("*").alias("n"), *names)
+    # A window over the few agencies of one underwriter.
+    underwriter = W.partitionBy("province", "underwriter")
+    everyone = F.col("agency").isNull()
+    placed = clients.select(
+        "*",
+        F.max(F.when(everyone, F.col("n"))).over(underwriter).alias("total_issuers"),
+        *([F.max(F.when(everyone, F.col("names"))).over(underwriter).alias("total_list")] if lists else []),
+        F.count("agency").over(underwriter).alias("_agencies"),
+    ).filter("agency is not null or _agencies = 0")
+    shared = F.when(everyone, F.lit(0)).otherwise(F.col("n"))
+    return placed.select(
         "province",
         F.coalesce("agency", F.lit(K.UNKNOWN_AGENCY)).alias("agency"),
         "underwriter", "total_issuers",
         *(["total_list"] if lists else []),
-        count.alias("shared_issuers"),
-        *([F.coalesce("shared_list", F.lit("")).alias("shared_list")] if lists else []),
-        grade(count, main_at).alias("grade"),
+        shared.alias("shared_issuers"),
+        *([F.when(everyone, F.lit("")).otherwise(F.col("names")).alias("shared_list")] if lists else []),
+        grade(shared, main_at).alias("grade"),
     )
 
 
