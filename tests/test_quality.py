@@ -1,0 +1,142 @@
+import pytest
+
+from bondmarts.operators import decisions, issuers, quality
+from bondmarts.schema import CANDIDATE
+from bondmarts.sources import staging
+from conftest import rows
+
+FULL = {"security_name": "b", "issuer": "i", "province": "P", "city": "C", "rating": "AA", "issuer_agency": "x", "admin_level": "地市级"}
+METRICS = {"total_assets": 1.0, "net_assets": 1.0, "revenue": 1.0, "net_profit": 1.0, "leverage": 1.0}
+
+
+def many(n, **holes):
+    """n full rows; holes names a column and the rows where it is null."""
+    return [{**FULL, **METRICS, **{c: None for c, at in holes.items() if i in at}} for i in range(n)]
+
+
+def test_few_nulls_are_dropped_with_a_note(spark, bonds):
+    clean, notes = quality.check_bond(bonds(*many(100, issuer={0, 1}, city={1, 2})))
+    assert clean.count() == 97
+    # Row 1 is gone already when the city is looked at.
+    assert notes == ["issuer: 2 rows without value dropped (2.0%)", "city: 1 rows without value dropped (1.0%)"]
+
+
+def test_too_many_nulls_fail(spark, bonds):
+    with pytest.raises(ValueError, match=r"issuer is null in 3.0%.*\['000', '001', '002'\]"):
+        quality.check_bond(bonds(*many(100, issuer={0, 1, 2})))
+
+
+def test_empty_and_missing_columns_fail(spark, bonds):
+    with pytest.raises(ValueError, match=r"without any value: \['rating'\]"):
+        quality.check_bond(bonds(*many(3, rating={0, 1, 2})))
+    with pytest.raises(ValueError, match=r"missing: \['city'\]"):
+        quality.check_bond(bonds(*many(3)).drop("city"))
+
+
+def test_mostly_null_columns_are_noted(spark, bonds):
+    _, notes = quality.check_bond(bonds(*many(10, revenue=set(range(9)), leverage=set(range(8)))))
+    assert notes == ["revenue: 90.0% of the values are null"]
+
+
+def test_empty_table_passes(spark, bonds):
+    clean, notes = quality.check_bond(bonds())
+    assert clean.count() == 0 and notes == []
+
+
+def staged_fiscal(spark, data, columns=("城市", "一般公共预算收入")):
+    return staging.stage_fiscal(spark.createDataFrame(data, list(columns)), "P", "2021")
+
+
+def test_fiscal_checks(spark):
+    quality.check_fiscal(staged_fiscal(spark, [("A", "-"), ("B", "2")]))
+    with pytest.raises(ValueError, match="city repeated A"):
+        quality.check_fiscal(staged_fiscal(spark, [("A", "1"), ("A", "2"), ("A", "3")]))
+    with pytest.raises(ValueError, match="city missing"):
+        quality.check_fiscal(staged_fiscal(spark, [(None, "1"), ("A", "2")]))
+    with pytest.raises(ValueError, match="column missing revenue"):
+        quality.check_fiscal(staged_fiscal(spark, [("A", "1")], ("城市", "收入")))
+
+
+def joined(spark, n, matched):
+    return spark.createDataFrame([("P", f"c{i}", 1.0 if i < matched else None) for i in range(n)], "province string, city string, city_fiscal double")
+
+
+def test_join_audit(spark):
+    before = joined(spark, 100, 0)
+    assert quality.audit_join(before, joined(spark, 100, 80)) == []
+    assert quality.audit_join(before, joined(spark, 101, 101)) == []
+    warning = quality.audit_join(before, joined(spark, 100, 79))
+    assert len(warning) == 1 and "79.0%" in warning[0] and "c99" in warning[0]
+    with pytest.raises(ValueError, match="x1.02"):
+        quality.audit_join(before, joined(spark, 102, 102))
+
+
+def test_platform_mismatch(spark, bonds, fiscal):
+    df = bonds(
+        *[{**FULL, "issuer": f"i{c}", "city": c, "admin_level": "省级"} for c in ("A", "B", "C", "D")],
+        {**FULL, "issuer": "low", "city": "A"},
+    )
+    e = issuers.enriched(df, fiscal(("A", 1.0, "P"), ("B", 1.0, "P"), ("C", 9.0, "P")))
+    got = quality.platform_mismatch(e, q=0.75)
+    assert rows(got, "issuer", "limit_fiscal", "fiscal_rank", "total_cities") == [("iA", 5.0, 2, 3), ("iB", 5.0, 2, 3)]
+    assert got.filter("issuer = 'iA'").first().message == "主体：iA | 平台行政级别：省级 | 城市：A | 排名：2/3"
+    assert quality.platform_mismatch(e).count() == 0
+
+
+def test_table_diff(spark):
+    a = spark.createDataFrame([("k1", 1.0, 5), ("k2", 2.0, None), ("k3", 3.0, 7)], "key string, x double, y int")
+    b = spark.createDataFrame([("k1", 1.05, 5), ("k2", 2.5, 6), ("k4", 9.0, 9)], "key string, x double, y int")
+    got = rows(quality.table_diff(a, b, "key", ["x", "y"]))
+    assert got == [("x", 2, 0.5, "k2", 1, 1, False), ("y", 1, 0.0, "k1", 1, 1, True)]
+    assert {r.within for r in quality.table_diff(a, b, "key", ["x"], atol=0.5).collect()} == {True}
+    same = quality.table_diff(a, a, "key", ["x", "y"])
+    assert rows(same, "max_diff", "only_a", "only_b", "within") == [(0.0, 0, 0, True)] * 2
+    assert rows(quality.row_count_diff(a, b)) == [(3, 3, True)]
+    assert rows(quality.key_diff(a, b, "key")) == [("k3", "a"), ("k4", "b")]
+    assert quality.scalar_diff(1, 1.04) and not quality.scalar_diff(1, 1.06) and quality.scalar_diff("a", "a") and not quality.scalar_diff("a", None)
+
+
+BENCH = [("P", "全部", "全部", "AA", m, 5, 10.0, 20.0, 30.0) for m in ("total_assets", "net_assets", "revenue", "leverage")] + [
+    ("P", "全部", "全部", "AA", "net_profit", 0, None, None, None)
+]
+BENCH_SCHEMA = "province string, city string, admin_level string, rating string, metric string, n long, q1 double, median double, q3 double"
+
+
+def candidate(name, **values):
+    row = {"candidate_id": name, "province": "P", "city": " ", "rating": "AA", **values}
+    return tuple(row.get(c) for c in CANDIDATE.names)
+
+
+def scores(spark, *candidates):
+    return decisions.score_candidates(spark.createDataFrame(list(candidates), CANDIDATE), spark.createDataFrame(BENCH, BENCH_SCHEMA))
+
+
+@pytest.mark.parametrize("value, high, low", [(30.0, 3, 1), (29.9, 2, 1), (20.0, 2, 2), (10.0, 1, 3), (9.9, 0, 3), (30.1, 3, 0)])
+def test_scores_by_quartile(spark, value, high, low):
+    got = dict(rows(scores(spark, candidate("a", revenue=value, leverage=value)), "metric", "score"))
+    assert got == {"revenue": high, "leverage": low}
+
+
+def test_unusable_inputs_are_skipped(spark):
+    got = scores(spark, candidate("a", revenue=0.0, net_profit=5.0, total_assets=None), candidate("b", province="Q", revenue=5.0))
+    assert got.count() == 0
+
+
+def test_derived_leverage(spark):
+    df = spark.createDataFrame(
+        [candidate("a", total_assets=3.0, net_assets=1.0), candidate("b", total_assets=3.0, net_assets=1.0, leverage=50.0), candidate("c", total_assets=0.0, net_assets=1.0), candidate("d", total_assets=3.0)],
+        CANDIDATE,
+    )
+    assert rows(decisions.with_leverage(df), "candidate_id", "leverage") == [("a", 66.7), ("b", 50.0), ("c", None), ("d", None)]
+
+
+def test_verdict_limits(spark):
+    def scored(name, *values):
+        return [(name, f"m{i}", v) for i, v in enumerate(values)]
+
+    data = scored("a", 3, 2, 2, 1, 3, 2, 3, 1, 2, 3, 1, 3, 1, 3, 1, 3, 1, 2, 1, 1) + scored("b", 2, 1, 2, 2, 2) + scored("c", 1, 1, 1) + scored("d", 2, 2, 0, 0, 0, 1, 2)
+    got = {r.candidate_id: r for r in decisions.verdict(spark.createDataFrame(data, "candidate_id string, metric string, score int")).collect()}
+    assert (got["a"].ratio, got["a"].verdict, got["a"].score_pct) == (0.65, "建议承做", 65)
+    assert (got["b"].verdict, got["b"].score_pct) == ("谨慎评估", 60)
+    assert got["c"].verdict == "暂不建议"
+    assert got["d"].verdict == "暂不建议" and got["d"].ratio < 0.35
