@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from bondmarts import constants as K
 from bondmarts.functions.numeric import round_to
 from bondmarts.functions.text import city_short
-from bondmarts.operators.filters import filter_eq
+from bondmarts.operators.filters import filter_eq, matches
 from bondmarts.schema import CITY_COORDS
 
 # All windows of this file run over tables of one row per city, or per city, rating and level.
@@ -87,9 +87,13 @@ def city_bubbles(e: DataFrame, coords: DataFrame, **wanted) -> DataFrame:
 
     Ranks count all cities of the province that match the filters and have revenue, shown or not.
     """
-    cities = filter_eq(e, **wanted).filter("city is not null").groupBy("province", "city").agg(
-        F.count("*").alias("issuers"),
-        F.max_by("rating", "rating_rank").alias("top_rating"),
+    # Counted per rating first, by hash; the text-valued max_by needs a sort and gets only those counts.
+    ratings = filter_eq(e, **wanted).filter("city is not null").groupBy("province", "city", "rating", "rating_rank").agg(
+        F.count("*").alias("issuers"), F.max("city_fiscal").alias("city_fiscal")
+    )
+    cities = ratings.groupBy("province", "city").agg(
+        F.sum("issuers").alias("issuers"),
+        F.max_by("rating", F.when(F.col("rating").isNotNull(), F.struct("rating_rank", "rating"))).alias("top_rating"),
         F.max("city_fiscal").alias("city_fiscal"),
     )
     province = W.partitionBy("province")
@@ -125,11 +129,11 @@ def city_breakdown(e: DataFrame, **wanted) -> DataFrame:
 
 def empty_cities(e: DataFrame, fiscal: DataFrame | None, **wanted) -> DataFrame:
     """Cities of the issuers or the fiscal data without an issuer that matches the filters."""
-    known = e.select("city")
+    cities = e.select("city", F.coalesce(matches(**wanted), F.lit(False)).alias("active"))
     if fiscal is not None:
-        known = known.unionByName(fiscal.select("city"))
-    active = filter_eq(e, **wanted).select("city").distinct()
-    return known.filter("city is not null").distinct().join(active, "city", "left_anti")
+        cities = cities.unionByName(fiscal.select("city", F.lit(False).alias("active")))
+    found = cities.filter("city is not null").groupBy("city").agg(F.max("active").alias("active"))
+    return found.filter("not active").select("city")
 
 
 def map_centre(cities: DataFrame, coords: DataFrame) -> DataFrame:

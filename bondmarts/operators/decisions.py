@@ -63,7 +63,8 @@ def score_candidates(candidates: DataFrame, bench: DataFrame) -> DataFrame:
     """Score 3, 2, 1 or 0 per candidate and metric against the quartiles of the target slice.
 
     A blank city, level or rating targets all. High is good, except for leverage. Inputs that are null or
-    0 and metrics without benchmark give no row. `bench` is the long form of `bench_cube`.
+    0 and metrics without benchmark give no row. `bench` is the long form of `bench_cube`; pass it stored, so
+    that the planner knows its size when it joins the candidates.
     """
     target = {c: F.when(not_blank(c), F.col(c)).otherwise(F.lit(K.ALL)) for c in ("city", "admin_level", "rating")}
     pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in K.METRICS]

@@ -1,5 +1,8 @@
 """Slices: province, optional equality, agency clients, case and issuer lists."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bondmarts.functions.numeric import ratio
@@ -12,12 +15,14 @@ def province_slice(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("province").contains(name[:2]))
 
 
-def filter_eq(df: DataFrame, **wanted) -> DataFrame:
+def matches(**wanted) -> Column:
     """column == value for every value given; empty or None means no condition."""
-    for column, value in wanted.items():
-        if value:
-            df = df.filter(F.col(column) == value)
-    return df
+    conditions = [F.col(column) == value for column, value in wanted.items() if value]
+    return reduce(and_, conditions, F.lit(True))
+
+
+def filter_eq(df: DataFrame, **wanted) -> DataFrame:
+    return df.filter(matches(**wanted))
 
 
 def rated(df: DataFrame) -> DataFrame:

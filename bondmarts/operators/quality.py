@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from bondmarts import constants as K
 from bondmarts.functions.numeric import ratio
+from bondmarts.operators.lists import key_sets
+from bondmarts.storage import store
 
 
 def bond_null_report(bond: DataFrame) -> DataFrame:
@@ -142,21 +144,22 @@ def audit_join(before: DataFrame, after: DataFrame) -> list[str]:
 def platform_mismatch(e: DataFrame, q: float = K.PLATFORM_QUANTILE) -> DataFrame:
     """Province-level issuers in cities whose revenue is below the province's q-quantile of cities.
 
-    Ranks and quantiles run over one row per city.
+    Ranks and quantiles run over one row per city; that table is written, so the planner knows its size
+    when it joins. Pass stored issuers, they are read twice.
     """
     cities = e.filter("city_fiscal is not null and city is not null").groupBy("province", "city").agg(
         F.max("city_fiscal").alias("_fiscal")
     )
-    limits = cities.groupBy("province").agg(
-        F.percentile("_fiscal", F.lit(float(q))).alias("limit_fiscal"), F.count("*").alias("total_cities")
+    province = W.partitionBy("province")
+    ranked = cities.select(
+        "province", "city",
+        F.percentile("_fiscal", F.lit(float(q))).over(province).alias("limit_fiscal"),
+        F.count("*").over(province).alias("total_cities"),
+        F.rank().over(province.orderBy(F.desc("_fiscal"))).cast("bigint").alias("fiscal_rank"),
     )
-    ranked = cities.withColumn(
-        "fiscal_rank", F.rank().over(W.partitionBy("province").orderBy(F.desc("_fiscal"))).cast("bigint")
-    ).drop("_fiscal")
     platforms = e.filter(F.col("admin_level") == K.PROVINCE_LEVEL)
     return (
-        platforms.join(ranked, ["province", "city"])
-        .join(limits, "province")
+        platforms.join(store(ranked), ["province", "city"])
         .filter(F.col("city_fiscal") < F.col("limit_fiscal"))
         .select(
             "issuer", "province", "city", "admin_level", "city_fiscal", "limit_fiscal", "fiscal_rank", "total_cities",
@@ -183,22 +186,22 @@ def table_diff(a: DataFrame, b: DataFrame, key: str, columns, atol: float = 0.1)
         return per_key.withColumn(f"_{side}", F.lit(1))
 
     both = numbers(a, "a").join(numbers(b, "b"), key, "full")
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"a_{c}").alias("x"), F.col(f"b_{c}").alias("y")) for c in columns]
-    long = both.select(key, "_a", "_b", F.explode(F.array(*pairs)).alias("p")).select(
-        key, "_a", "_b", "p.column_name", F.abs(F.col("p.x") - F.col("p.y")).alias("diff")
-    )
-    worst = F.max(F.when(F.col("diff").isNotNull(), F.struct(F.col("diff"), F.col(key).alias("k"))))
-    result = long.groupBy("column_name").agg(
-        F.count("diff").alias("compared"),
-        F.max("diff").alias("max_diff"),
-        worst.alias("_worst"),
-        F.count_if(F.col("_b").isNull()).alias("only_a"),
-        F.count_if(F.col("_a").isNull()).alias("only_b"),
-    )
-    return result.select(
-        "column_name", "compared", "max_diff", F.col("_worst.k").alias("worst_key"), "only_a", "only_b",
-        (F.coalesce(F.col("max_diff"), F.lit(0.0)) <= F.lit(float(atol))).alias("within"),
-    )
+    cells = []
+    for c in columns:
+        diff = F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))
+        worst = F.max(F.when(diff.isNotNull(), F.struct(diff.alias("diff"), F.col(key).alias("k"))))
+        cells.append(
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count(diff).alias("compared"),
+                F.max(diff).alias("max_diff"),
+                worst["k"].alias("worst_key"),
+                F.count_if(F.col("_b").isNull()).alias("only_a"),
+                F.count_if(F.col("_a").isNull()).alias("only_b"),
+                (F.coalesce(F.max(diff), F.lit(0.0)) <= F.lit(float(atol))).alias("within"),
+            )
+        )
+    return both.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
 
 
 def row_count_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -220,7 +223,4 @@ def scalar_diff(value_a, value_b, atol: float = 0.05) -> bool:
 
 def key_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct keys found on one side only, with the side."""
-    a, b = a.select(key).filter(F.col(key).isNotNull()).distinct(), b.select(key).filter(F.col(key).isNotNull()).distinct()
-    only_a = a.join(b, key, "left_anti").withColumn("side", F.lit("a"))
-    only_b = b.join(a, key, "left_anti").withColumn("side", F.lit("b"))
-    return only_a.unionByName(only_b)
+    return key_sets(a, b, key).filter(F.col(key).isNotNull() & (F.col("side") != "both"))

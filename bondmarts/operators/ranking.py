@@ -13,18 +13,21 @@ def numbered(
     by: Sequence[str] = (),
     name: str = "seq",
     totals: dict[str, Column] | None = None,
+    order_only: Sequence[str] = (),
 ) -> DataFrame:
     """row_number() over (partition by `by` order by `order`), with a group free to span many tasks.
 
     A window would bring a whole group into one task. Here the rows are range-sorted, so a hot group is
     cut into several sorted blocks, and the number is the count of rows in earlier blocks of the group
     plus the position in the own block. The sorted table is written once, which fixes the block
-    borders; only one row per block and group is summed in a window. `order` should end in a unique key.
+    borders; only one row per block and group is summed in a window. Those rows are written too, so that the
+    planner knows their size: it broadcasts them below the session's limit and else sort-merges.
 
-    `totals` adds group-wide counts (aggregates that sum over blocks) to every row.
+    `order` should end in a unique key. `totals` adds group-wide counts (aggregates that sum over blocks)
+    to every row. Columns in `order_only` are not part of the result.
     """
     by, totals = list(by), totals or {}
-    ordered = df.orderBy(*by, *order).withColumn("_pos", F.monotonically_increasing_id())
+    ordered = df.orderBy(*by, *order).withColumn("_pos", F.monotonically_increasing_id()).drop(*order_only)
     ordered = store(ordered).withColumn("_block", F.shiftright("_pos", 33))
     blocks = ordered.groupBy(*by, "_block").agg(
         F.min("_pos").alias("_first"),
@@ -42,7 +45,8 @@ def numbered(
     same = F.col("_block") == F.col("_b")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return ordered.join(blocks, same).select(*df.columns, (F.col("_pos") + F.col("_shift")).alias(name), *totals)
+    kept = [c for c in df.columns if c not in order_only]
+    return ordered.join(store(blocks), same).select(*kept, (F.col("_pos") + F.col("_shift")).alias(name), *totals)
 
 
 def quantiles(
@@ -68,6 +72,7 @@ def quantiles(
         by=[*by, "metric"],
         name="_rank",
         totals={"_n": F.count("value")},
+        order_only=["_salt"],
     )
     spot = {p: (F.col("_n") - 1) * F.lit(float(q)) for p, q in probs.items()}
     stats = ranked.groupBy(*by, "metric").agg(

@@ -73,7 +73,7 @@ TABLES = {
         LEFT JOIN province_fiscal f ON b.province = f.province AND b.city = f.city""",
     "coords": """
         SELECT n_name AS city, CAST(n_nationkey AS DOUBLE) / 2 + 100 AS lon, CAST(n_nationkey AS DOUBLE) / 4 + 20 AS lat
-        FROM nation WHERE n_nationkey % 5 <> 4""",
+        FROM nation""",
     "candidates": """
         SELECT c_name AS candidate_id, r_name AS province,
             CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN n_name ELSE '' END AS city,

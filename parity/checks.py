@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from bondmarts import constants as K
 from bondmarts.operators import agency, bench, decisions, issuers, kpi, quality
+from bondmarts.storage import store
 from parity import projection as P
 from parity.base import query
 from parity.marts import CUBE, matrix_tables
@@ -91,7 +92,7 @@ def _(spark, sf):
     {"cities": "SELECT DISTINCT province, city, city_fiscal AS f FROM enriched WHERE city_fiscal IS NOT NULL"},
 )
 def _(spark, sf):
-    return quality.platform_mismatch(enriched(spark, sf))
+    return quality.platform_mismatch(store(enriched(spark, sf)))
 
 
 _KPI_COLUMNS = ["issuers", "bonds", "cities"]
@@ -185,7 +186,7 @@ _SCORES = {
 
 
 def _scores(spark, sf):
-    return decisions.score_candidates(P.candidates(spark, sf), bench.bench_cube(enriched(spark, sf)))
+    return decisions.score_candidates(P.candidates(spark, sf), store(bench.bench_cube(enriched(spark, sf))))
 
 
 @query("derived_leverage", f"SELECT candidate_id, {_LEVERAGE} AS leverage FROM candidates")
