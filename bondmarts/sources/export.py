@@ -11,6 +11,12 @@ CASE_HEADERS = {
 }
 
 
+# A missing value is shown as a dash, which keeps it apart from an empty text; spaces are data.
+CSV_OPTIONS = {
+    "header": True, "nullValue": "—", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def renamed_cases(cases: DataFrame) -> DataFrame:
     return cases.withColumnsRenamed({c: h for c, h in CASE_HEADERS.items() if c in cases.columns})
 
@@ -20,6 +26,6 @@ def export_cases(cases: DataFrame, path: str, file_format: str = "csv") -> None:
     keys = [c for c in ("province", "seq") if c in cases.columns]
     ordered = cases.orderBy(*keys)
     if file_format == "csv":
-        renamed_cases(ordered).write.option("header", True).csv(path)
+        renamed_cases(ordered).write.options(**CSV_OPTIONS).csv(path)
     else:
         renamed_cases(ordered).write.parquet(path)

@@ -119,7 +119,7 @@ def matrix_tables(dimension: str, own: str) -> dict[str, str]:
     return {
         "one": f"""SELECT province, issuer, issuer_agency AS agency, {category} AS category FROM bond_fiscal
             QUALIFY row_number() OVER (PARTITION BY province, issuer ORDER BY level_rank DESC, security_code) = 1""",
-        "counted": "SELECT province, agency, category, count(*) AS n FROM one WHERE category IS NOT NULL AND agency IS NOT NULL GROUP BY 1, 2, 3",
+        "counted": "SELECT province, agency, category, count(*) AS n FROM one WHERE category <> '' AND agency IS NOT NULL GROUP BY 1, 2, 3",
         "agencies": f"""SELECT province, agency, agency = '{own}' AS is_own, CAST(row_number() OVER (PARTITION BY province
             ORDER BY (agency = '{own}') DESC, issuer_bonds DESC, agency) AS INTEGER) AS agency_order FROM ({_AGENCY_LIST})""",
         "categories": categories,
@@ -229,7 +229,7 @@ def _(spark, sf):
 
 @query(
     "map_centre",
-    """SELECT round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM
+    """SELECT round(coalesce(avg(lon), 104), 6) AS lon, round(coalesce(avg(lat), 30), 6) AS lat FROM
     (SELECT city FROM enriched UNION SELECT city FROM fiscal) JOIN coords USING (city)""",
 )
 def _(spark, sf):

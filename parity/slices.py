@@ -274,7 +274,7 @@ def _(spark, sf):
     "top_rows",
     """SELECT province, underwriter, bonds FROM
     (SELECT province, trim(u) AS underwriter, count(*) AS bonds FROM
-        (SELECT province, unnest(string_split(underwriters, ',')) AS u FROM bond) GROUP BY 1, 2)
+        (SELECT province, unnest(string_split(underwriters, ',')) AS u FROM bond) WHERE trim(u) <> '' GROUP BY 1, 2)
     QUALIFY row_number() OVER (PARTITION BY province ORDER BY bonds DESC, underwriter) <= 8""",
 )
 def _(spark, sf):

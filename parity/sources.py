@@ -177,7 +177,7 @@ def _(spark, sf):
     cases = filters.case_list(with_fiscal, "大公国际", rating="AA")
     path = _new_folder(spark)
     export.export_cases(cases, path)
-    return spark.read.schema(export.renamed_cases(cases).schema).option("header", True).csv(path)
+    return spark.read.schema(export.renamed_cases(cases).schema).options(**export.CSV_OPTIONS).csv(path)
 
 
 # --- cleaning --------------------------------------------------------------------------------------
