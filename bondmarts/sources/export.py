@@ -13,7 +13,7 @@ CASE_HEADERS = {
 
 # A missing value is shown as a dash, which keeps it apart from an empty text; spaces are data.
 CSV_OPTIONS = {
-    "header": True, "nullValue": "—", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "header": True, "nullValue": "—", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
 
