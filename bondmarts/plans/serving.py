@@ -116,7 +116,7 @@ def province_analysis(bond: DataFrame, fiscal: DataFrame, province: str) -> dict
         "issuers": issuers.issuer_profile_listing(own_issuers),
         "agencies": agency.market_share_listing(agency.agency_market_share(own_bonds)),
         "agency_names": agency.served_agencies(own_issuers),
-        "underwriters": filters.province_slice(underwriter.underwriter_slices(own_bonds, e), province),
+        "underwriters": underwriter.underwriter_stats(own_bonds, e),
         "join_audit": quality.join_audit(own_bonds, with_fiscal),
         "platform_mismatch": quality.platform_mismatch(own_issuers),
     }

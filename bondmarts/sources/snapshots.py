@@ -97,6 +97,10 @@ def written_fiscal(spark: SparkSession, root: str) -> set[tuple[str, str]]:
     }
 
 
+def available_provinces(spark: SparkSession, root: str, fiscal_year: str) -> list[str]:
+    return sorted(p for p, year in written_fiscal(spark, root) if year == fiscal_year)
+
+
 def write_fiscal(staged: DataFrame, root: str) -> DataFrame:
     """Write provinces that are not there yet and pass their checks; returns the problems found.
 

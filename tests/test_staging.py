@@ -74,6 +74,8 @@ def test_fiscal_files_to_lake(spark, tmp_path):
     expected = [("四川省", "成都市", 1697.9), ("四川省", "绵阳市", None), ("浙江省", "杭州市", 2386.6)]
     assert rows(snapshots.fiscal(spark, root), "province", "city", "revenue") == expected
     assert rows(snapshots.fiscal(spark, root, "浙江省"), "city") == [("杭州市",)]
+    assert snapshots.available_provinces(spark, root, "2021") == ["四川省", "浙江省"]
+    assert snapshots.available_provinces(spark, root, "2020") == []
     # Again: what is there stays, a repaired file is added.
     write_text(f"{folder}/2021年江苏省财力.csv", "城市,一般公共预算收入\n南京市,1\n")
     snapshots.write_fiscal(snapshots.read_fiscal_files(spark, folder, "2021"), root)
