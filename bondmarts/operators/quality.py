@@ -168,12 +168,20 @@ def platform_mismatch(e: DataFrame, q: float = K.PLATFORM_QUANTILE) -> DataFrame
                 F.concat(F.lit("主体："), "issuer"),
                 F.concat(F.lit("平台行政级别："), "admin_level"),
                 F.concat(F.lit("城市："), "city"),
+                F.concat(F.lit("财力："), F.col("city_fiscal").cast("string"), F.lit("亿")),
                 F.concat(F.lit("排名："), F.col("fiscal_rank").cast("string"), F.lit("/"), F.col("total_cities").cast("string")),
             ).alias("message"),
         )
     )
 
 
+def platform_notes(mismatches: DataFrame, q: float = K.PLATFORM_QUANTILE) -> DataFrame:
+    """One note per province with such issuers."""
+    found = mismatches.groupBy("province").agg(F.count_distinct("issuer").alias("platforms"))
+    text = f" 个省级平台位于省内低财力城市（排名靠后的 {q:.0%}）"
+    return found.withColumn("note", F.concat("province", F.lit("："), F.col("platforms").cast("string"), F.lit(text)))
+
+
 def table_diff(a: DataFrame, b: DataFrame, key: str, columns, atol: float = 0.1) -> DataFrame:
     """Column-wise comparison of two tables aligned on a key, one row per column.
 

@@ -61,7 +61,11 @@ VIEW_LABELS = {
 
 
 def marts(bond: DataFrame, fiscal: DataFrame, stored: bool = True) -> dict[str, DataFrame]:
-    """All tables and marts by view name. With `stored` the enriched issuers are computed once for all."""
+    """All tables and marts by view name. With `stored` the enriched issuers are computed once for all.
+
+    The benchmarks and the underwriter ranking need a distributed sort, which runs here and is written; queries
+    on them only read. The other marts are computed when they are queried.
+    """
     e = issuers.enriched(bond, fiscal)
     if stored:
         e = storage.store(e)

@@ -81,18 +81,28 @@ def _(spark, sf):
     return quality.join_audit(P.bond(spark, sf), with_fiscal(spark, sf))
 
 
-@query(
-    "platform_mismatch",
-    """SELECT issuer, e.province, e.city, admin_level, city_fiscal, limit_fiscal, fiscal_rank, total_cities,
-        '主体：' || issuer || ' | 平台行政级别：' || admin_level || ' | 城市：' || e.city || ' | 排名：' || fiscal_rank || '/' || total_cities AS message
+_MISMATCH = """SELECT issuer, e.province, e.city, admin_level, city_fiscal, limit_fiscal, fiscal_rank, total_cities,
+        '主体：' || issuer || ' | 平台行政级别：' || admin_level || ' | 城市：' || e.city || ' | 财力：' || city_fiscal || '亿 | 排名：' || fiscal_rank || '/' || total_cities AS message
     FROM enriched e JOIN (SELECT province, city, rank() OVER (PARTITION BY province ORDER BY f DESC) AS fiscal_rank FROM cities) r
         ON e.province = r.province AND e.city = r.city
     JOIN (SELECT province, median(f) AS limit_fiscal, count(*) AS total_cities FROM cities GROUP BY province) l ON e.province = l.province
-    WHERE admin_level = '省级' AND city_fiscal < limit_fiscal""",
-    {"cities": "SELECT DISTINCT province, city, city_fiscal AS f FROM enriched WHERE city_fiscal IS NOT NULL"},
+    WHERE admin_level = '省级' AND city_fiscal < limit_fiscal"""
+_RANKED = {"cities": "SELECT DISTINCT province, city, city_fiscal AS f FROM enriched WHERE city_fiscal IS NOT NULL"}
+
+
+@query("platform_mismatch", _MISMATCH, _RANKED)
+def _platform_mismatch(spark, sf):
+    return quality.platform_mismatch(store(enriched(spark, sf)))
+
+
+@query(
+    "platform_notes",
+    f"""SELECT province, count(DISTINCT issuer) AS platforms,
+        province || '：' || count(DISTINCT issuer) || ' 个省级平台位于省内低财力城市（排名靠后的 50%）' AS note FROM ({_MISMATCH}) GROUP BY province""",
+    _RANKED,
 )
 def _(spark, sf):
-    return quality.platform_mismatch(store(enriched(spark, sf)))
+    return quality.platform_notes(_platform_mismatch(spark, sf))
 
 
 _KPI_COLUMNS = ["issuers", "bonds", "cities"]

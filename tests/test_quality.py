@@ -79,7 +79,7 @@ def test_platform_mismatch(spark, bonds, fiscal):
     e = issuers.enriched(df, fiscal(("A", 1.0, "P"), ("B", 1.0, "P"), ("C", 9.0, "P")))
     got = quality.platform_mismatch(e, q=0.75)
     assert rows(got, "issuer", "limit_fiscal", "fiscal_rank", "total_cities") == [("iA", 5.0, 2, 3), ("iB", 5.0, 2, 3)]
-    assert got.filter("issuer = 'iA'").first().message == "主体：iA | 平台行政级别：省级 | 城市：A | 排名：2/3"
+    assert got.filter("issuer = 'iA'").first().message == "主体：iA | 平台行政级别：省级 | 城市：A | 财力：1.0亿 | 排名：2/3"
     assert quality.platform_mismatch(e).count() == 0
 
 
