@@ -3,7 +3,6 @@
 Layout: <root>/bond/snapshot_date=YYYYMMDD, <root>/fiscal/province=…/fiscal_year=…, <root>/builds.
 """
 
-from datetime import datetime, timezone
 from functools import reduce
 from urllib.parse import unquote
 
@@ -121,8 +120,14 @@ def write_fiscal(staged: DataFrame, root: str) -> DataFrame:
 
 def record_build(spark: SparkSession, root: str, active: str, fiscal_year: str, notes=()) -> DataFrame:
     """Append one row about this build to the audit table and return the row."""
-    now = datetime.now(timezone.utc).replace(microsecond=0, tzinfo=None)
-    row = spark.createDataFrame([(active, fiscal_year, now, list_snapshots(spark, root), list(notes))], _BUILDS)
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    row = spark.range(1).select(
+        F.lit(active).alias("active_snapshot"),
+        F.lit(fiscal_year).alias("fiscal_year"),
+        F.date_trunc("second", F.current_timestamp()).alias("updated_at"),
+        texts(list_snapshots(spark, root)).alias("snapshots"),
+        texts(notes).alias("notes"),
+    )
     row.write.mode("append").parquet(f"{root}/builds")
     return row
 
