@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bondmarts.llm import exact, jaccard, tiling
+from bondmarts.llm import exact, jaccard, mixing, tiling
 from bondmarts.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,45 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op2_mixing",
+    r"""
+    WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+    d AS (
+        SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS size,
+            greatest(1, 20 - CAST(floor((length(text) - length(translate(text, '#$%&*|!', ''))) * 80 / greatest(length(text), 1)) AS BIGINT)) AS level,
+            (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 AS u
+        FROM t),
+    s AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid
+        FROM d GROUP BY source),
+    w AS (SELECT *, CAST([3, 1, 2][(sid - 1) % 3 + 1] AS BIGINT) AS weight, source_size * 2 AS most FROM s),
+    r AS (
+        SELECT *, coalesce(sum(most) OVER before, 0) AS most_before, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left,
+            sum(source_size) OVER () AS all_words
+        FROM w WINDOW before AS (ORDER BY most / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, most * weight_left * 2 <= weight * (all_words * 3 - most_before * 2) AS capped FROM r),
+    x AS (
+        SELECT source, source_size, CASE WHEN capped THEN CAST(most AS DOUBLE) ELSE
+            CAST(CAST(weight * (all_words * 3 - 2 * sum(CASE WHEN capped THEN most ELSE 0 END) OVER ()) AS BIGINT) AS DOUBLE)
+            / CAST(2 * sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS BIGINT) END AS target
+        FROM c),
+    y AS (
+        SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS words,
+            coalesce(sum(size) OVER (
+                PARTITION BY d.source ORDER BY -ln(u) * 20 / level, doc_id NULLS FIRST, size
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before
+        FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
+    SELECT doc_id, size, source_size, target,
+        CASE WHEN source_size = 0 THEN 0 ELSE CAST(words // source_size * size
+            + greatest(0, least(size, words % source_size - words_before)) AS BIGINT) END AS taken
+    FROM y""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query(
     "op6_exact_dedup",
     f"""
