@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bondmarts.llm import exact, jaccard, mixing, tiling
-from bondmarts.llm.tables import table
+from bondmarts.llm import exact, jaccard, mixing, rules, tiling
+from bondmarts.llm.tables import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = rules.train(docs, labels, "quality", learn=crc32_mod("doc_id", 5) != 0)
+    rows = rules.scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query(
     "op2_mixing",
     r"""
