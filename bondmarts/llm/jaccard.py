@@ -2,7 +2,7 @@
 
 Two texts link when |A & B| / |A | B| of their 5-word shingle sets is at least 75 %. The way to all links, none lost:
 
-1. One pass measures every text: set size, set fingerprint, a hashed bitmap signature of about two to four bits a shingle, and
+1. One pass measures every text: set size, set fingerprint, a hashed bitmap signature of 1.5 to 3 bits a shingle, and
    a fixed-size count sketch of all shingles of the corpus. Equal sets are one class from here on.
 2. Prefix filter: linked sets share a shingle among the first n - ceil(0.75 n) + 1 of each, in any order that is the same for
    all. The order puts shingles that the sketch finds frequent last, so that a passage of many texts makes no hot key.
@@ -10,8 +10,8 @@ Two texts link when |A & B| / |A | B| of their 5-word shingle sets is at least 7
 4. In each tile and size band, every class is compared with one leader of the band, which costs a row per class. The links
    are contracted to components, then only classes of different components are compared any more.
 5. Tiles are cut into size bands and blocks of bounded size. In a block, bit counts of the signatures bound the overlap from
-   above: |A & B| <= (|A| + |B| - bits(a xor b)) / 2. Pairs that may link go to the exact intersection of sorted arrays: first the
-   best partner of a class in each other component, then, after contraction, all that are left.
+   above: |A & B| <= (|A| + |B| - bits(a xor b)) / 2. Classes that may link are grouped, and the groups go to cells, again of
+   bounded size, for the exact intersection of sorted arrays.
 
 A whole text is never cut. Signatures, keys and sets are 64-bit hashes of words (see `words`).
 """
@@ -35,6 +35,8 @@ PERCENT = 75
 CELLS, PIECE = 1 << 19, 1 << 13
 #: Classes of a tile that meet in one block; a larger tile is dealt over more blocks.
 BLOCK = 512
+#: Rows of blocks that a task is given because they share their least class, about.
+TASK = 50_000
 #: Rows of one key held at a time.
 HELD = 1 << 20
 
@@ -44,10 +46,9 @@ def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signature(s: np.ndarray) -> bytes:
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
-    bits = np.zeros(width, bool)
-    bits[((s >> U(13)) % U(width)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    """Bits of 1.5 to 3 times the set size, each the parity of how many shingles fall on it, so that common ones cancel in an xor."""
+    width = max(64, 1 << (3 * len(s) // 2 - 1).bit_length())
+    return np.packbits(np.bincount(((s >> U(13)) % U(width)).astype(np.int64), minlength=width) & 1).tobytes()
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -213,7 +214,7 @@ def _folded(signatures: list[bytes], width: int) -> np.ndarray:
     for i, s in enumerate(signatures):
         bits = np.frombuffer(s, np.uint8)
         while len(bits) > width:
-            bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
         rows[i] = bits
     return rows
 
@@ -223,83 +224,111 @@ def _may_link(n_a, n_b, bits):
     return (100 + PERCENT) * ((n_a + n_b - bits) // 2) >= PERCENT * (n_a + n_b)
 
 
-def _blocks(best: bool):
-    """Blocks, sorted, to pairs of different components that may link; `best`: for each class its best in each other component."""
-
-    def pairs(block):
-        n, fp, comp, side, high, signatures = block
-        width = min(map(len, signatures))
-        bits = np.unpackbits(_folded(signatures, width), axis=1).astype(np.float32)
-        ones = bits.sum(axis=1)
-        # A class of the lower band meets its own band and the next; of the two dealt parts only different ones meet in a block of two.
-        low = np.flatnonzero(~high)
-        if not len(low):
-            return None
-        both = (bits[low] @ bits.T).astype(np.int64)
-        xor = (ones[low][:, None] + ones[None, :]).astype(np.int64) - 2 * both
-        ok = _may_link(n[low][:, None], n[None, :], xor) & (comp[low][:, None] != comp[None, :])
-        ok &= PERCENT * np.maximum(n[low][:, None], n[None, :]) <= 100 * np.minimum(n[low][:, None], n[None, :])
-        ok &= high[None, :] | (low[:, None] < np.arange(len(n))[None, :])
-        if (side != side[0]).any():
-            ok &= side[low][:, None] != side[None, :]
-        i, j = np.nonzero(ok)
-        if not len(i):
-            return None
-        a, b = low[i], j
-        if best:
-            # Of the pairs of a class and another component the one with the least difference; first from one end, then the other.
-            near = np.lexsort((xor[i, j], comp[b], fp[a]))
-            a, b = a[near], b[near]
-            first = np.concatenate([[True], (fp[a][1:] != fp[a][:-1]) | (comp[b][1:] != comp[b][:-1])])
-            a, b, gap = a[first], b[first], xor[i, j][near][first]
-            near = np.lexsort((gap, comp[a], fp[b]))
-            a, b = a[near], b[near]
-            first = np.concatenate([[True], (fp[b][1:] != fp[b][:-1]) | (comp[a][1:] != comp[a][:-1])])
-            a, b = a[first], b[first]
-        return np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
+class _Groups:
+    """Union-find over a few values; every value starts on its own."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        above = self.above
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    def union(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.above[max(x, y)] = min(x, y)
+        self.above.setdefault(min(x, y), min(x, y))
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [(x, r) for x in self.above if (r := self.find(x)) != x]
+
+
+def _by_name(column: str, pairs, names=("a", "b")):
+    """Rows sorted by `column` to the (a, b) that `pairs` gives for the table of each value, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        rows: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table):
-            block = [
-                table.column("n").to_numpy(), table.column("fp").to_numpy(), table.column("comp").to_numpy(),
-                table.column("side").to_numpy(), table.column("high").to_numpy(zero_copy_only=False), table.column("signature").to_pylist(),
-            ]
-            if (found := pairs(block)) is None:
-                return None
-            new = [p for p in set(zip(*(x.tolist() for x in found))) if p not in seen]
-            seen.update(new)
-            return pa.record_batch([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
+        held: list[pa.RecordBatch] = []
+
+        def cut(last: bool) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            values = table.column(column).to_numpy()
+            edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+            done = len(edges) - 1 if last else len(edges) - 2
+            held[:] = table.slice(edges[done]).to_batches()
+            new: list[tuple[int, int]] = []
+            for x, y in zip(edges[:done], edges[1 : done + 1]):
+                for pair in pairs(table.slice(x, y - x)):
+                    if pair not in seen:
+                        seen.add(pair)
+                        new.append(pair)
+            return pa.record_batch([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=list(names))
 
         for batch in batches:
-            rows.append(batch)
-            if sum(r.num_rows for r in rows) < 4096 and len(rows) < 64:
-                continue
-            rows = [*complete(pa.Table.from_batches(rows), flush, out := [])]
-            yield from out
-        if rows:
-            table = pa.Table.from_batches(rows)
-            for part in cut(table):
-                if (done := flush(part)) is not None:
-                    yield done
-
-    def cut(table: pa.Table):
-        names = table.column("block").to_numpy()
-        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
-        return [table.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:]) if b > a]
-
-    def complete(table, flush, out):
-        parts = cut(table)
-        for part in parts[:-1]:
-            if (done := flush(part)) is not None:
-                out.append(done)
-        return parts[-1].to_batches() if parts else []
+            if batch.num_rows:
+                held.append(batch)
+            if len(held) >= 8:
+                yield cut(False)
+        if held:
+            yield cut(True)
 
     return run
 
 
+def _may(n, comp, bits, rows) -> np.ndarray:
+    """Which of `rows` (first axis) and all may link, going by size, component and the parity bits."""
+    ones = bits.sum(axis=1)
+    xor = (ones[rows][:, None] + ones[None, :] - 2 * (bits[rows] @ bits.T)).astype(np.int64)
+    ok = _may_link(n[rows][:, None], n[None, :], xor) & (comp[rows][:, None] != comp[None, :])
+    return ok & (PERCENT * np.maximum(n[rows][:, None], n[None, :]) <= 100 * np.minimum(n[rows][:, None], n[None, :]))
+
+
+def _near(block: pa.Table) -> list[tuple[int, int]]:
+    """Classes of a block with a partner in another component that they may link with, as (class, least class of its group)."""
+    n, fp, comp, side = (block.column(c).to_numpy() for c in ("n", "fp", "comp", "side"))
+    high = block.column("high").to_numpy(zero_copy_only=False)
+    low = np.flatnonzero(~high)
+    if not len(low):
+        return []
+    signatures = block.column("signature").to_pylist()
+    bits = np.unpackbits(_folded(signatures, min(map(len, signatures))), axis=1).astype(np.float32)
+    # A class of the lower band meets its own band and the next; of two dealt parts only classes of different ones meet here.
+    ok = _may(n, comp, bits, low)
+    ok &= high[None, :] | (low[:, None] < np.arange(len(n))[None, :])
+    if (side != side[0]).any():
+        ok &= side[low][:, None] != side[None, :]
+    groups = _Groups()
+    for i, j in zip(*np.nonzero(ok)):
+        groups.union(int(fp[low[i]]), int(fp[j]))
+    return groups.pairs()
+
+
+def _linked(cell: pa.Table) -> list[tuple[int, int]]:
+    """Links of a cell that join different components, by exact intersection, as (class, least class of its group)."""
+    fp, comp, side = (cell.column(c).to_numpy() for c in ("fp", "comp", "side"))
+    sets = [x.values.to_numpy() for x in cell.column("shingles").combine_chunks()]
+    n = np.array([len(s) for s in sets])
+    width = min(1 << (8 * int(n.max()) - 1).bit_length(), 1 << 16)
+    bits = np.stack([np.bincount(((s.view(U) >> U(13)) % U(width)).astype(np.int64), minlength=width) & 1 for s in sets]).astype(np.float32)
+    ok = _may(n, comp, bits, np.arange(len(n)))
+    ok &= np.arange(len(n))[:, None] < np.arange(len(n))[None, :]
+    if (side != side[0]).any():
+        ok &= side[:, None] != side[None, :]
+    joined, groups = _Groups(), _Groups()
+    for i, j in zip(*np.nonzero(ok)):
+        x, y = int(comp[i]), int(comp[j])
+        if joined.find(x) == joined.find(y):
+            continue
+        same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * same >= PERCENT * (n[i] + n[j] - same):
+            joined.union(x, y)
+            groups.union(int(fp[i]), int(fp[j]))
+    return groups.pairs()
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both sorted arrays to the pairs that link."""
     for batch in batches:
@@ -338,23 +367,54 @@ class _Join:
         tiles = sorted_keys.mapInArrow(_tiles, "tile long, fp long, n long").distinct()
         return store(tiles.withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)))
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+    def shingles(self, needed: DataFrame) -> DataFrame:
+        """(fp, sorted shingle hashes) of the classes in `needed` (fp), from the text of one document each."""
+        rows = store(self.classes.join(needed, "fp").select("_file", "_row"))
+        return self.texts.join(rows, ["_file", "_row"]).select("text").mapInArrow(_arrays, "fp long, shingles array<long>")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) of classes those that link."""
-        needed = store(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-        rows = self.classes.join(needed, "fp").select("_file", "_row")
-        sets = self.texts.join(store(rows), ["_file", "_row"]).select("text").mapInArrow(_arrays, "fp long, shingles array<long>")
-        sets = store(sets)
+        pairs = store(pairs)
+        sets = store(self.shingles(store(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())))
         left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("left"))
         right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("right"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return both.mapInArrow(_exact, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_exact, "a long, b long")
 
-    def contract(self, pairs: DataFrame) -> DataFrame:
-        """Verify pairs, add the links, and return the components of all links so far."""
-        found = store(self.verify(store(pairs)))
+    def contract(self, links: DataFrame) -> DataFrame:
+        """Add links and return the components of all so far."""
+        found = store(links)
         self.links = found if self.links is None else store(self.links.union(found))
         return components(self.links)
 
+    def cells(self, near: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links that join components, among classes that `near` groups (a, b: may link, directly or by others).
+
+        Of each group the classes outside its largest component meet each other and all classes of that one, dealt into cells of
+        bounded size, on their exact sets. The links left out join nothing that the cell has not joined.
+        """
+        near = store(near)
+        groups = components(near)
+        nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left")
+        nodes = nodes.select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("grp"))
+        nodes = store(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "grp", F.coalesce("root", "fp").alias("comp")))
+        counts = nodes.groupBy("grp", "comp").agg(F.count("*").alias("rows"))
+        main = counts.groupBy("grp").agg(F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
+        parts = lambda rows: F.ceil(rows / (BLOCK // 2))
+        main = store(main.select("grp", F.col("main.comp").alias("main"), parts(F.col("main.rows")).alias("main_parts"), parts(F.col("all") - F.col("main.rows")).alias("other_parts")))
+        rows = nodes.join(main, "grp").withColumn("in_main", F.col("comp") == F.col("main"))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.when(F.col("in_main"), F.col("main_parts")).otherwise(F.col("other_parts"))))
+        upto = lambda parts: F.sequence(F.lit(0).cast("long"), parts - 1)
+        with_others = F.transform(upto(F.col("other_parts")), lambda q: F.struct(F.lit(False).alias("main"), F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
+        with_main = F.transform(upto(F.col("main_parts")), lambda q: F.struct(F.lit(True).alias("main"), F.col("part").alias("i"), q.alias("j")))
+        of_main = F.transform(upto(F.col("other_parts")), lambda q: F.struct(F.lit(True).alias("main"), q.alias("i"), F.col("part").alias("j")))
+        rows = rows.select("grp", "fp", "comp", "in_main", "part", F.explode(F.when(F.col("in_main"), of_main).otherwise(F.concat(with_others, with_main))).alias("c"))
+        cell = F.xxhash64("grp", "c.main", "c.i", "c.j").alias("cell")
+        # Sides keep apart the two parts of a cell; within one part of the others all meet.
+        side = F.when(F.col("c.main"), F.col("in_main").cast("long")).otherwise(F.col("part"))
+        rows = rows.select(cell, "fp", "comp", side.alias("side")).join(self.shingles(store(nodes.join(main, "grp").select("fp"))), "fp")
+        rows = rows.select("cell", "fp", "comp", "side", "shingles").repartition("cell").sortWithinPartitions("cell", "fp")
+        return rows.mapInArrow(_by_name("cell", _linked), "a long, b long")
+
     def star(self, tiles: DataFrame) -> DataFrame:
         """Every class against one of its tile and band, where the signatures leave room for a link."""
         leaders = tiles.groupBy("tile", "band").agg(F.min("fp").alias("a"))
@@ -364,26 +424,29 @@ class _Join:
             pairs = pairs.join(signed.toDF(x, f"n_{x}", f"s_{x}"), x)
         return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_bounded, "a long, b long")
 
-    def blocks(self, tiles: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    def blocks(self, tiles: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs of different components of a tile that may link."""
         comp = F.coalesce("root", "fp").alias("comp")
-        rows = tiles.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("tile", "fp", "n", "band", comp)
-        rows = store(rows)
-        open_tiles = rows.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("tile")
-        # A class belongs to the tile of its band and, as the larger one, to that of the band below.
-        bands = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(False).alias("high")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("high")))).alias("x")
-        rows = rows.join(open_tiles, "tile").select("tile", "fp", "n", "comp", bands).select("tile", "fp", "n", "comp", "x.*")
+        rows = store(tiles.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("tile", "fp", "n", "band", comp))
+        open_tiles = rows.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("fp").alias("near")).filter("x <> y").select("tile", "near")
+        # A class belongs to the block of its band and, as the larger one, to that of the band below.
+        own = F.struct(F.col("band").alias("band"), F.lit(False).alias("high"))
+        below = F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("high"))
+        rows = rows.join(open_tiles, "tile").select("tile", "near", "fp", "n", "comp", F.explode(F.array(own, below)).alias("x")).select("tile", "near", "fp", "n", "comp", "x.*")
         key = ["tile", "band"]
-        sizes = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.min("high").alias("none_low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        sizes = sizes.filter("NOT none_low AND x <> y").select(*key, F.ceil(F.col("rows") / BLOCK).alias("parts"))
-        rows = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.min("near").alias("near"), F.min("high").alias("none_low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+        sizes = store(sizes.filter("NOT none_low AND x <> y").select(*key, "near", "rows", F.ceil(F.col("rows") / BLOCK).alias("parts")))
+        # Tiles with the same least class mostly have the same pairs: they go to one task, or a few if they have many rows.
+        tasks = store(sizes.groupBy("near").agg(F.ceil(F.sum(F.col("rows") * F.col("parts")) / TASK).alias("tasks")))
+        rows = rows.drop("near").join(sizes.drop("rows").join(tasks, "near"), key)
+        part = F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")
+        task = F.xxhash64("near", F.pmod("tile", "tasks")).alias("task")
         each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-        rows = rows.select("*", each)
+        rows = rows.select("*", part, task).select("*", each)
         block = F.xxhash64("tile", "band", F.least("part", "other"), F.greatest("part", "other")).alias("block")
-        rows = rows.select(block, "n", "fp", "comp", F.col("part").cast("long").alias("side"), "high")
-        rows = rows.join(self.classes.select("fp", "signature"), "fp").select("block", "n", "fp", "comp", "side", "high", "signature")
-        rows = rows.repartition("block").sortWithinPartitions("block", "n", "fp")
-        return rows.mapInArrow(_blocks(best), "a long, b long").distinct()
+        rows = rows.select("task", block, "n", "fp", "comp", F.col("part").cast("long").alias("side"), "high")
+        rows = rows.join(self.classes.select("fp", "signature"), "fp").repartition("task").select("block", "n", "fp", "comp", "side", "high", "signature")
+        return rows.sortWithinPartitions("block", "n", "fp").mapInArrow(_by_name("block", _near), "a long, b long").distinct()
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,9 +471,8 @@ def similarity_classes(docs: DataFrame, id: str = "doc_id", text: str = "text")
     measures = measured(docs, ["_file", "_row", "_id"], "_text")
     join = _Join(docs, "_text", measures)
     tiles = join.tiles()
-    roots = join.contract(join.star(tiles))
-    for best in (True, False):
-        roots = join.contract(join.blocks(tiles, roots, best))
+    roots = join.contract(join.verified(join.star(tiles)))
+    roots = join.contract(join.cells(join.blocks(tiles, roots), roots))
     least = measures.filter("n > 0").groupBy("fp").agg(F.min("_id").alias("least"))
     labelled = store(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
