@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bondmarts.llm import exact, jaccard, mixing, rules, tiling
+from bondmarts.llm import exact, jaccard, mixing, pages, private, rules, tiling, toxicity, urls
 from bondmarts.llm.tables import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"), keep=("url",))
+
+
+@query("op5_toxicity_ftrl")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, "toxic", learn=crc32_mod("doc_id", 3) != 1)
+    rows = toxicity.scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query(
     "op6_exact_dedup",
     f"""
@@ -105,3 +118,37 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "item_id", "coverage", "contaminated")
+
+
+def _url_sql() -> str:
+    """Every term as a pattern with a boundary on both sides, over the host and path split by pattern."""
+    text = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    hit = lambda term: f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}]){term}([^\\p{{L}}\\p{{N}}]|$)')"
+    strict = " OR ".join(hit(t) for t in urls.STRICT)
+    soft = " + ".join(f"CAST({hit(t)} AS INTEGER)" for t in urls.SOFT)
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
+    return f"""
+    WITH u AS (
+        SELECT page_id, {text} AS t,
+            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+        FROM pages),
+    rules(domain, prefix, decision) AS (VALUES {rules}),
+    best AS (
+        SELECT page_id, arg_max(domain || prefix, length(domain || prefix)) AS rule, arg_max(decision, length(domain || prefix)) AS decision
+        FROM u JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY page_id)
+    SELECT page_id, host, path, rule,
+        coalesce(decision, CASE WHEN {strict} OR {soft} >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM u LEFT JOIN best USING (page_id)"""
+
+
+@query("op9_url_filter", _url_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = private.spans(table(spark, sf_dir, "documents"))
+    counts = [private.of_kind("base", kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return rows.select("doc_id", *counts, "base_sha256", private.joined("spans").alias("spans"))

@@ -17,6 +17,8 @@ _B_INVERSE = pow(_B, -1, 1 << 64)
 _PLACES = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that separate words when punctuation does not belong to them: ASCII without letters and digits.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = [np.ones(1, U), np.ones(1, U)]
@@ -59,7 +61,7 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, pa.Array]]
 class Words:
     """Words of the texts of one chunk: byte spans, hashes, and the first word of every text in `at`."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE):
         texts = texts.fill_null(b"") if texts.null_count else texts
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -68,7 +70,7 @@ class Words:
         data = np.frombuffer(data, np.uint8)[first:last] if data is not None else np.zeros(0, np.uint8)
         self.offsets = offsets - first
         self.bytes = _LOWER[data]
-        space = _SPACE[data]
+        space = separators[data]
         begins = np.zeros(len(data) + 1, bool)  # a new text begins here, or the data ends
         begins[self.offsets] = True
         inner = ~space
