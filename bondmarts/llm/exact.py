@@ -1,53 +1,57 @@
 """Exact deduplication with a streaming state that never expires.
 
-A stream over the digests of all texts keeps one state row per digest, on disk (RocksDB), without watermark: how many
-texts had it, and the identifier and content locator (file and row) of the one that stays. Equal digests are combined in every
-map task before the shuffle, so copies of one text that make up a third of all rows are a few rows to its state. Digest hits
-are then checked on the full bytes: the text of every row with a hit is compared with the text at the locator, and rows that
-differ in spite of the digest are grouped by their bytes.
+A stream over the digests of all texts keeps a state keyed by digest on shared disk: how many texts had it, and the identifier and
+content locator (file and row) of the one that stays. Every batch combines its equal digests in the map tasks before the
+shuffle, so copies of one text that make up a third of all rows are a few rows, and writes the states it touched; the state of
+a digest is the sum of what all batches wrote, and nothing expires. A batch that is run again after a failure replaces
+what it wrote. Digest hits are then checked on the full bytes: the text of every row with a hit is compared with the text at the
+locator, and rows that differ in spite of the digest are grouped by their bytes.
 """
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bondmarts.llm.tables import ascii_lower, located
-from bondmarts.storage import shared_dir, store
+from bondmarts.storage import exists, shared_dir, store
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PLACE = "struct<id:{id},_file:string,_row:bigint>"
+#: Bits of the filter that keeps texts without a hit out of the byte check: 4 MB, whatever the size of the corpus.
+FILTER_BITS = 1 << 25
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def digest_states(digests: DataFrame, checkpoint: str) -> DataFrame:
+def digest_states(digests: DataFrame, folder: str) -> DataFrame:
     """State per digest of a streaming table of (digest, _file, _row, id): n, and `kept`, the largest (id, _file, _row).
 
-    The stream runs until all that is there is read; started again with the same checkpoint folder it goes on where it was, and
-    later rows meet the states of all earlier ones. Every batch leaves the states it changed, of which the last count.
+    The stream runs until all that is there is read. Started again with the same folder it goes on where it was, and later rows
+    meet the states of all earlier ones.
     """
     spark = digests.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
     place = F.struct("id", "_file", "_row")
-    states = digests.groupBy("digest").agg(F.count("*").alias("n"), F.max(place).alias("kept"))
-    schema = states.schema
 
     def keep(batch: DataFrame, number: int) -> None:
-        # A batch that is run again after a failure overwrites its own folder.
-        batch.write.mode("overwrite").parquet(f"{checkpoint}/states/batch={number:019d}")
+        touched = batch.groupBy("digest").agg(F.count("*").alias("n"), F.max(place).alias("kept"))
+        touched.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
 
-    try:
-        query = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
-    written = spark.read.schema(schema.add("batch", "long")).parquet(f"{checkpoint}/states")
-    last = written.groupBy("digest").agg(F.max(F.struct("batch", "n", "kept")).alias("last"))
-    return last.select("digest", "last.n", "last.kept")
+    query = digests.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = digests.groupBy("digest").agg(F.count("*").alias("n"), F.max(place).alias("kept")).schema.add("batch", "integer")
+    written = spark.read.schema(schema).parquet(f"{folder}/states") if exists(spark, f"{folder}/states") else spark.createDataFrame([], schema)
+    return written.groupBy("digest").agg(F.sum("n").alias("n"), F.max("kept").alias("kept"))
+
+
+def _maybe_among(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows whose (_file, _row) may be among `places`: all that are, and few others while places are few against the bits."""
+    number = F.pmod(F.xxhash64("_file", "_row"), F.lit(FILTER_BITS)) + 1
+    bits = places.select(number.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    # At most FILTER_BITS / 32768 rows of 4 KB.
+    marked = rows.withColumn("_x", number).join(F.broadcast(bits), F.bitmap_bucket_number("_x") == F.col("bucket"))
+    at = F.bitmap_bit_position("_x")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return marked.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
@@ -69,7 +73,7 @@ def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", digest=s
     hits = states.filter("n > 1").select("digest", F.col("kept._file").alias("kept_file"), F.col("kept._row").alias("kept_row"))
     places = store(written.join(hits, "digest").select("digest", "_file", "_row", "kept_file", "kept_row"))
     # Full bytes: every text with a hit against the one at the locator.
-    with_text = store(places.join(docs.select("_file", "_row", "norm"), ["_file", "_row"]))
+    with_text = store(places.join(_maybe_among(docs.select("_file", "_row", "norm"), places), ["_file", "_row"]))
     stays = with_text.filter("_file = kept_file AND _row = kept_row").select("digest", F.col("norm").alias("kept_norm"))
     differ = store(with_text.join(stays, "digest").filter("norm <> kept_norm").select("_file", "_row", "digest", "norm"))
     clean = written.join(states, "digest")
