@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bondmarts.llm import exact, jaccard, mixing, pages, private, rules, tiling, toxicity, urls
+from bondmarts.llm import chat, exact, jaccard, mixing, pages, private, rules, tiling, toxicity, urls
 from bondmarts.llm.tables import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(
+    "op3_chat_format",
+    """
+    WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (
+        SELECT conv_id, count(*) AS n, list(struct_pack(t := turn, r := role, x := text) ORDER BY turn NULLS LAST, role, text) AS turns
+        FROM t GROUP BY conv_id),
+    kept AS (
+        SELECT conv_id FROM c a WHERE NOT EXISTS (
+            SELECT 1 FROM c b WHERE b.turns[1] = a.turns[1] AND list_slice(b.turns, 1, a.n) = a.turns
+                AND (b.n > a.n OR (b.n = a.n AND b.conv_id < a.conv_id))))
+    SELECT conv_id, CAST(coalesce(turn, 4611686018427387903) // 512 AS BIGINT) AS part, count(*) AS n_turns,
+        string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10)
+            || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS text
+    FROM t JOIN kept USING (conv_id) GROUP BY 1, 2""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 @query("op4_html_extraction")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"), keep=("url",))

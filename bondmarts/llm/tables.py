@@ -1,8 +1,5 @@
 """Small helpers on DataFrames shared by the operators."""
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,9 +39,24 @@ def crc32_mod(column, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def rows_of(batch: pa.RecordBatch, keep: int) -> list[pa.Array]:
-    return [batch.column(i) for i in range(keep)]
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("_place"))
+
+
+def _place(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.struct(F.col("_file").alias("file_path"), F.col("_row").alias("row_index")).alias("_other"), *more)
+
 
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of docs, read straight from Parquet files, whose place is not among `rows` (_file, _row); all columns stay."""
+    return _placed(docs).join(_place(rows), F.col("_place") == F.col("_other"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
-def empty(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    return iter([pa.RecordBatch.from_pylist([], schema=schema)])
+
+def with_values(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Rows of docs, read straight from Parquet files, that `rows` (_file, _row, name) has, with its value as a further column.
+
+    A column of docs with that name gives way to it.
+    """
+    other = _place(rows, F.col(name).alias("_value"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    return _placed(docs).join(other, F.col("_place") == F.col("_other")).select(*kept, F.col("_value").alias(name))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bondmarts.llm.tables import located, small_batches
+from bondmarts.llm.tables import located, small_batches, without
 from bondmarts.llm.words import U, Words, chunks, mix
 from bondmarts.storage import store
 
@@ -206,9 +206,3 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
     bad = matches(docs, benchmark, **options).filter(F.col("coverage") >= coverage).select("_file", "_row").distinct()
     return without(docs, store(bad))
 
-
-def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of docs, read straight from Parquet files, whose place is not among `rows` (_file, _row)."""
-    place = docs.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("_place"))
-    rows = rows.select(F.struct(F.col("_file").alias("file_path"), F.col("_row").alias("row_index")).alias("_gone"))
-    return place.join(rows, F.col("_place") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

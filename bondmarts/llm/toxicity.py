@@ -1,7 +1,7 @@
 """Toxicity classifier: FTRL-proximal logistic regression over hashed word n-grams and skip-grams (McMahan et al., 2013).
 
-A text's features are its distinct words, pairs of neighbours and pairs with one word between, words being runs of letters,
-digits and non-ASCII characters. Every coordinate has its own learning rate, and the L1 penalty leaves few weights, which go to all tasks.
+A text's features are its distinct words and their stems (the first STEM bytes, so that inflected forms share one), pairs of
+neighbours and pairs with one word between, words being runs of letters, digits and non-ASCII characters. Every coordinate has its own learning rate, and the L1 penalty leaves few weights, which go to all tasks.
 Learning is one sequence over a bounded sample of labelled texts; texts stream through it, only the coordinates are held.
 """
 
@@ -21,22 +21,23 @@ from bondmarts.storage import store
 MAX_ROWS, MAX_WEIGHTS = 16_000, 100_000
 #: Coordinates of the hashed space as a power of two.
 BITS = 22
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 1.0
-#: A toxic text counts as so many clean ones, which are far more.
-TOXIC_WEIGHT = 4.0
+EPOCHS, STEM = 4, 5
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 5.0, 0.0
+#: Value of a pair as a feature; that of a word is 1.
+PAIR = 0.3
 
 
-def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature hash) of all features of a chunk, not yet distinct."""
+def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, feature hash, is a pair) of all features of a chunk, not yet distinct."""
     h, n = words.hashes, len(words.hashes)
     text = np.repeat(np.arange(len(words.at) - 1), np.diff(words.at))
-    parts = [(text, h)]
+    parts = [(text, h, False), (text, words.stems(STEM), False)]
     for gap, (a, b) in ((1, (U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))), (2, (U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63)))):
         if n > gap:
             same = text[gap:] == text[:-gap]
-            parts.append((text[gap:][same], mix(h[:-gap] * a + h[gap:] * b)[same]))
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            parts.append((text[gap:][same], mix(h[:-gap] * a + h[gap:] * b)[same], True))
+    pair = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pair
 
 
 class Ftrl:
@@ -54,16 +55,17 @@ class Ftrl:
         z = self.z[at]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
 
-    def learn(self, hashes: np.ndarray, label: int) -> None:
-        """One text with its distinct feature hashes."""
-        at = np.unique((hashes & self.mask).astype(np.int64))
+    def learn(self, hashes: np.ndarray, values: np.ndarray, label: int) -> None:
+        """One text with its distinct feature hashes and their values."""
+        at, first = np.unique((hashes & self.mask).astype(np.int64), return_index=True)
+        x = values[first]
         w, w0 = self.weights(at), self.intercept()
-        g = 1 / (1 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - label
-        g *= TOXIC_WEIGHT if label else 1.0
+        error = 1 / (1 + np.exp(-np.clip((w * x).sum() + w0, -35, 35))) - label
+        g = error * x
         self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA * w
         self.n[at] += g * g
-        self.z0 += g - ((self.n0 + g * g) ** 0.5 - self.n0**0.5) / ALPHA * w0
-        self.n0 += g * g
+        self.z0 += error - ((self.n0 + error * error) ** 0.5 - self.n0**0.5) / ALPHA * w0
+        self.n0 += error * error
 
 
 def _train(epochs: int):
@@ -79,21 +81,22 @@ def _train(epochs: int):
         for batch in batches:
             rounds, labels = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for start, part in chunks(batch.column(1)):
-                text, hashes = features(Words(part, PUNCTUATION))
+                text, hashes, pair = features(Words(part, PUNCTUATION))
                 order = np.argsort(text, kind="stable")
-                hashes, edges = hashes[order], np.searchsorted(text[order], np.arange(len(part) + 1))
+                hashes, pair, edges = hashes[order], pair[order], np.searchsorted(text[order], np.arange(len(part) + 1))
                 for d in range(len(part)):
-                    own = np.unique(hashes[edges[d] : edges[d + 1]])
+                    own, first = np.unique(hashes[edges[d] : edges[d + 1]], return_index=True)
+                    values = np.where(pair[edges[d] : edges[d + 1]][first], PAIR, 1.0)
                     if rounds[start + d] < epochs:
-                        model.learn(own, int(labels[start + d]))
+                        model.learn(own, values, int(labels[start + d]))
                     else:
-                        used = own[model.weights((own & model.mask).astype(np.int64)) != 0]
-                        for h in used.tolist():
-                            owners[h & int(model.mask)][h] += 1
+                        used = model.weights((own & model.mask).astype(np.int64)) != 0
+                        for h, x in zip(own[used].tolist(), values[used].tolist()):
+                            owners[h & int(model.mask)][h, x] += 1
         found = {}
         for at, counts in owners.items():
             w, most = float(model.weights(np.array([at]))[0]), max(counts.values())
-            found.update({h: w for h, c in counts.items() if 2 * c >= most})
+            found.update({h: w * x for (h, x), c in counts.items() if 2 * c >= most})
         kept = sorted(found, key=lambda h: (-abs(found[h]), h))[:MAX_WEIGHTS]
         hashes = np.array(kept, U).view(np.int64)
         yield pa.record_batch(
@@ -116,7 +119,7 @@ class Weights:
         for start, part in chunks(texts):
             if not len(self.hashes):
                 continue
-            text, hashes = features(Words(part, PUNCTUATION))
+            text, hashes, _ = features(Words(part, PUNCTUATION))
             near = self.near[(hashes & U(0xFFFFF)).astype(np.int64)]
             text, hashes = text[near], hashes[near]
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)

@@ -86,9 +86,15 @@ class Words:
         up, down = _power_tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, U)
         np.cumsum((self.bytes.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
+        self._sums, self._down = sums, down
         raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
         self.hashes = mix(raw + (self.ends - self.starts).astype(U) * _PLACES[1])
 
+    def stems(self, size: int = 5) -> np.ndarray:
+        """Hash of the first bytes of every word; it differs from that of a whole word."""
+        ends = np.minimum(self.ends, self.starts + size)
+        return mix((self._sums[ends] - self._sums[self.starts]) * self._down[self.starts] + _PLACES[4])
+
     def word(self, i: int) -> bytes:
         return self.bytes[self.starts[i] : self.ends[i]].tobytes()
 

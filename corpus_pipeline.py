@@ -2,24 +2,32 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bondmarts.llm import exact, jaccard, tiling
-from bondmarts.llm.tables import table
-from bondmarts.storage import shared_dir
+from bondmarts.llm import exact, jaccard, mixing, rules, tiling
+from bondmarts.llm.tables import table, with_values, without
+from bondmarts.storage import shared_dir, store
 
+#: No SQL: the classifier and the tiling are not expressible in it.
 ORACLE_SQL = None
+#: Documents with a lower score go.
+QUALITY = 0.3
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from the labels, rejects go."""
+    model = rules.train(docs, table(spark, sf_dir, "labels"), "quality")
+    return rules.scored(docs, model, name="_score").filter(F.col("_score") >= QUALITY).drop("_score")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the one with the largest doc_id stays."""
-    gone = exact.duplicates(docs).filter("NOT kept").select("_file", "_row")
-    return tiling.without(docs, gone)
+    return without(docs, exact.duplicates(docs).filter("NOT kept").select("_file", "_row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity the one with the least doc_id stays (of equal ids, the first row)."""
-    return tiling.without(docs, jaccard.surplus(docs))
+    return without(docs, jaccard.surplus(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +35,23 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return tiling.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact dedup", dedup), ("n-gram Jaccard join", near_dedup), ("benchmark decontamination", decontaminate)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix with `mix_words`, the words that it takes of each, at least one."""
+    taken = mixing.mixed(docs).filter("taken > 0").select("_file", "_row", F.col("taken").alias("mix_words"))
+    return with_values(docs, store(taken), "mix_words")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing", mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus after all stages."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
