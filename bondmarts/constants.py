@@ -181,3 +181,8 @@ CITY_COORDS = {
     "上海市": (121.47, 31.23), "北京市": (116.40, 39.90),
     "天津市": (117.20, 39.13), "重庆市": (106.55, 29.56),
 }
+
+# What a full province name may end in, longest first.
+PROVINCE_SUFFIXES = ["维吾尔自治区", "特别行政区", "壮族自治区", "回族自治区", "自治区", "省", "市"]
+# Column of a wide matrix for categories outside the fixed labels.
+OTHER_CATEGORIES = "其他"

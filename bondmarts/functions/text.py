@@ -9,6 +9,7 @@ from bondmarts.constants import (
     LEVEL_SUFFIX,
     LIST_MARK,
     LONG_CITY_NAMES,
+    PROVINCE_SUFFIXES,
     RATING_RANK,
 )
 
@@ -55,6 +56,12 @@ def city_short(c) -> Column:
     return label
 
 
+def province_key(c) -> Column:
+    """Province without its kind, so 四川省 and 四川 are one; a name that is only a kind stays."""
+    name = strip_text(c)
+    return F.regexp_replace(name, f"(?<=.)({'|'.join(PROVINCE_SUFFIXES)})$", "")
+
+
 def with_level_suffix(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(~c.endswith(LEVEL_SUFFIX), F.concat(c, F.lit(LEVEL_SUFFIX))).otherwise(c)

@@ -34,8 +34,12 @@ def agency_market_share(bond: DataFrame, split: bool = False, drop_blank: bool =
     )
 
 
+def share_order() -> list[Column]:
+    return [F.col("province"), F.desc("issuers"), F.col("agency")]
+
+
 def market_share_listing(share: DataFrame) -> DataFrame:
-    return share.orderBy("province", F.desc("issuers"), "agency")
+    return share.orderBy(*share_order())
 
 
 def agency_ranking(share: DataFrame) -> DataFrame:
@@ -72,9 +76,9 @@ def served_agencies(e: DataFrame, by=("province",)) -> DataFrame:
     return e.filter("issuer_agency is not null").select(*by, "issuer_agency").distinct()
 
 
-# Category of a bond per dimension. Without revenue there is no fiscal category.
+# Category of a bond per dimension. Without revenue, or with a negative one, there is no fiscal category.
 _CATEGORY = {
-    "fiscal": lambda: F.when(F.col("city_fiscal").isNotNull(), fiscal_band("city_fiscal")),
+    "fiscal": lambda: F.when(F.col("city_fiscal") >= 0, fiscal_band("city_fiscal")),
     "level": lambda: F.col("admin_level"),
     "rating": lambda: F.when(F.col("rating").isin(list(K.RATING_RANK)), F.col("rating")),
     "city": lambda: F.col("city"),
@@ -141,10 +145,14 @@ def competition_matrix(
 
 
 def wide_matrix(matrix: DataFrame, dimension: str) -> DataFrame:
-    """One row per province and agency, one column per category in category order.
+    """One row per province and agency, one column per fixed label, and one more for all other levels.
 
-    Cities are found by a query; Spark refuses more than spark.sql.pivotMaxValues of them.
+    Cities have no fixed labels; their matrix stays long.
     """
-    labels = {"fiscal": _BANDS, "level": list(K.LEVEL_RANK), "rating": list(K.RATING_RANK), "city": None}[dimension]
-    pivoted = matrix.groupBy("province", "agency", "is_own", "agency_order").pivot("category", labels)
-    return pivoted.agg(F.sum("issuers")).na.fill(0)
+    labels = {"fiscal": _BANDS, "level": list(K.LEVEL_RANK), "rating": list(K.RATING_RANK)}.get(dimension)
+    if labels is None:
+        raise ValueError(f"no fixed labels for {dimension}; use the long form")
+    columns = [F.sum(F.when(F.col("category") == x, F.col("issuers")).otherwise(0)).alias(x) for x in labels]
+    if dimension == "level":
+        columns.append(F.sum(F.when(~F.col("category").isin(labels), F.col("issuers")).otherwise(0)).alias(K.OTHER_CATEGORIES))
+    return matrix.groupBy("province", "agency", "is_own", "agency_order").agg(*columns)

@@ -6,13 +6,13 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bondmarts.functions.numeric import ratio
-from bondmarts.functions.text import trim_spaces
+from bondmarts.functions.text import province_key, trim_spaces
 from bondmarts.operators.ranking import numbered
 
 
 def province_slice(df: DataFrame, name: str) -> DataFrame:
-    """Rows whose province contains the first two characters of name, so 四川省 finds 四川."""
-    return df.filter(F.col("province").contains(name[:2]))
+    """Rows of one province, spelled with or without its kind (四川省 or 四川) on either side."""
+    return df.filter(province_key("province") == province_key(F.lit(name)))
 
 
 def matches(**wanted) -> Column:

@@ -1,6 +1,6 @@
 """Province key figures."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bondmarts.functions.numeric import round_to
 from bondmarts.functions.text import not_blank
@@ -33,6 +33,15 @@ def province_kpi(bond: DataFrame) -> DataFrame:
     )
 
 
+def kpi_order() -> list[Column]:
+    """Largest amount first."""
+    return [F.desc_nulls_last("issue_amount"), F.col("province")]
+
+
+def kpi_listing(figures: DataFrame) -> DataFrame:
+    return figures.orderBy(*kpi_order())
+
+
 def median_sized_province(bond: DataFrame) -> DataFrame:
     """The province in the middle of all provinces ordered by number of issuers (row n // 2, from 0)."""
     sizes = bond.filter("province is not null").groupBy("province").agg(F.count_distinct("issuer").alias("issuers"))

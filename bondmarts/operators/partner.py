@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from bondmarts import constants as K
 from bondmarts.functions.text import joined_names, trim_spaces
 from bondmarts.operators.filters import filter_eq, rated
-from bondmarts.operators.lists import exploded, list_names
+from bondmarts.operators.lists import exploded
 from bondmarts.operators.ranking import top_rows
 
 
@@ -51,13 +51,13 @@ def grade(shared: Column, main_at: int) -> Column:
     )
 
 
-def partner_network(bond: DataFrame, main_at: int = K.MAIN_PARTNER_AT, lists: bool = True) -> DataFrame:
+def partner_network(bond: DataFrame, main_at: int = K.MAIN_PARTNER_AT, lists: bool = False) -> DataFrame:
     """Clients of each underwriter and those shared with each agency, by province.
 
     Every issuer has a row without agency beside those of its agencies, so one join and one aggregation give
-    the shared clients and, in the group without agency, all clients. With lists the client names are joined
-    to one text per row, which must fit into memory; without, only counts are kept, and `shared_clients`
-    and `underwriter_issuers` give the names as rows.
+    the shared clients and, in the group without agency, all clients. The names are rows of `shared_clients` and
+    `underwriter_issuers`; with lists, as in the published view, they are also joined to one text per row, which
+    must fit into memory.
     """
     rows = scope(bond)
     pairs = underwriter_issuers(rows).join(agency_issuers(rows, with_all=True), ["province", "issuer"])
@@ -84,12 +84,16 @@ def partner_network(bond: DataFrame, main_at: int = K.MAIN_PARTNER_AT, lists: bo
     )
 
 
+def partner_order() -> list[Column]:
+    return [F.col("province"), F.desc("shared_issuers"), F.desc("total_issuers"), F.col("agency"), F.col("underwriter")]
+
+
 def partner_listing(network: DataFrame) -> DataFrame:
-    return network.orderBy("province", F.desc("shared_issuers"), F.desc("total_issuers"), "agency", "underwriter")
+    return network.orderBy(*partner_order())
 
 
 def agency_partners(
-    bond: DataFrame, agency: str, main_at: int = K.MAIN_PARTNER_AT, lists: bool = True, by=("province",), **wanted
+    bond: DataFrame, agency: str, main_at: int = K.MAIN_PARTNER_AT, lists: bool = False, by=("province",), **wanted
 ) -> tuple[DataFrame, DataFrame]:
     """Underwriters seen from one agency, and the agency's client set.
 
@@ -112,22 +116,22 @@ def agency_partners(
     return found.withColumn("grade", grade(F.col("shared_issuers"), main_at)), clients
 
 
-def merged_clients(network: DataFrame, by=("underwriter",), main_at: int = K.MAIN_PARTNER_AT) -> DataFrame:
-    """Client lists of several slices merged per underwriter and counted again."""
+def merged_clients(network: DataFrame, shared: DataFrame, by=("underwriter",), main_at: int = K.MAIN_PARTNER_AT) -> DataFrame:
+    """Clients of several slices merged per underwriter and counted again.
+
+    `shared` are the clients of the same slices as rows, see `shared_clients`; an issuer counts once per row of the result.
+    """
     most = network.groupBy(*by).agg(F.max("total_issuers").alias("total_issuers"))
-    names = list_names(network, "shared_list", by)
-    merged = names.groupBy(*by).agg(F.count("*").alias("shared_issuers"), joined_names("issuer").alias("shared_list"))
-    count = F.coalesce("shared_issuers", F.lit(0))
-    return most.join(merged, list(by), "left").select(
-        *by, "total_issuers", count.alias("shared_issuers"),
-        F.coalesce("shared_list", F.lit("")).alias("shared_list"), grade(count, main_at).alias("grade"),
-    )
+    merged = shared.select(*by, "issuer").distinct().groupBy(*by).agg(F.count("issuer").alias("n"))
+    count = F.coalesce("n", F.lit(0)).cast("long")
+    return most.join(merged, list(by), "left").select(*by, "total_issuers", count.alias("shared_issuers"), grade(count, main_at).alias("grade"))
 
 
-def advice(partners: DataFrame, by=("province",), first: int = 8) -> DataFrame:
-    """Partners to talk to: all main and first contacts, and the first few undeveloped ones."""
+def advice(partners: DataFrame, by=("province",), first: int | None = None) -> DataFrame:
+    """Partners to talk to: all main and first contacts, and the undeveloped ones, all or the first few of each slice."""
     order = [F.desc("shared_issuers"), F.desc("total_issuers"), F.col("underwriter")]
-    keep = [*by, "grade", "underwriter", "total_issuers", "shared_issuers"]
-    active = partners.filter(F.col("grade") != K.UNDEVELOPED)
-    others = partners.filter(F.col("grade") == K.UNDEVELOPED)
-    return active.select(*keep).unionByName(top_rows(others.select(*keep), first, order, by))
+    found = partners.select(*by, "grade", "underwriter", "total_issuers", "shared_issuers")
+    if first is None:
+        return found
+    others = top_rows(found.filter(F.col("grade") == K.UNDEVELOPED), first, order, by)
+    return found.filter(F.col("grade") != K.UNDEVELOPED).unionByName(others)

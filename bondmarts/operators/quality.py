@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bondmarts import constants as K
 from bondmarts.functions.numeric import ratio
@@ -10,32 +10,41 @@ from bondmarts.operators.lists import key_sets
 from bondmarts.storage import store
 
 
-def bond_null_report(bond: DataFrame) -> DataFrame:
-    """All bond checks in one aggregation, one row per check and column.
-
-    check 'required': nulls among all rows. check 'critical': nulls among the rows left after earlier
-    critical columns were dropped, as a share of all rows. check 'watched': nulls among the rows that pass
-    every critical column.
-    """
-
-    def null_counts(columns, given):
-        return [F.count_if(given(c) & F.col(c).isNull()) for c in columns]
+def _checks() -> dict:
+    """Per check its columns, the rows that count for a column, the rows it is a share of, and the limit."""
 
     def earlier(column):
         before = K.CRITICAL_BOND_COLUMNS[: K.CRITICAL_BOND_COLUMNS.index(column)]
         return reduce(lambda a, c: a & F.col(c).isNotNull(), before, F.lit(True))
 
     kept = reduce(lambda a, c: a & F.col(c).isNotNull(), K.CRITICAL_BOND_COLUMNS, F.lit(True))
-    checks = {
+    return {
         "required": (K.REQUIRED_BOND_COLUMNS, lambda c: F.lit(True), "_all", 1.0),
         "critical": (K.CRITICAL_BOND_COLUMNS, earlier, "_all", K.CRITICAL_NULL_LIMIT),
         "watched": (K.WATCHED_BOND_COLUMNS, lambda c: kept, "_kept", K.WATCHED_NULL_LIMIT),
     }
-    counts, rows = [F.count("*").alias("_all"), F.count_if(kept).alias("_kept")], []
-    for check, (columns, given, base, limit) in checks.items():
-        for c, count in zip(columns, null_counts(columns, given)):
+
+
+def null_counts() -> list[Column]:
+    """The aggregates that all bond checks need."""
+    kept = reduce(lambda a, c: a & F.col(c).isNotNull(), K.CRITICAL_BOND_COLUMNS, F.lit(True))
+    counts = [F.count("*").alias("_all"), F.count_if(kept).alias("_kept")]
+    for check, (columns, given, _, _) in _checks().items():
+        counts += [F.count_if(given(c) & F.col(c).isNull()).alias(f"{check}_{c}") for c in columns]
+    return counts
+
+
+def bond_null_report(bond: DataFrame) -> DataFrame:
+    """All bond checks in one aggregation, one row per check and column.
+
+    check 'required': nulls among all rows. check 'critical': nulls among the rows left after earlier
+    critical columns were dropped, as a share of all rows. check 'watched': nulls among the rows that pass
+    every critical column.
+    """
+    rows = []
+    for check, (columns, _, base, limit) in _checks().items():
+        for c in columns:
             name = f"{check}_{c}"
-            counts.append(count.alias(name))
             rate = F.coalesce(ratio(name, base), F.lit(0.0))
             failed = (F.col("_all") > 0) & (rate >= limit if check == "required" else rate > limit)
             rows.append(
@@ -48,7 +57,33 @@ def bond_null_report(bond: DataFrame) -> DataFrame:
                     failed.alias("over_limit"),
                 )
             )
-    return bond.agg(*counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return bond.agg(*null_counts()).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def require_columns(bond: DataFrame) -> None:
+    missing = [c for c in K.REQUIRED_BOND_COLUMNS if c not in bond.columns]
+    if missing:
+        raise ValueError(f"required columns missing: {missing}")
+
+
+def notes_on_nulls(counts: dict[str, int]) -> list[str]:
+    """Notes on the values of `null_counts`. Raises when a required column is empty, or a key column has more than 2 % nulls."""
+    notes, empty, mostly = [], [], []
+    for check, (columns, _, base, limit) in _checks().items():
+        for c in columns:
+            nulls, rows = counts[f"{check}_{c}"], counts[base]
+            rate = nulls / rows if rows else 0.0
+            if check == "required" and rows and rate >= limit:
+                empty.append(c)
+            elif check == "critical" and rows and rate > limit and not empty:
+                raise ValueError(f"{c} is null in {rate:.1%} of the rows ({nulls} of {rows}), more than {limit:.0%}; see bond_null_report")
+            elif check == "critical" and nulls:
+                notes.append(f"{c}: {nulls} rows without value dropped ({rate:.1%})")
+            elif check == "watched" and counts["_all"] and rate > limit:
+                mostly.append(f"{c}: {rate:.1%} of the values are null")
+        if empty:
+            raise ValueError(f"required columns without any value: {empty}")
+    return notes + mostly
 
 
 def drop_critical_nulls(bond: DataFrame) -> DataFrame:
@@ -59,27 +94,8 @@ def check_bond(bond: DataFrame) -> tuple[DataFrame, list[str]]:
     """Cleaned bonds and notes. Raises when a required column is missing or empty, or a key column has
     more than 2 % nulls. Few nulls drop their rows; mostly empty columns are noted.
     """
-    missing = [c for c in K.REQUIRED_BOND_COLUMNS if c not in bond.columns]
-    if missing:
-        raise ValueError(f"required columns missing: {missing}")
-    report = bond_null_report(bond).collect()  # one row per check and column, 18 in all
-    over = {check: [r for r in report if r["check"] == check and r["over_limit"]] for check in ("required", "critical", "watched")}
-    if over["required"]:
-        raise ValueError(f"required columns without any value: {[r['column_name'] for r in over['required']]}")
-    if over["critical"]:
-        bad = over["critical"][0]
-        column = bad["column_name"]
-        samples = [r[0] for r in bond.filter(F.col(column).isNull()).select("security_code").limit(5).collect()]
-        raise ValueError(
-            f"{column} is null in {bad['null_rate']:.1%} of the rows, more than {K.CRITICAL_NULL_LIMIT:.0%}; "
-            f"sample security codes: {samples}"
-        )
-    notes = [
-        f"{r['column_name']}: {r['nulls']} rows without value dropped ({r['null_rate']:.1%})"
-        for r in report
-        if r["check"] == "critical" and r["nulls"]
-    ]
-    notes += [f"{r['column_name']}: {r['null_rate']:.1%} of the values are null" for r in over["watched"]]
+    require_columns(bond)
+    notes = notes_on_nulls(bond.agg(*null_counts()).first().asDict())
     return drop_critical_nulls(bond), notes
 
 
@@ -103,13 +119,20 @@ def fiscal_problems(staged: DataFrame) -> DataFrame:
 
 def check_fiscal(staged: DataFrame) -> None:
     """Raises when a column is missing, a city is null or a city appears twice in one province file."""
-    found = fiscal_problems(staged).limit(5).collect()
-    if found:
-        raise ValueError("fiscal data: " + "; ".join(f"{r.province} {r.fiscal_year}: {r.problem} {r.detail}" for r in found))
+    found = fiscal_problems(staged)
+    kinds = found.groupBy("problem").agg(F.count("*").alias("n"), F.min(F.struct("province", "fiscal_year", "detail")).alias("one")).collect()  # three kinds
+    if kinds:
+        told = "; ".join(f"{r.problem} {r.one.detail} ({r.one.province} {r.one.fiscal_year}, {r.n} in all)" for r in sorted(kinds))
+        raise ValueError(f"fiscal data: {told}; see fiscal_problems")
+
+
+def unmatched_cities(after: DataFrame) -> DataFrame:
+    """Cities that found no revenue, with their rows."""
+    return after.filter("city_fiscal IS NULL").groupBy("province", "city").agg(F.count("*").alias("rows"))
 
 
 def join_audit(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Growth and match rate of the fiscal join per province, with the cities that found no revenue."""
+    """Growth and match rate of the fiscal join per province, and how many cities found no revenue; see `unmatched_cities`."""
     key = "province"
     rows_before = before.groupBy(key).agg(F.count("*").alias("rows_before"))
     per_city = after.groupBy(key, "city").agg(
@@ -118,9 +141,7 @@ def join_audit(before: DataFrame, after: DataFrame) -> DataFrame:
     rows_after = per_city.groupBy(key).agg(
         F.sum("n").alias("rows_after"),
         F.sum("matched").alias("matched"),
-        F.array_join(
-            F.sort_array(F.collect_set(F.when(F.col("matched") < F.col("n"), F.col("city")))), ","
-        ).alias("unmatched_cities"),
+        F.count(F.when(F.col("matched") < F.col("n"), F.col("city"))).alias("unmatched_cities"),
     )
     growth, match = ratio("rows_after", "rows_before"), ratio("matched", "rows_after")
     return rows_before.join(rows_after, key).select(
@@ -138,7 +159,7 @@ def audit_join(before: DataFrame, after: DataFrame) -> list[str]:
     grown = [r for r in found if r["grew"]]
     if grown:
         raise ValueError("join multiplied rows: " + "; ".join(f"{r.province} x{r.growth:.2f}" for r in grown))
-    return [f"{r.province}: only {r.match_rate:.1%} matched, without revenue: {r.unmatched_cities}" for r in found]
+    return [f"{r.province}: only {r.match_rate:.1%} matched, {r.unmatched_cities} cities without revenue" for r in found]
 
 
 def platform_mismatch(e: DataFrame, q: float = K.PLATFORM_QUANTILE) -> DataFrame:

@@ -78,7 +78,7 @@ def marts(bond: DataFrame, fiscal: DataFrame, stored: bool = True) -> dict[str,
         "v_city_credit_overview": city.city_credit_overview(e),
         "v_financial_bench": bench.financial_bench(e),
         "v_issuer_profile": issuers.issuer_profile(e),
-        "v_partner_network": partner.partner_network(bond),
+        "v_partner_network": partner.partner_network(bond, lists=True),
         "v_province_kpi": kpi.province_kpi(bond),
         "v_underwriter_stats": underwriter.underwriter_stats(bond, e),
     }
@@ -98,21 +98,57 @@ def register_views(
     return {name: spark.table(name).count() for name in checked}
 
 
-def activate(spark: SparkSession, root: str, date: str, fiscal_year: str | None = None) -> dict[str, int]:
-    """Point the views at a snapshot that exists, also to go back to an older one."""
-    snapshots.require_snapshot(spark, root, date)
+def _marts_path(root: str, date: str, fiscal_year: str | None) -> str:
+    return f"{root}/marts/snapshot_date={date}/fiscal_year={fiscal_year or 'all'}"
+
+
+def write_marts(spark: SparkSession, root: str, date: str, fiscal_year: str | None = None) -> str:
+    """Write all marts of a snapshot below it, each once; returns their folder. Marts that are complete stay as they are."""
+    path = _marts_path(root, date, fiscal_year)
     fiscal = snapshots.fiscal(spark, root)
     if fiscal_year:
         fiscal = fiscal.filter(F.col("fiscal_year") == fiscal_year)
-    return register_views(spark, snapshots.bond(spark, root, date).drop("snapshot_date"), fiscal)
+    todo = [name for name in VIEW_LABELS if name != "v_bond" and not storage.exists(spark, f"{path}/{name}/_SUCCESS")]
+    if todo:
+        with storage.temporary(spark):
+            tables = marts(snapshots.bond(spark, root, date).drop("snapshot_date"), fiscal)
+            for name in todo:
+                tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    return path
+
+
+def activate(spark: SparkSession, root: str, date: str, fiscal_year: str | None = None, labelled: bool = True) -> None:
+    """Serve a snapshot that exists, also to go back to an older one: note it as active and point the views at its marts.
+
+    The marts of a snapshot are written at its first activation, or before by `write_marts`; after that a switch only reads schemas.
+    """
+    snapshots.require_snapshot(spark, root, date)
+    path = write_marts(spark, root, date, fiscal_year)
+    for name, labels in VIEW_LABELS.items():
+        table = snapshots.bond(spark, root, date).drop("snapshot_date") if name == "v_bond" else spark.read.parquet(f"{path}/{name}")
+        renamed = table.withColumnsRenamed({c: labels[c] for c in table.columns if c in labels}) if labelled else table
+        renamed.createOrReplaceTempView(name)
+    snapshots.set_active(spark, root, date, fiscal_year)
+
 
+def resume(spark: SparkSession, root: str) -> str | None:
+    """Serve the snapshot that was active last, in any session; returns its date."""
+    last = snapshots.active(spark, root)
+    if last is None:
+        return None
+    activate(spark, root, *last)
+    return last[0]
 
-def province_analysis(bond: DataFrame, fiscal: DataFrame, province: str) -> dict[str, DataFrame]:
-    """All tables of one province, from its own bonds and fiscal data. The issuer tables share one computation."""
+
+def province_analysis(bond: DataFrame, fiscal: DataFrame, province: str, e: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of one province, from its own bonds and fiscal data.
+
+    `e` are the issuers of the snapshot, as stored with its marts; without them they are computed and written here.
+    """
     own_bonds = filters.province_slice(bond, province)
-    own_fiscal = fiscal.filter(F.col("province") == province)
+    own_fiscal = filters.province_slice(fiscal, province)
     with_fiscal = issuers.with_city_fiscal(own_bonds, own_fiscal)
-    e = storage.store(issuers.enriched(bond, fiscal))
+    e = storage.store(issuers.enriched(bond, fiscal)) if e is None else e
     own_issuers = filters.province_slice(e, province)
     return {
         "bonds": with_fiscal,

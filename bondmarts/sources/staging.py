@@ -84,9 +84,12 @@ def drop_lineage(df: DataFrame) -> DataFrame:
 
 
 def stage_bond(raw: DataFrame, snapshot_date: str | Column, source: str | Column) -> DataFrame:
-    """The whole bond cleaning as one projection: no shuffle, all expressions stay in the JVM."""
+    """The whole bond cleaning as one projection: no shuffle, all expressions stay in the JVM.
+
+    Source columns that the schema does not know stay under their own names.
+    """
     steps = [typed_numbers, add_level_suffix, normalize_agencies, add_ranks, report_date_text]
-    staged = reduce(lambda df, step: step(df), steps, resolve_headers(raw))
+    staged = reduce(lambda df, step: step(df), steps, resolve_headers(raw, keep_other=True))
     return add_bond_lineage(staged, snapshot_date, source)
 
 
@@ -95,6 +98,11 @@ def file_name() -> Column:
     return F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]*)$", 1)
 
 
+def source_label() -> Column:
+    """Name of the file or folder of files that a row was read from: the last part of the path that has a date or is a fiscal file."""
+    return F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"^.*/((?!part-)[^/]*(?:20\d{6}|财力)[^/]*)", 1)
+
+
 def snapshot_date_of(name: Column) -> Column:
     """The date 20YYMMDD in a file name; a name without one fails the job."""
     date = F.regexp_extract(name, r"20\d{6}", 0)

@@ -4,22 +4,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_stored: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: spark.checkpoint.dir.
 
-    Only a local session, as in tests, gets a temporary folder instead.
+    Only a local session that lacks the setting gets a temporary folder instead.
     """
     app = spark.sparkContext.applicationId
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return f"{configured.rstrip('/')}/bondmarts-{app}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="bondmarts-")
@@ -30,15 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame) -> DataFrame:
     """Write df once and return the written table.
 
-    Cuts the lineage: readers share one computation, and a lost executor costs only its own tasks. Files
-    stay in the shared folder of the application, which can be deleted after it ends.
+    Cuts the lineage: readers share one computation, and a lost executor costs only its own tasks. The files stay until
+    `release`, or the end of the `temporary` block they were written in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that `store` wrote in this application, but for the first `keep`. Results that read them must be done."""
+    paths = _stored.get(spark.sparkContext.applicationId, [])
+    while len(paths) > keep:
+        delete(spark, paths.pop())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end of the block what `store` wrote in it; write or collect results within."""
+    before = len(_stored.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def _path(spark: SparkSession, path: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -49,6 +70,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    path, fs = _path(spark, path)
+    fs.delete(path, True)
+
+
+def publish(spark: SparkSession, draft: str, path: str) -> None:
+    """Move a written folder to its final place, which must not hold a finished one."""
+    source, fs = _path(spark, draft)
+    target, _ = _path(spark, path)
+    fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {draft} to {path}")
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Sorted child names of a folder; empty when it does not exist."""
     path, fs = _path(spark, path)

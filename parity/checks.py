@@ -74,13 +74,18 @@ def _(spark, sf):
     """SELECT province, count(*) AS rows_before, count(*) AS rows_after, count(city_fiscal) AS matched, 1.0::DOUBLE AS growth,
         CAST(count(city_fiscal) AS DOUBLE) / count(*) AS match_rate, false AS grew,
         CAST(count(city_fiscal) AS DOUBLE) / count(*) < 0.8 AS poor_match,
-        coalesce(string_agg(DISTINCT CASE WHEN city_fiscal IS NULL THEN city END, ',' ORDER BY CASE WHEN city_fiscal IS NULL THEN city END), '') AS unmatched_cities
+        count(DISTINCT CASE WHEN city_fiscal IS NULL THEN city END) AS unmatched_cities
     FROM bond_fiscal GROUP BY province""",
 )
 def _(spark, sf):
     return quality.join_audit(P.bond(spark, sf), with_fiscal(spark, sf))
 
 
+@query("unmatched_cities", "SELECT province, city, count(*) AS bonds FROM bond_fiscal WHERE city_fiscal IS NULL GROUP BY province, city")
+def _(spark, sf):
+    return quality.unmatched_cities(with_fiscal(spark, sf)).select("province", "city", F.col("rows").alias("bonds"))
+
+
 _MISMATCH = """SELECT issuer, e.province, e.city, admin_level, city_fiscal, limit_fiscal, fiscal_rank, total_cities,
         '主体：' || issuer || ' | 平台行政级别：' || admin_level || ' | 城市：' || e.city || ' | 财力：' || city_fiscal || '亿 | 排名：' || fiscal_rank || '/' || total_cities AS message
     FROM enriched e JOIN (SELECT province, city, rank() OVER (PARTITION BY province ORDER BY f DESC) AS fiscal_rank FROM cities) r
@@ -147,12 +152,12 @@ def _(spark, sf):
 
 # --- decisions -------------------------------------------------------------------------------------
 
-_POSITIONS = """SELECT province, category, sum(issuers) AS total, max(issuers) AS leader_issuers,
+_POSITIONS = """SELECT province, category, category_order, sum(issuers) AS total, max(issuers) AS leader_issuers,
         arg_max(agency, struct_pack(n := issuers, o := -agency_order)) AS leader,
         max(CASE WHEN is_own THEN issuers END) AS own,
         count(*) FILTER (WHERE NOT is_own AND issuers > own_n) AS agencies_above
     FROM (SELECT *, coalesce(max(CASE WHEN is_own THEN issuers END) OVER (PARTITION BY province, category), 0) AS own_n FROM matrix)
-    GROUP BY province, category"""
+    GROUP BY province, category, category_order"""
 
 
 def _own_matrix(spark, sf):
@@ -163,22 +168,22 @@ def _own_matrix(spark, sf):
     "rank_in_category",
     f"""SELECT province, category, CAST(total AS BIGINT) AS total, leader, leader_issuers, coalesce(own, 0) AS own_issuers,
         CASE WHEN own IS NOT NULL THEN agencies_above + 1 END AS own_rank,
-        round(coalesce(own, 0) * 100.0 / total, 0) AS own_share_pct FROM ({_POSITIONS}) WHERE total > 0""",
+        round(coalesce(own, 0) * 100.0 / total, 0) AS own_share_pct, category_order FROM ({_POSITIONS}) WHERE total > 0""",
     matrix_tables("level", OWN),
 )
 def _(spark, sf):
-    return decisions.rank_in_category(_own_matrix(spark, sf)).drop("category_order")
+    return decisions.rank_in_category(_own_matrix(spark, sf))
 
 
 @query(
     "classify_positions",
     f"""SELECT province, category, coalesce(own, 0) AS own_issuers, agencies_above,
         coalesce(own, 0) > 0 AND agencies_above = 0 AS strong, coalesce(own, 0) > 0 AND agencies_above >= 2 AS weak,
-        coalesce(own, 0) = 0 AS blank FROM ({_POSITIONS})""",
+        coalesce(own, 0) = 0 AS blank, category_order FROM ({_POSITIONS})""",
     matrix_tables("level", OWN),
 )
 def _(spark, sf):
-    return decisions.classify_positions(_own_matrix(spark, sf)).drop("category_order")
+    return decisions.classify_positions(_own_matrix(spark, sf))
 
 
 _LEVERAGE = "coalesce(leverage, round((total_assets - net_assets) / total_assets * 100, 1))"

@@ -55,9 +55,23 @@ def _(spark, sf):
     return agency.agency_market_share(bonds, split=True)
 
 
-@query("view_sorts", _share(f"SELECT province, issuer, trim(issuer_agency) AS agency {_NAMED}") + " ORDER BY province, issuers DESC, agency")
+@query(
+    "kpi_listing",
+    """SELECT province, issue_amount, row_number() OVER (ORDER BY issue_amount DESC NULLS LAST, province) AS place
+    FROM (SELECT province, round(sum(issue_amount), 2) AS issue_amount FROM bond GROUP BY province)""",
+)
+def _(spark, sf):
+    figures = kpi.province_kpi(P.bond(spark, sf)).select("province", "issue_amount")
+    return ranking.numbered(figures, kpi.kpi_order(), name="place")
+
+
+_SHARES = _share(f"SELECT province, issuer, trim(issuer_agency) AS agency {_NAMED}")
+
+
+@query("view_sorts", f"SELECT *, row_number() OVER (ORDER BY province, issuers DESC, agency) AS place FROM ({_SHARES})")
 def _(spark, sf):
-    return agency.market_share_listing(agency.agency_market_share(P.bond(spark, sf)))
+    """The final order of the market share, as places."""
+    return ranking.numbered(agency.agency_market_share(P.bond(spark, sf)), agency.share_order(), name="place")
 
 
 @query(
@@ -96,7 +110,7 @@ def _(spark, sf):
 
 _BANDS = ["0-100亿", "100-200亿", "200-300亿", "300-500亿", "500-700亿", "700-1000亿", "1000亿以上"]
 _CATEGORY = {
-    "fiscal": "CASE WHEN city_fiscal < 100 THEN '0-100亿' WHEN city_fiscal < 200 THEN '100-200亿' "
+    "fiscal": "CASE WHEN city_fiscal < 0 THEN NULL WHEN city_fiscal < 100 THEN '0-100亿' WHEN city_fiscal < 200 THEN '100-200亿' "
     "WHEN city_fiscal < 300 THEN '200-300亿' WHEN city_fiscal < 500 THEN '300-500亿' "
     "WHEN city_fiscal < 700 THEN '500-700亿' WHEN city_fiscal < 1000 THEN '700-1000亿' "
     "WHEN city_fiscal IS NOT NULL THEN '1000亿以上' END",
@@ -106,21 +120,32 @@ _CATEGORY = {
 }
 
 
-def matrix_tables(dimension: str, own: str) -> dict[str, str]:
+_ORDERED = {"fiscal": _BANDS, "level": list(K.LEVEL_RANK), "rating": list(K.RATING_RANK), "city": []}
+
+
+def _order_of(dimension: str) -> str:
+    labels = _ORDERED[dimension]
+    if not labels:
+        return "0"
+    listed = ", ".join(f"'{x}'" for x in labels)
+    return f"CAST(coalesce(nullif(list_position([{listed}], c.category), 0), {len(labels) + 1}) AS INTEGER)"
+
+
+def matrix_tables(dimension: str, own: str, bonds: str = "bond_fiscal") -> dict[str, str]:
     category = _CATEGORY[dimension]
     if dimension == "fiscal":
         bands = ", ".join(f"'{b}'" for b in _BANDS)
         categories = f"SELECT DISTINCT province, unnest([{bands}]) AS category FROM bond"
     else:
-        categories = f"SELECT DISTINCT province, {category} AS category FROM bond_fiscal WHERE {category} IS NOT NULL"
+        categories = f"SELECT DISTINCT province, {category} AS category FROM {bonds} WHERE {category} IS NOT NULL"
     return {
-        "one": f"""SELECT province, issuer, issuer_agency AS agency, {category} AS category FROM bond_fiscal
+        "one": f"""SELECT province, issuer, issuer_agency AS agency, {category} AS category FROM {bonds}
             QUALIFY row_number() OVER (PARTITION BY province, issuer ORDER BY level_rank DESC, security_code) = 1""",
         "counted": "SELECT province, agency, category, count(*) AS n FROM one WHERE category <> '' AND agency IS NOT NULL GROUP BY 1, 2, 3",
         "agencies": f"""SELECT province, agency, agency = '{own}' AS is_own, CAST(row_number() OVER (PARTITION BY province
             ORDER BY (agency = '{own}') DESC, issuer_bonds DESC, agency) AS INTEGER) AS agency_order FROM ({_AGENCY_LIST})""",
         "categories": categories,
-        "matrix": """SELECT a.province, a.agency, c.category, coalesce(n, 0) AS issuers, is_own, agency_order
+        "matrix": f"""SELECT a.province, a.agency, c.category, coalesce(n, 0) AS issuers, is_own, agency_order, {_order_of(dimension)} AS category_order
             FROM agencies a JOIN categories c ON a.province = c.province
             LEFT JOIN counted k ON a.province = k.province AND a.agency = k.agency AND c.category = k.category""",
     }
@@ -129,11 +154,11 @@ def matrix_tables(dimension: str, own: str) -> dict[str, str]:
 def _matrix(dimension: str):
     @query(
         f"competition_matrix_{dimension}",
-        "SELECT province, agency, category, issuers, is_own, agency_order FROM matrix",
+        "SELECT province, agency, category, issuers, is_own, agency_order, category_order FROM matrix",
         matrix_tables(dimension, OWN),
     )
     def run(spark, sf):
-        return agency.competition_matrix(with_fiscal(spark, sf), dimension, OWN).drop("category_order")
+        return agency.competition_matrix(with_fiscal(spark, sf), dimension, OWN)
 
 
 for _dimension in ("fiscal", "level", "rating", "city"):
@@ -151,6 +176,26 @@ def _(spark, sf):
     return agency.competition_matrix(with_fiscal(spark, sf), "fiscal", OWN, wide=True)
 
 
+_LEVELS = list(K.LEVEL_RANK)
+
+
+@query(
+    "competition_matrix_wide_level",
+    "SELECT province, agency, is_own, agency_order, "
+    + ", ".join(f"CAST(sum(CASE WHEN category = '{x}' THEN issuers ELSE 0 END) AS BIGINT) AS \"{x}\"" for x in _LEVELS)
+    + f", CAST(sum(CASE WHEN category_order > {len(_LEVELS)} THEN issuers ELSE 0 END) AS BIGINT) AS \"{K.OTHER_CATEGORIES}\" FROM matrix GROUP BY ALL",
+    {
+        "towns": "SELECT * REPLACE (CASE WHEN CAST(security_code AS BIGINT) % 3 = 0 THEN '镇级' ELSE admin_level END AS admin_level) FROM bond_fiscal",
+        **matrix_tables("level", OWN, "towns"),
+    },
+)
+def _(spark, sf):
+    """A third of the bonds with a level outside the fixed ones, which the last column counts."""
+    town = F.col("security_code").cast("long") % 3 == 0
+    bonds = with_fiscal(spark, sf).withColumn("admin_level", F.when(town, "镇级").otherwise(F.col("admin_level")))
+    return agency.competition_matrix(bonds, "level", OWN, wide=True)
+
+
 # --- cities ----------------------------------------------------------------------------------------
 
 _CITY_RANK = """SELECT province, city, city_fiscal,
@@ -335,14 +380,12 @@ def _(spark, sf):
     "underwriter_rank",
     f"""SELECT province, city, admin_level, rating, fiscal_band, underwriter, bonds,
         row_number() OVER (PARTITION BY province, city, admin_level, rating, fiscal_band ORDER BY bonds DESC, underwriter) AS seq
-    FROM ({_UNDERWRITER}) QUALIFY seq <= 3""",
+    FROM ({_UNDERWRITER})""",
 )
 def _(spark, sf):
-    """The first three of each slice, which needs no full ranking."""
     by, order = ["province", "city", "admin_level", "rating", "fiscal_band"], [F.desc("bonds"), F.col("underwriter")]
     slices = underwriter.underwriter_slices(P.bond(spark, sf), enriched(spark, sf)).select(*by, "underwriter", "bonds")
-    best = ranking.top_rows(slices, 3, order, by)
-    return best.withColumn("seq", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
+    return ranking.numbered(slices, order, by=by)
 
 
 _PROVINCE_UNDERWRITERS = """SELECT province, underwriter, count(DISTINCT issuer) AS issuers, count(*) AS bonds,
@@ -379,8 +422,8 @@ _NETWORK = {**NETWORK, "totals": _TOTALS, "shared": _SHARED}
 
 @query(
     "partner_network",
-    f"""SELECT t.province, coalesce(agency, '未知评级机构') AS agency, t.underwriter, total_issuers, total_list,
-        coalesce(shared_issuers, 0) AS shared_issuers, coalesce(shared_list, '') AS shared_list, {_grade('coalesce(shared_issuers, 0)')}
+    f"""SELECT t.province, coalesce(agency, '未知评级机构') AS agency, t.underwriter, total_issuers,
+        coalesce(shared_issuers, 0) AS shared_issuers, {_grade('coalesce(shared_issuers, 0)')}
     FROM totals t LEFT JOIN shared s ON t.province = s.province AND t.underwriter = s.underwriter""",
     _NETWORK,
 )
@@ -390,20 +433,27 @@ def _(spark, sf):
 
 @query(
     "partner_counts",
-    f"""SELECT t.province, coalesce(agency, '未知评级机构') AS agency, t.underwriter, total_issuers,
-        coalesce(shared_issuers, 0) AS shared_issuers, {_grade('coalesce(shared_issuers, 0)')}
+    f"""SELECT t.province, coalesce(agency, '未知评级机构') AS agency, t.underwriter, total_issuers, coalesce(shared_issuers, 0) AS shared_issuers,
+        {_grade('coalesce(shared_issuers, 0)')}, row_number() OVER (
+            ORDER BY t.province, coalesce(shared_issuers, 0) DESC, total_issuers DESC, coalesce(agency, '未知评级机构'), t.underwriter) AS place
     FROM totals t LEFT JOIN shared s ON t.province = s.province AND t.underwriter = s.underwriter""",
     _NETWORK,
 )
 def _(spark, sf):
-    return partner.partner_listing(partner.partner_network(P.bond(spark, sf), lists=False))
+    network = partner.partner_network(P.bond(spark, sf))
+    return ranking.numbered(network, partner.partner_order(), name="place")
+
+
+@query("partner_names", "SELECT DISTINCT province, agency, underwriter, issuer FROM uw JOIN ag USING (province, issuer)", _NETWORK)
+def _(spark, sf):
+    """The client names behind the counts, as rows."""
+    return partner.shared_clients(P.bond(spark, sf)).select("province", "agency", "underwriter", "issuer")
 
 
 def _partners(agency_name: str, condition: str = "true") -> str:
     return f"""SELECT province, underwriter, count(DISTINCT issuer) AS total_issuers,
         count(DISTINCT CASE WHEN mine THEN issuer END) AS shared_issuers,
-        coalesce(string_agg(DISTINCT CASE WHEN mine THEN issuer END, '、' ORDER BY CASE WHEN mine THEN issuer END), '') AS shared_list
-    FROM (SELECT b.province, b.issuer, trim(unnest(string_split(underwriters, ','))) AS underwriter, c.issuer IS NOT NULL AS mine
+        FROM (SELECT b.province, b.issuer, trim(unnest(string_split(underwriters, ','))) AS underwriter, c.issuer IS NOT NULL AS mine
         FROM bond b LEFT JOIN (SELECT DISTINCT province, issuer FROM bond WHERE {condition}
             AND (contains(issuer_agency, '{agency_name}') OR contains(bond_agency, '{agency_name}'))) c
         ON b.province = c.province AND b.issuer = c.issuer WHERE underwriters IS NOT NULL AND {condition})
@@ -420,23 +470,17 @@ def _(spark, sf):
 
 @query(
     "merged_clients",
-    f"""SELECT underwriter, max(total_issuers) AS total_issuers, count(DISTINCT name) AS shared_issuers,
-        coalesce(string_agg(DISTINCT name, '、' ORDER BY name), '') AS shared_list, {_grade('count(DISTINCT name)')}
-    FROM (SELECT t.underwriter, total_issuers, unnest(string_split(coalesce(shared_list, ''), '、')) AS name
-        FROM totals t LEFT JOIN shared s ON t.province = s.province AND t.underwriter = s.underwriter) GROUP BY underwriter""",
+    f"""SELECT underwriter, max(total_issuers) AS total_issuers, count(DISTINCT issuer) AS shared_issuers, {_grade('count(DISTINCT issuer)')}
+    FROM totals t LEFT JOIN (SELECT province, underwriter, issuer FROM uw JOIN ag USING (province, issuer)) USING (province, underwriter)
+    GROUP BY underwriter""",
     _NETWORK,
 )
 def _(spark, sf):
-    return partner.merged_clients(partner.partner_network(P.bond(spark, sf)))
+    bonds = P.bond(spark, sf)
+    return partner.merged_clients(partner.partner_network(bonds), partner.shared_clients(bonds))
 
 
-@query(
-    "partner_advice",
-    f"""SELECT province, grade, underwriter, total_issuers, shared_issuers FROM
-    (SELECT *, {_grade('shared_issuers')} FROM ({_partners('大公国际', 'admin_level = ' + chr(39) + '省级' + chr(39))}))
-    QUALIFY grade <> '待开拓合作关系'
-        OR row_number() OVER (PARTITION BY province, grade ORDER BY shared_issuers DESC, total_issuers DESC, underwriter) <= 8""",
-)
+@query("partner_advice", f"SELECT province, grade, underwriter, total_issuers, shared_issuers FROM (SELECT *, {_grade('shared_issuers')} FROM ({_partners('大公国际')}))")
 def _(spark, sf):
-    found, _clients = partner.agency_partners(P.bond(spark, sf), "大公国际", lists=False, admin_level="省级")
+    found, _clients = partner.agency_partners(P.bond(spark, sf), "大公国际")
     return partner.advice(found)

@@ -125,6 +125,25 @@ def warehouse(spark: SparkSession, sf_dir: str) -> str:
     return _warehouses[key]
 
 
+def raw_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of raw files as a source would give them, once per session: bond tables by date, a fiscal CSV per province."""
+    key = (spark.sparkContext.applicationId, f"raw {sf_dir}")
+    if key not in _warehouses:
+        folder = f"{storage.shared_dir(spark)}/raw-{len(_warehouses)}"
+        raw = raw_bond(spark, sf_dir)
+        raw.write.parquet(f"{folder}/bond/{SOURCE}")
+        raw.filter(F.date_format("财务最新报告期", "yyyy-MM-dd") < "2000-01-01").write.parquet(f"{folder}/bond/{SOURCE.replace(ACTIVE, EARLIER)}")
+        cities = storage.store(raw_fiscal(spark, sf_dir))
+        for r in cities.select("省份").distinct().collect():  # one row per province
+            own = cities.filter(F.col("省份") == r["省份"]).drop("省份").coalesce(1)
+            draft = f"{folder}/draft/{r['省份']}"
+            own.write.option("header", True).csv(draft)
+            part = next(n for n in storage.list_names(spark, draft) if n.startswith("part-"))
+            storage.publish(spark, f"{draft}/{part}", f"{folder}/fiscal/{FISCAL_YEAR}年{r['省份']}财力.csv")
+        _warehouses[key] = folder
+    return _warehouses[key]
+
+
 def bond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.bond(spark, warehouse(spark, sf_dir), ACTIVE).drop("snapshot_date")
 

@@ -19,7 +19,7 @@ def enriched(spark, sf):
     return issuers.enriched(P.bond(spark, sf), P.fiscal(spark, sf))
 
 
-@query("province_slice", "SELECT security_code, province, city FROM bond WHERE contains(province, 'AS')")
+@query("province_slice", "SELECT security_code, province, city FROM bond WHERE province = 'ASIA'")
 def _(spark, sf):
     return filters.province_slice(P.bond(spark, sf), "ASIA").select("security_code", "province", "city")
 
@@ -221,9 +221,14 @@ def _(spark, sf):
     return issuers.issuer_profile(enriched(spark, sf))
 
 
-@query("nulls_last_sort", "SELECT * FROM enriched ORDER BY city_fiscal DESC NULLS LAST, level_rank DESC, rating_rank DESC")
+@query(
+    "nulls_last_sort",
+    """SELECT *, row_number() OVER (ORDER BY city_fiscal DESC NULLS LAST, level_rank DESC, rating_rank DESC, total_assets DESC NULLS LAST, issuer) AS place
+    FROM enriched""",
+)
 def _(spark, sf):
-    return issuers.issuer_profile_listing(issuers.issuer_profile(enriched(spark, sf)))
+    order = [*filters.strongest_first("total_assets"), F.col("issuer")]
+    return ranking.numbered(issuers.issuer_profile(enriched(spark, sf)), order, name="place")
 
 
 # --- lists and sets --------------------------------------------------------------------------------

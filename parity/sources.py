@@ -1,16 +1,18 @@
 """Sources, snapshots and cleaning."""
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from bondmarts import storage
 from bondmarts.functions import numeric, text
 from bondmarts.operators import filters, issuers
-from bondmarts.plans import serving
+from bondmarts.plans import build, serving
 from bondmarts.sources import export, snapshots, staging
 from parity import projection as P
 from parity.base import query
+from parity.slices import NETWORK
 
 
 def _new_folder(spark) -> str:
@@ -55,20 +57,59 @@ def _(spark, sf):
 
 @query(
     "snapshot_id",
-    """SELECT '20' || strftime(o_orderdate, '%y%m%d') AS snapshot_date, count(*) AS files
-    FROM orders GROUP BY 1""",
+    """SELECT '20230216' AS snapshot_date, count(*) AS bonds FROM bond
+    UNION ALL SELECT '20000101', count(*) FROM bond WHERE report_date < '2000-01-01'""",
 )
 def _(spark, sf):
-    names = P.table(spark, sf, "orders").select(
-        F.concat(F.lit("全国城投债数据_截止20"), F.date_format("o_orderdate", "yyMMdd"), F.lit(".xlsx")).alias("name")
-    )
-    return names.groupBy(staging.snapshot_date_of(F.col("name")).alias("snapshot_date")).agg(F.count("*").alias("files"))
+    """The date in the name of the raw file that a row comes from."""
+    folder = P.raw_files(spark, sf)
+    raw = spark.read.parquet(*[f"{folder}/bond/{name}" for name in storage.list_names(spark, f"{folder}/bond")])
+    return raw.groupBy(staging.snapshot_date_of(staging.source_label()).alias("snapshot_date")).agg(F.count("*").alias("bonds"))
+
+
+@query("province_from_file", "SELECT province, count(*) AS cities FROM fiscal GROUP BY province")
+def _(spark, sf):
+    """The province in the name of the fiscal file that a row comes from."""
+    staged = snapshots.read_fiscal_files(spark, f"{P.raw_files(spark, sf)}/fiscal", P.FISCAL_YEAR)
+    return staged.groupBy("province").agg(F.count("*").alias("cities"))
+
+
+@query(
+    "other_columns",
+    "SELECT security_code, o_orderstatus AS \"备注\" FROM bond JOIN orders ON security_code = CAST(o_orderkey AS VARCHAR)",
+)
+def _(spark, sf):
+    """A source column that the schema does not know, read back from the snapshot."""
+    return snapshots.bond(spark, P.warehouse(spark, sf), P.ACTIVE, other="`备注` string").select("security_code", "备注")
+
+
+_KPI_SQL = """SELECT province AS "省份", count(DISTINCT issuer) AS "总发行主体_家",
+        count(DISTINCT CASE WHEN rating IS NOT NULL AND trim(rating) <> '' THEN issuer END) AS "已评级主体_家",
+        count(*) AS "债项总数_条", round(sum(issue_amount), 2) AS "发行总额_亿", round(avg(coupon), 4) AS "平均票面利率_pct",
+        count(DISTINCT city) AS "覆盖城市_个", count(DISTINCT issuer_agency) AS "评级机构数_家"
+    FROM bond"""
+
+
+@query("build", f"{_KPI_SQL} GROUP BY province")
+def _(spark, sf):
+    """From raw files to a served view: the newest bond file is the one that counts."""
+    root, folder = _new_folder(spark), P.raw_files(spark, sf)
+    build.build(spark, root, f"{folder}/bond", f"{folder}/fiscal", P.FISCAL_YEAR)
+    return spark.table("v_province_kpi")
 
 
-@query("province_from_file", "SELECT province, count(*) AS files FROM bond GROUP BY province")
+@query(
+    "active_snapshot",
+    "SELECT '20000101' AS snapshot_date, '2021' AS fiscal_year, count(*) AS bonds FROM bond WHERE report_date < '2000-01-01'",
+)
 def _(spark, sf):
-    names = P.bond(spark, sf).select(F.concat(F.lit("2021年"), "province", F.lit("财力.csv")).alias("name"))
-    return names.groupBy(staging.province_of(F.col("name"), "2021").alias("province")).agg(F.count("*").alias("files"))
+    """What a new session finds active after a roll-back."""
+    root = P.warehouse(spark, sf)
+    serving.activate(spark, root, P.ACTIVE, P.FISCAL_YEAR)
+    serving.activate(spark, root, P.EARLIER, P.FISCAL_YEAR)
+    date, year = snapshots.active(spark, root)
+    bonds = snapshots.bond(spark, root, date).groupBy("snapshot_date").agg(F.count("*").alias("bonds"))
+    return bonds.select("snapshot_date", F.lit(year).alias("fiscal_year"), "bonds")
 
 
 @query(
@@ -131,14 +172,7 @@ def _(spark, sf):
     return latest.groupBy("snapshot_date").agg(F.count_distinct("issuer").alias("issuers"))
 
 
-@query(
-    "activate_snapshot",
-    """SELECT province AS "省份", count(DISTINCT issuer) AS "总发行主体_家",
-        count(DISTINCT CASE WHEN rating IS NOT NULL AND trim(rating) <> '' THEN issuer END) AS "已评级主体_家",
-        count(*) AS "债项总数_条", round(sum(issue_amount), 2) AS "发行总额_亿", round(avg(coupon), 4) AS "平均票面利率_pct",
-        count(DISTINCT city) AS "覆盖城市_个", count(DISTINCT issuer_agency) AS "评级机构数_家"
-    FROM bond WHERE report_date < '2000-01-01' GROUP BY province""",
-)
+@query("activate_snapshot", f"{_KPI_SQL} WHERE report_date < '2000-01-01' GROUP BY province")
 def _(spark, sf):
     """Roll back to the older snapshot and ask a served view by its published columns."""
     serving.activate(spark, P.warehouse(spark, sf), P.EARLIER, P.FISCAL_YEAR)
@@ -146,16 +180,47 @@ def _(spark, sf):
 
 
 @query(
-    "serve_views",
-    """SELECT 'v_bond' AS view_name, count(*) AS view_rows FROM bond
-    UNION ALL SELECT 'v_fiscal', count(*) FROM fiscal UNION ALL SELECT 'v_issuer_profile', count(*) FROM enriched""",
+    "province_analysis",
+    """SELECT province, count(DISTINCT issuer) AS issuers, count(*) AS bonds, round(sum(issue_amount), 2) AS issue_amount,
+        count(DISTINCT city) AS cities, count(city_fiscal) AS with_revenue
+    FROM bond_fiscal WHERE province = 'ASIA' GROUP BY province""",
 )
 def _(spark, sf):
-    counts = serving.register_views(spark, P.bond(spark, sf), P.fiscal(spark, sf))
-    return spark.createDataFrame(sorted(counts.items()), "view_name string, view_rows bigint")
+    """Figures and join of one province, which no other province takes part in."""
+    found = serving.province_analysis(P.bond(spark, sf), P.fiscal(spark, sf), "ASIA省")
+    figures = found["province_kpi"].select("province", "issuers", "bonds", "issue_amount", "cities")
+    return figures.join(found["join_audit"].select("province", F.col("matched").alias("with_revenue")), "province")
+
+
+_VIEW_ROWS = {
+    "v_bond": "bond", "v_fiscal": "fiscal", "int_v_issuer_enriched": "enriched", "v_issuer_profile": "enriched",
+    "v_agency_competitive_landscape": "enriched",
+    "v_province_kpi": "(SELECT DISTINCT province FROM bond)",
+    "v_agency_market_share": "(SELECT DISTINCT province, trim(issuer_agency) FROM rated WHERE trim(issuer_agency) <> '')",
+    "v_city_credit_overview": "(SELECT DISTINCT province, city, rating, admin_level FROM enriched)",
+    "v_financial_bench": "(SELECT DISTINCT province, city, admin_level, rating FROM enriched)",
+    "v_underwriter_stats": """(SELECT DISTINCT b.province, b.city, b.admin_level, b.rating, fiscal_band, underwriter FROM
+        (SELECT *, trim(unnest(string_split(underwriters, ','))) AS underwriter FROM bond WHERE underwriters <> '') b
+        LEFT JOIN enriched e ON b.issuer = e.issuer)""",
+    "v_partner_network": """(SELECT DISTINCT u.province, underwriter, agency FROM uw u LEFT JOIN ag a ON u.province = a.province AND u.issuer = a.issuer
+        QUALIFY agency IS NOT NULL OR count(agency) OVER (PARTITION BY u.province, underwriter) = 0)""",
+}
+
+
+@query("serve_views", " UNION ALL ".join(f"SELECT '{v}' AS view_name, count(*) AS view_rows FROM {t}" for v, t in _VIEW_ROWS.items()), NETWORK)
+def _(spark, sf):
+    """Rows of all served views."""
+    serving.activate(spark, P.warehouse(spark, sf), P.ACTIVE, P.FISCAL_YEAR)
+    counts = [spark.table(v).agg(F.lit(v).alias("view_name"), F.count("*").alias("view_rows")) for v in serving.VIEW_LABELS]
+    return reduce(DataFrame.unionByName, counts)
 
 
-@query("build_record")
+@query(
+    "build_record",
+    """SELECT '20230216' AS active_snapshot, '2021' AS fiscal_year, '20000101,20230216' AS snapshots,
+        CAST((SELECT count(*) FROM (SELECT unnest([count(total_assets), count(net_assets), count(revenue), count(net_profit), count(leverage),
+            count(report_date)]) AS n, count(*) AS all_rows FROM bond) WHERE n < all_rows * 0.2) AS INTEGER) AS notes""",
+)
 def _(spark, sf):
     return snapshots.builds(spark, P.warehouse(spark, sf)).select(
         "active_snapshot", "fiscal_year", F.array_join("snapshots", ",").alias("snapshots"), F.size("notes").alias("notes")

@@ -42,8 +42,12 @@ def test_join_without_fiscal_columns(spark, bonds):
     assert rows(joined, "issuer", "city_fiscal") == [("甲", None)]
 
 
-def test_province_slice_uses_two_characters(spark, bonds):
-    df = bonds(bond("甲", 1, "1"), bond("乙", 1, "2", province="四川省"), bond("丙", 1, "3", province=None), bond("丁", 1, "4", province="浙江"))
+def test_province_slice_takes_one_province(spark, bonds):
+    df = bonds(
+        bond("甲", 1, "1"), bond("乙", 1, "2", province="四川省"), bond("丙", 1, "3", province=None), bond("丁", 1, "4", province="浙江"),
+        bond("戊", 1, "5", province="四川北部"), bond("己", 1, "6", province="省"),
+    )
+    assert rows(filters.province_slice(df, "省"), "issuer") == [("己",)]
     assert rows(filters.province_slice(df, "四川省"), "issuer") == [("乙",), ("甲",)]
 
 

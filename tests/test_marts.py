@@ -75,7 +75,20 @@ def test_wide_matrix(matrix_bonds):
     wide = agency.competition_matrix(matrix_bonds, "rating", wide=True)
     assert wide.columns == ["province", "agency", "is_own", "agency_order", "AAA", "AA+", "AA", "AA-", "A+", "A"]
     assert rows(wide, "agency", "AA", "AAA") == [("w", 0, 0), ("x", 2, 0), ("y", 3, 0), ("z", 1, 0)]
-    assert "C" in agency.competition_matrix(matrix_bonds, "city", wide=True).columns
+    with pytest.raises(ValueError, match="long form"):
+        agency.competition_matrix(matrix_bonds, "city", wide=True)
+
+
+def test_wide_matrix_counts_other_levels(matrix_bonds):
+    town = matrix_bonds.withColumn("admin_level", F.when(F.col("admin_level") == "地市级", "镇级").otherwise(F.col("admin_level")))
+    long = agency.competition_matrix(town, "level")
+    wide = agency.competition_matrix(town, "level", wide=True)
+    assert wide.agg(F.sum("其他")).first()[0] == long.filter("category not in ('省级', '区县级')").agg(F.sum("issuers")).first()[0] > 0
+
+
+def test_negative_revenue_has_no_category(matrix_bonds):
+    negative = matrix_bonds.withColumn("city_fiscal", F.lit(-1.0))
+    assert agency.competition_matrix(negative, "fiscal").agg(F.sum("issuers")).first()[0] == 0
 
 
 def test_rank_and_position_in_category(matrix_bonds):

@@ -17,7 +17,7 @@ def network_bonds(bonds):
 
 
 def test_partner_network(spark, bonds):
-    got = partner.partner_network(network_bonds(bonds))
+    got = partner.partner_network(network_bonds(bonds), lists=True)
     assert rows(got, "province", "agency", "underwriter", "total_issuers", "total_list", "shared_issuers", "shared_list", "grade") == [
         ("P", "x", "U", 3, "丙、乙、甲", 3, "丙、乙、甲", "主要合作伙伴"),
         ("P", "x", "V", 1, "甲", 1, "甲", "初步合作对象"),
@@ -31,9 +31,9 @@ def test_partner_network(spark, bonds):
 def test_counts_only_network_has_the_same_numbers(spark, bonds):
     df = network_bonds(bonds)
     columns = ["province", "agency", "underwriter", "total_issuers", "shared_issuers", "grade"]
-    counts = partner.partner_network(df, lists=False)
+    counts = partner.partner_network(df)
     assert counts.columns == columns
-    assert rows(counts) == rows(partner.partner_network(df), *columns)
+    assert rows(counts) == rows(partner.partner_network(df, lists=True), *columns)
     assert rows(partner.shared_clients(df).groupBy("province", "agency", "underwriter").count(), "agency", "underwriter", "count") == sorted(
         [("x", "U", 3), ("x", "V", 1), ("y", "U", 1), ("x", "V", 1)], key=repr
     )
@@ -54,7 +54,7 @@ def test_agency_partners(spark, bonds):
         bond("甲", "U,V,", issuer_agency="大x公司"), bond("乙", "U", bond_agency="y,大x公司"), bond("乙", "W"), bond("丙", "W", issuer_agency="y"),
         bond("丁", "V", issuer_agency="大x公司", admin_level="省级"), bond("戊", "Z", rating=None),
     )
-    found, clients = partner.agency_partners(df, "大x", main_at=2)
+    found, clients = partner.agency_partners(df, "大x", main_at=2, lists=True)
     assert rows(clients) == [("P", "丁"), ("P", "乙"), ("P", "甲")]
     assert rows(found) == [
         ("P", "U", 2, 2, "乙、甲", "主要合作伙伴"), ("P", "V", 2, 2, "丁、甲", "主要合作伙伴"),
@@ -65,17 +65,15 @@ def test_agency_partners(spark, bonds):
 
 
 def test_merged_clients(spark):
-    df = spark.createDataFrame(
-        [("U", 3, "甲、乙"), ("U", 2, "乙、丙"), ("V", 1, ""), ("W", 1, None)], "underwriter string, total_issuers int, shared_list string"
-    )
-    assert rows(partner.merged_clients(df)) == [
-        ("U", 3, 3, "丙、乙、甲", "主要合作伙伴"), ("V", 1, 0, "", "待开拓合作关系"), ("W", 1, 0, "", "待开拓合作关系"),
-    ]
+    df = spark.createDataFrame([("U", 3), ("U", 2), ("V", 1), ("W", 1)], "underwriter string, total_issuers int")
+    names = spark.createDataFrame([("U", "甲"), ("U", "乙"), ("U", "乙"), ("U", "丙")], "underwriter string, issuer string")
+    assert rows(partner.merged_clients(df, names)) == [("U", 3, 3, "主要合作伙伴"), ("V", 1, 0, "待开拓合作关系"), ("W", 1, 0, "待开拓合作关系")]
 
 
-def test_advice_limits_only_undeveloped(spark):
+def test_advice_keeps_all_unless_asked(spark):
     data = [("P", f"m{i:02d}", 5, 4, "主要合作伙伴") for i in range(10)] + [("P", f"u{i:02d}", i, 0, "待开拓合作关系") for i in range(12)]
     df = spark.createDataFrame(data, "province string, underwriter string, total_issuers int, shared_issuers int, grade string")
-    got = partner.advice(df)
+    assert partner.advice(df).count() == 22
+    got = partner.advice(df, first=8)
     assert got.filter("grade = '主要合作伙伴'").count() == 10
     assert rows(got.filter("shared_issuers = 0"), "underwriter") == [(f"u{i:02d}",) for i in range(4, 12)]
