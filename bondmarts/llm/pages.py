@@ -71,7 +71,7 @@ def blocks(html: str) -> list[dict]:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
                 words = len(text.split(" "))
-                linked = len("".join(link_parts).split())
+                linked = len(" ".join(link_parts).split())
                 boiler, article = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
                 names = {s[0] for s in stack}
                 heading = any(n in names for n in ("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -157,7 +157,7 @@ def train(spark: SparkSession, pages=PAGES, depth: int = 4):
         rows += [(float(y), *x) for y, x in zip(labels, features(found))]
     data = spark.createDataFrame(rows, ["label", *FEATURES]).coalesce(1)
     data = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(data).select("label", "x")
-    return DecisionTreeClassifier(labelCol="label", featuresCol="x", maxDepth=depth, seed=1).fit(data)
+    return DecisionTreeClassifier(labelCol="label", featuresCol="x", maxDepth=depth, maxBins=256, seed=1).fit(data)
 
 
 def compiled(tree, value) -> Column:
