@@ -62,8 +62,8 @@ def test_large_fiscal_side_is_not_broadcast(spark):
 
 def test_served_views_answer_in_published_names(spark):
     root = P.warehouse(spark, SF_DIR)
-    counts = serving.activate(spark, root, P.ACTIVE)
-    assert counts["v_bond"] == P.bond(spark, SF_DIR).count() and counts["v_fiscal"] == 25
+    serving.activate(spark, root, P.ACTIVE)
+    assert spark.table("v_bond").count() == P.bond(spark, SF_DIR).count() and spark.table("v_fiscal").count() == 25
     for name, labels in serving.VIEW_LABELS.items():
         columns = spark.table(name).columns
         assert not [c for c in columns if c in labels and labels[c] != c and name != "v_fiscal"], name
@@ -75,9 +75,27 @@ def test_served_views_answer_in_published_names(spark):
 
 def test_rollback_changes_the_views(spark):
     root = P.warehouse(spark, SF_DIR)
-    older = serving.activate(spark, root, P.EARLIER)["v_bond"]
-    newer = serving.activate(spark, root, snapshots.latest_snapshot(spark, root))["v_bond"]
-    assert older < newer
+    serving.activate(spark, root, P.EARLIER)
+    older = spark.table("v_bond").count()
+    assert snapshots.active(spark, root) == (P.EARLIER, None)
+    serving.activate(spark, root, snapshots.latest_snapshot(spark, root))
+    assert older < spark.table("v_bond").count()
+    serving.activate(spark, root, P.EARLIER, P.FISCAL_YEAR)
+    assert serving.resume(spark, root) == P.EARLIER and spark.table("v_bond").count() == older
+
+
+def test_a_switch_to_written_marts_sorts_nothing(spark):
+    """Once a snapshot has its marts, activation reads schemas and notes; no job of it has a shuffle of the data."""
+    root = P.warehouse(spark, SF_DIR)
+    serving.write_marts(spark, root, P.ACTIVE)
+    tracker, group = spark.sparkContext.statusTracker(), "switch"
+    spark.sparkContext.setJobGroup(group, group)
+    serving.activate(spark, root, P.ACTIVE)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert all(tracker.getStageInfo(s).numTasks <= 25 for s in stages if tracker.getStageInfo(s))
+    for name in serving.VIEW_LABELS:
+        assert "Sort " not in plan(spark.table(name)) and "Exchange" not in plan(spark.table(name)) or name == "v_fiscal"
 
 
 def test_province_analysis(spark):

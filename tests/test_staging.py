@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from bondmarts.schema import BOND
 from bondmarts.sources import export, snapshots, staging
+from bondmarts import storage
 from bondmarts.operators import filters
+from bondmarts.plans import build
 from conftest import rows
 
 
@@ -107,6 +109,55 @@ def test_snapshots_are_immutable_and_listed(spark, bonds, tmp_path):
         snapshots.require_snapshot(spark, root, "20200101")
 
 
+def test_half_written_province_is_rebuilt(spark, tmp_path):
+    """Files without a mark, as a job leaves them that dies in its commit, are neither served nor kept."""
+    folder, root = str(tmp_path / "raw"), str(tmp_path / "lake")
+    os.makedirs(folder)
+    write_text(f"{folder}/2021年四川省财力.csv", "地区,一般公共预算收入(亿元)\n成都市,1\n绵阳市,2\n")
+    half = spark.createDataFrame([("成都市", 9.0, "四川省", "2021")], "city string, revenue double, province string, fiscal_year string")
+    half.write.partitionBy("province", "fiscal_year").parquet(f"{root}/fiscal")
+    assert snapshots.fiscal(spark, root).count() == 0 and snapshots.written_fiscal(spark, root) == set()
+    snapshots.write_fiscal(snapshots.read_fiscal_files(spark, folder, "2021"), root)
+    assert rows(snapshots.fiscal(spark, root), "city", "revenue") == [("成都市", 1.0), ("绵阳市", 2.0)]
+
+
+def test_snapshot_reads_its_source_once(spark, bonds, tmp_path):
+    """Every row of the source is evaluated once, and a failing source leaves nothing behind."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = bonds(*[full(issuer=f"i{i}") for i in range(200)], full(city=None))
+    counted = source.mapInArrow(counting, source.schema).withColumn("备注", F.lit("x"))
+    notes = snapshots.build_snapshot(counted, str(tmp_path), "20230216")
+    assert seen.value == 201 and notes[0].startswith("city: 1 rows without value dropped")
+    stored = snapshots.bond(spark, str(tmp_path), "20230216", other="`备注` string")
+    assert stored.count() == 200 and {r["备注"] for r in stored.collect()} == {"x"}
+    with pytest.raises(ValueError, match="city is null"):
+        snapshots.build_snapshot(bonds(*[full(city=None if i < 9 else "c") for i in range(100)]), str(tmp_path), "20240101")
+    assert snapshots.list_snapshots(spark, str(tmp_path)) == ["20230216"] and os.listdir(f"{tmp_path}/_draft") == []
+
+
+def test_newest_bond_file_by_date_in_its_name(spark, tmp_path):
+    for name in ("债券.csv", "z_20220930.csv", "a_20230216.csv", "20240101.xlsx"):
+        write_text(str(tmp_path / name), "x\n1\n")
+    assert build.newest_bond_file(spark, str(tmp_path)) == "a_20230216.csv"
+    with pytest.raises(ValueError, match="no bond file"):
+        build.newest_bond_file(spark, str(tmp_path / "none"))
+
+
+def test_stored_tables_are_released(spark):
+    df = spark.createDataFrame([(1,)], "x int")
+    before = set(storage.list_names(spark, storage.shared_dir(spark)))
+    with storage.temporary(spark):
+        assert storage.store(df).count() == 1
+        assert len(storage.list_names(spark, storage.shared_dir(spark))) == len(before) + 1
+    assert set(storage.list_names(spark, storage.shared_dir(spark))) == before
+
+
 def test_only_the_asked_snapshot_is_read(spark, bonds, tmp_path):
     root = str(tmp_path)
     for date in ("20220930", "20230216"):
