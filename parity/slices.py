@@ -253,7 +253,7 @@ def _(spark, sf):
     NETWORK,
 )
 def _(spark, sf):
-    network = partner.partner_network(P.bond(spark, sf))
+    network = partner.partner_network(P.bond(spark, sf), lists=True)
     return lists.list_names(network, "shared_list", ["province", "agency"])
 
 

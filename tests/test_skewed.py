@@ -21,13 +21,12 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
 }
-# Cities here are in `coords` only by chance, and raw tables are not made up.
+# These run on raw tables, on the warehouse built from them, or on tables other than bonds; cities here are in `coords` only by chance.
 SKIPPED = {
-    "resolve_headers", "fiscal_headers", "snapshot_id", "numeric_coercion", "round_half_away", "trim_unicode", "agency_alias",
-    "level_suffix", "report_date_text", "scan_snapshot", "scan_fiscal", "fiscal_point", "write_fiscal", "write_snapshot",
-    "list_snapshots", "latest_snapshot", "activate_snapshot", "serve_views", "build_record", "lineage_columns", "fiscal_checks",
-    "derived_leverage", "score_candidates", "verdict", "level_ordinal", "rating_ordinal", "agency_short_name", "category_order",
-    "agency_market_share_split",
+    "resolve_headers", "fiscal_headers", "snapshot_id", "province_from_file", "numeric_coercion", "round_half_away", "trim_unicode", "agency_alias",
+    "level_suffix", "report_date_text", "scan_snapshot", "scan_fiscal", "fiscal_point", "write_fiscal", "list_snapshots", "latest_snapshot",
+    "activate_snapshot", "active_snapshot", "serve_views", "build", "build_record", "other_columns", "fiscal_checks", "derived_leverage",
+    "province_analysis", "competition_matrix_wide_level", "agency_short_name", "category_order", "lineage_columns",
 }
 
 
