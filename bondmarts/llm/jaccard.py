@@ -36,7 +36,7 @@ CELLS, PIECE = 1 << 19, 1 << 13
 #: Classes of a tile that meet in one block; a larger tile is dealt over more blocks.
 BLOCK = 512
 #: Rows of blocks that a task is given because they share their least class, about.
-TASK = 50_000
+TASK = 4_000
 #: Rows of one key held at a time.
 HELD = 1 << 20
 
