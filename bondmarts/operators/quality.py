@@ -206,15 +206,18 @@ def platform_notes(mismatches: DataFrame, q: float = K.PLATFORM_QUANTILE) -> Dat
 def table_diff(a: DataFrame, b: DataFrame, key: str, columns, atol: float = 0.1) -> DataFrame:
     """Column-wise comparison of two tables aligned on a key, one row per column.
 
-    Only keys on both sides and pairs of two numbers are compared; keys of one side are counted.
+    Only keys on both sides and pairs of two numbers are compared; keys of one side and repeated ones are counted. A column is
+    within the tolerance if something was compared, no key is on one side only and none is repeated.
     """
 
     def numbers(df, side):
-        # One row per key: the smallest value where a key is repeated.
-        per_key = df.groupBy(key).agg(*[F.min(F.col(c).cast("double")).alias(f"{side}_{c}") for c in columns])
-        return per_key.withColumn(f"_{side}", F.lit(1))
+        # One row per key; the smallest value stands for a repeated one, which is counted.
+        values = [F.min(F.col(c).cast("double")).alias(f"{side}_{c}") for c in columns]
+        return df.groupBy(key).agg(F.count("*").alias(f"_{side}"), *values)
 
     both = numbers(a, "a").join(numbers(b, "b"), key, "full")
+    only_a, only_b = F.count_if(F.col("_b").isNull()), F.count_if(F.col("_a").isNull())
+    repeated = F.count_if((F.col("_a") > 1) | (F.col("_b") > 1))
     cells = []
     for c in columns:
         diff = F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))
@@ -225,9 +228,10 @@ def table_diff(a: DataFrame, b: DataFrame, key: str, columns, atol: float = 0.1)
                 F.count(diff).alias("compared"),
                 F.max(diff).alias("max_diff"),
                 worst["k"].alias("worst_key"),
-                F.count_if(F.col("_b").isNull()).alias("only_a"),
-                F.count_if(F.col("_a").isNull()).alias("only_b"),
-                (F.coalesce(F.max(diff), F.lit(0.0)) <= F.lit(float(atol))).alias("within"),
+                only_a.alias("only_a"),
+                only_b.alias("only_b"),
+                repeated.alias("repeated"),
+                (F.coalesce(F.max(diff) <= F.lit(float(atol)), F.lit(False)) & (only_a == 0) & (only_b == 0) & (repeated == 0)).alias("within"),
             )
         )
     return both.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
@@ -242,14 +246,6 @@ def row_count_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return counts.withColumn("equal", F.col("rows_a") == F.col("rows_b"))
 
 
-def scalar_diff(value_a, value_b, atol: float = 0.05) -> bool:
-    """Two scalars agree: numbers within atol, other values as text."""
-    try:
-        return abs(float(value_a) - float(value_b)) <= atol
-    except (TypeError, ValueError):
-        return value_b is not None and str(value_a) == str(value_b)
-
-
 def key_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct keys found on one side only, with the side."""
     return key_sets(a, b, key).filter(F.col(key).isNotNull() & (F.col("side") != "both"))

@@ -120,7 +120,7 @@ _OLD = "SELECT province, count(DISTINCT issuer) AS issuers, count(*) AS bonds, c
         f"""SELECT '{c}' AS column_name, count(abs(a.{c} - b.{c})) AS compared, max(abs(a.{c} - b.{c})::DOUBLE) AS max_diff,
         arg_max(a.province, struct_pack(d := abs(a.{c} - b.{c}), k := a.province)) AS worst_key,
         count(*) FILTER (WHERE b.province IS NULL) AS only_a, count(*) FILTER (WHERE a.province IS NULL) AS only_b,
-        max(abs(a.{c} - b.{c})) <= 0.1 AS within
+        CAST(0 AS BIGINT) AS repeated, max(abs(a.{c} - b.{c})) <= 0.1 AND count(a.province) = count(*) AND count(b.province) = count(*) AS within
     FROM ({_OLD} GROUP BY province) a FULL JOIN ({_OLD} WHERE report_date < '2000-01-01' GROUP BY province) b ON a.province = b.province"""
         for c in _KPI_COLUMNS
     ),

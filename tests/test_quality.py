@@ -87,13 +87,16 @@ def test_table_diff(spark):
     a = spark.createDataFrame([("k1", 1.0, 5), ("k2", 2.0, None), ("k3", 3.0, 7)], "key string, x double, y int")
     b = spark.createDataFrame([("k1", 1.05, 5), ("k2", 2.5, 6), ("k4", 9.0, 9)], "key string, x double, y int")
     got = rows(quality.table_diff(a, b, "key", ["x", "y"]))
-    assert got == [("x", 2, 0.5, "k2", 1, 1, False), ("y", 1, 0.0, "k1", 1, 1, True)]
-    assert {r.within for r in quality.table_diff(a, b, "key", ["x"], atol=0.5).collect()} == {True}
+    assert got == [("x", 2, 0.5, "k2", 1, 1, 0, False), ("y", 1, 0.0, "k1", 1, 1, 0, False)]
+    both = a.filter("key <> 'k3'"), b.filter("key <> 'k4'")
+    assert [quality.table_diff(*both, "key", ["x"], atol=t).first().within for t in (0.4, 0.5)] == [False, True]
+    twice = quality.table_diff(a.unionAll(a.limit(1)), a, "key", ["x"]).first()
+    assert (twice.repeated, twice.within) == (1, False)
+    assert not quality.table_diff(a.limit(0), a.limit(0), "key", ["x"]).first().within
     same = quality.table_diff(a, a, "key", ["x", "y"])
     assert rows(same, "max_diff", "only_a", "only_b", "within") == [(0.0, 0, 0, True)] * 2
     assert rows(quality.row_count_diff(a, b)) == [(3, 3, True)]
     assert rows(quality.key_diff(a, b, "key")) == [("k3", "a"), ("k4", "b")]
-    assert quality.scalar_diff(1, 1.04) and not quality.scalar_diff(1, 1.06) and quality.scalar_diff("a", "a") and not quality.scalar_diff("a", None)
 
 
 BENCH = [("P", "全部", "全部", "AA", m, 5, 10.0, 20.0, 30.0) for m in ("total_assets", "net_assets", "revenue", "leverage")] + [
