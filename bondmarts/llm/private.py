@@ -118,6 +118,8 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
             right += 1
         if left == start and not any(c.isalpha() for c in text[left : min(right, left + 64)]):
             right = min(_NUMBER.match(text, start).end(), limit)
+            while not "0" <= text[right - 1] <= "9":
+                right -= 1
         found.append((left, right, False))
         at = right
     return [(s, e, *_votes(text, s, e, fixed)) for s, e, fixed in found]

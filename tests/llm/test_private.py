@@ -30,6 +30,8 @@ def brute(text):
 @given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
 def test_base_spans(text):
     assert private.base_spans(text) == brute(text)
+    found = private.candidates(text, brute(text))
+    assert all(s < e <= len(text) and text[e - 1].isalnum() for s, e, _, _ in found[len(brute(text)) :])
 
 
 def test_long_runs_take_linear_time():
