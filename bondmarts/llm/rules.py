@@ -128,5 +128,7 @@ def scored(docs: DataFrame, model: Ensemble, text: str = "text", name: str = "sc
     """docs with the score as a further last column, 0 to 1. The statistics get names of their own, so no column clashes."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     stats = statistics(F.col(f"`{text}`"))
-    row = docs.select(F.struct(*columns).alias("_docs"), *[c.alias(n) for n, c in stats.items()])
-    return row.select(*[F.col("_docs").getField(c).alias(c) for c in docs.columns], model.score().alias(name))
+    # A filter on the score would otherwise be pushed below the statistics, and every rule would compute its own again.
+    once = F.monotonically_increasing_id().alias("_once")
+    row = docs.select(F.struct(*columns).alias("_docs"), *[c.alias(n) for n, c in stats.items()], once)
+    return row.select(*[F.col("_docs").getField(c).alias(c) for c in docs.columns], F.when(F.col("_once") >= 0, model.score()).alias(name))
