@@ -12,13 +12,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bondmarts.llm.tables import ascii_lower, located
+from bondmarts.llm.tables import ascii_lower, has_bit, located, place_bits, place_number
 from bondmarts.storage import exists, shared_dir, store
 
-#: Bits of the filter that keeps texts without a hit out of the byte check: 4 MB, whatever the size of the corpus.
-FILTER_BITS = 1 << 25
-
-
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -45,13 +41,8 @@ def digest_states(digests: DataFrame, folder: str) -> DataFrame:
 
 def _maybe_among(rows: DataFrame, places: DataFrame) -> DataFrame:
     """Rows whose (_file, _row) may be among `places`: all that are, and few others while places are few against the bits."""
-    number = F.pmod(F.xxhash64("_file", "_row"), F.lit(FILTER_BITS)) + 1
-    bits = places.select(number.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    # At most FILTER_BITS / 32768 rows of 4 KB.
-    marked = rows.withColumn("_x", number).join(F.broadcast(bits), F.bitmap_bucket_number("_x") == F.col("bucket"))
-    at = F.bitmap_bit_position("_x")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return marked.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+    marked = rows.withColumn("_x", place_number("_file", "_row")).join(F.broadcast(place_bits(places)), F.bitmap_bucket_number("_x") == F.col("bucket"))
+    return marked.filter(has_bit("bits", "_x")).select(*rows.columns)
 
 
 def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
