@@ -35,9 +35,10 @@ BOILER_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("article post entry content main body story text prose".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
+_NAMES = ("class", "id", "role", "itemprop")
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?<![\w-])(?:hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SPACE = re.compile(r"\s+")
 _ENDS = {n: re.compile(r"</head\s*>|(?=<body[\s>])" if n == "head" else rf"</{n}\s*>", re.I) for n in RAW}
 
@@ -46,20 +47,37 @@ _NUMBERS = ["words", "links", "boiler", "article", "heading", "in_list"]
 _BLOCK = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in _NUMBERS]]))
 
 
-def _cue(name: str, attributes: str) -> tuple[int, int, bool]:
+def _attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values of a start tag; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _cue(name: str, raw: str) -> tuple[int, int, bool]:
     """(boilerplate, article, hidden) of one start tag."""
     boiler, article, hidden = int(name in BOILERPLATE), int(name in ("article", "main")), False
-    if attributes:
-        for m in _NAMES.finditer(attributes):
-            words = set(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+    if raw:
+        attributes = _attributes(raw)
+        for n in _NAMES:
+            words = set(_WORD.findall(attributes.get(n, "").lower()))
             boiler |= bool(words & BOILER_WORDS)
             article |= bool(words & ARTICLE_WORDS)
-        hidden = bool(_HIDDEN.search(attributes))
+        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NOT_SHOWN.search(attributes.get("style", "")))
     return boiler, article, hidden
 
 
 def blocks(html: str) -> list[dict]:
-    """Flat blocks of a page in order, without empty ones. End tags without a start tag are passed over; open elements end with the page."""
+    """Flat blocks of a page in order, but for those in an element that is marked as hidden."""
+    return [b for b in all_blocks(html) if not b["hidden"]]
+
+
+def all_blocks(html: str) -> list[dict]:
+    """Flat blocks of a page in order, without empty ones. End tags without a start tag are passed over; open elements end with the page.
+
+    Hidden ones are among them: articles fold paragraphs away, so being hidden tells nothing against a text.
+    """
     found: list[dict] = []
     parts: list[str] = []
     link_parts: list[str] = []
@@ -78,14 +96,14 @@ def blocks(html: str) -> list[dict]:
                 found.append(
                     {
                         "text": text, "words": float(words), "links": min(linked / words, 1.0), "boiler": float(boiler > 0), "article": float(article),
-                        "heading": float(heading), "in_list": float("li" in names),
+                        "heading": float(heading), "in_list": float("li" in names), "hidden": float(bool(stack) and stack[-1][3]),
                     }
                 )
             parts.clear()
             link_parts.clear()
 
     def text_of(piece: str):
-        if piece and not (stack and stack[-1][3]):
+        if piece:
             parts.append(piece)
             if open_links:
                 link_parts.append(piece)
@@ -134,7 +152,7 @@ def blocks(html: str) -> list[dict]:
 
 @F.pandas_udf(_BLOCK)
 def _blocks(html: pd.Series) -> pd.Series:
-    return pd.Series([blocks(h or "") for h in html], index=html.index, dtype=object)
+    return pd.Series([all_blocks(h or "") for h in html], index=html.index, dtype=object)
 
 
 def features(page_blocks: list[dict]) -> list[list[float]]:
@@ -151,7 +169,7 @@ def train(spark: SparkSession, pages=PAGES, depth: int = 4):
     """Decision tree of the labelled pages; a page is (html, labels of its blocks in order)."""
     rows = []
     for html, labels in pages:
-        found = blocks(html)
+        found = all_blocks(html)
         if len(found) != len(labels):
             raise ValueError(f"{len(found)} blocks, {len(labels)} labels: {[b['text'] for b in found]}")
         rows += [(float(y), *x) for y, x in zip(labels, features(found))]

@@ -51,3 +51,15 @@ def test_counts_and_empty_table(spark):
 @pytest.mark.parametrize("html", ["<" * 5000, "<a " * 3000, "<p " + "x='" * 3000, "<!--" * 3000, "<div>" * 3000 + "x", "&" * 5000])
 def test_odd_pages_end(html):
     pages.blocks(html)
+
+
+def test_hidden_text_reaches_the_tree(spark):
+    """Neither look-alikes of a hidden mark nor real ones cost an article its text."""
+    words = "a paragraph of the article that is long enough to be told from a menu by its words"
+    page = (
+        f"<article style='overflow:hidden' data-title='The hidden valley' class='md:flex hidden lg:block'><p>One, {words}.</p><p>Two, <a href='/the/hidden/x'>linked</a>, {words}.</p>"
+        f"<p hidden>Three, {words}.</p><div style='color:red;display: none'><p>Four, {words}.</p></div><p>Five, <span aria-hidden=true>six</span>, {words}.</p></article>"
+    )
+    expected = [f"One, {words}.", f"Two, linked, {words}.", f"Three, {words}.", f"Four, {words}.", f"Five, six, {words}."]
+    assert texts(spark, page) == ["\n\n".join(expected)]
+    assert [b["hidden"] for b in pages.all_blocks(page)] == [0, 0, 1, 1, 0]
