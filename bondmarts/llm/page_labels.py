@@ -59,4 +59,21 @@ PAGES = [
         [0, 0, 1, 1, 1, 0],
     ),
     (f"<nav><p>{_LONG}</p></nav><div class=article-body><p>{_SHORT}</p><div class=advert><p>{_MORE}</p></div><p>{_LONG}</p></div>", [0, 1, 0, 1]),
+    (
+        f"<body class='single-post no-sidebar'><div class='layout header-fixed'><div class='post has-sidebar'><h1>Low water</h1><p>{_LONG}</p><p>{_SHORT}</p><p>{_MORE}</p></div></div>"
+        "<div class='share-links'>Tell your friends about us.</div></body>",
+        [1, 1, 1, 1, 0],
+    ),
+    (
+        f"<body><form id=form><div class='header-wrap'>The Daily Column, since 1901.</div><main><h1>Low water</h1><p>{_LONG}</p><p>{_SHORT}</p><div class=social>Tell your friends about us.</div><p>{_MORE}</p></main></form></body>",
+        [0, 1, 1, 1, 0, 1],
+    ),
+    (
+        f"<body><div class='right-sidebar'><article class='post social legal tag-search'><h1>Boats</h1><p>{_LONG}</p><p>{_SHORT}</p></article><div class=widget><p>{_MORE}</p></div></div></body>",
+        [1, 1, 1, 0],
+    ),
+    (
+        f"<body><div class=search><main><article><p>{_SHORT}</p><p>{_MORE}</p></article></main></div><div class=related><article class=post><p>{_LONG}</p></article></div></body>",
+        [1, 1, 0],
+    ),
 ]

@@ -25,7 +25,7 @@ INLINE = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements that hold boilerplate, and words in a class, id or role that say so, or that say article.
+# Elements that hold boilerplate, and names in a class, id or role that say so, or words in them that say article.
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
 BOILER_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside widget ad ads advert adverts advertisement sponsor sponsored promo promotion "
@@ -33,6 +33,19 @@ BOILER_WORDS = frozenset(
     "comment comments reply replies respond discussion disqus form search toolbar tags copyright legal disclaimer complementary contentinfo pagination pager".split()
 )
 ARTICLE_WORDS = frozenset("article post entry content main body story text prose".split())
+# Of these, an element may hold an article all the same: a form around the page, a wrapper named for its sidebar.
+WEAK_ELEMENTS = frozenset("form fieldset".split())
+WEAK_WORDS = frozenset(
+    "header masthead banner sidebar notice notices notification alert popup modal overlay signup login share sharing social form search toolbar tags copyright legal disclaimer".split()
+)
+# An article of its own is only these by its name; the others may be what it is about.
+OWN_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored widget comment comments reply replies respond disqus".split())
+# Words after the one that says what a name like share-links is, and words before it that make the name a state or a subject.
+PARTS = frozenset(
+    "site page top bottom left right primary secondary main global inner outer wrapper wrap container box block section area list links link items item bar row col column group panel "
+    "slot unit buttons button icons icon title heading text content body post posts entry article story blog module region zone holder info meta".split()
+)
+STATES = frozenset("no not non has have with without is hide show hidden category tag type format status taxonomy".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
@@ -55,17 +68,42 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _cue(name: str, raw: str) -> tuple[int, int, bool]:
-    """(boilerplate, article, hidden) of one start tag."""
-    boiler, article, hidden = int(name in BOILERPLATE), int(name in ("article", "main")), False
+def _boiler_word(token: str) -> str | None:
+    """The word that makes a whole class, id or role name one of boilerplate: `share` of share-links, none of no-sidebar, header-fixed or comments-open."""
+    words = _WORD.findall(token.partition("--")[0])
+    for i, word in reversed(list(enumerate(words))):
+        if word in BOILER_WORDS:
+            state = STATES.intersection(words[:i]) or (word == "sidebar" and "content" in words)  # content-sidebar-wrap holds both
+            return None if state else word
+        if word not in PARTS:
+            return None
+    return None
+
+
+def _cue(name: str, raw: str) -> tuple[int, int, bool, bool]:
+    """(boilerplate: 0 no, 1 unless an article is in it, 2 yes; article; hidden; an article of its own) of one start tag."""
+    boiler = (1 if name in WEAK_ELEMENTS else 2) if name in BOILERPLATE else 0
+    article, hidden, own = int(name in ("article", "main")), False, name in ("article", "main")
     if raw:
         attributes = _attributes(raw)
-        for n in _NAMES:
-            words = set(_WORD.findall(attributes.get(n, "").lower()))
-            boiler |= bool(words & BOILER_WORDS)
-            article |= bool(words & ARTICLE_WORDS)
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NOT_SHOWN.search(attributes.get("style", "")))
-    return boiler, article, hidden
+        if name in ("html", "body"):
+            return boiler, article, hidden, own
+        found = set()
+        for n in _NAMES:
+            for token in attributes.get(n, "").lower().split():
+                if word := _boiler_word(token):
+                    found.add(word)
+                else:
+                    words = set(_WORD.findall(token))
+                    article |= bool(words & ARTICLE_WORDS)
+                    own |= bool(words & {"article", "post", "entry", "story"}) and words <= PARTS
+        own |= attributes.get("role", "").lower() == "main"
+        if own:
+            found &= OWN_WORDS
+        if found:
+            boiler = max(boiler, 1 if found <= WEAK_WORDS else 2)
+    return boiler, article, hidden, own and not boiler
 
 
 def blocks(html: str) -> list[dict]:
@@ -81,7 +119,7 @@ def all_blocks(html: str) -> list[dict]:
     found: list[dict] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, int, int, bool]] = []  # (element, boilerplate, article, hidden), each including what is around it
+    stack: list[tuple[str, int, int, bool, int]] = []  # (element, boilerplate, article, hidden, articles within the boilerplate), each including what is around it
     open_links = 0
 
     def end_block():
@@ -90,12 +128,13 @@ def all_blocks(html: str) -> list[dict]:
             if text:
                 words = len(text.split(" "))
                 linked = len(" ".join(link_parts).split())
-                boiler, article = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+                boiler, article, within = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (0, 0, 0)
+                nearness = 1 / (1 + within) if boiler else 0.0
                 names = {s[0] for s in stack}
                 heading = any(n in names for n in ("h1", "h2", "h3", "h4", "h5", "h6"))
                 found.append(
                     {
-                        "text": text, "words": float(words), "links": min(linked / words, 1.0), "boiler": float(boiler > 0), "article": float(article),
+                        "text": text, "words": float(words), "links": min(linked / words, 1.0), "boiler": nearness, "article": float(article),
                         "heading": float(heading), "in_list": float("li" in names), "hidden": float(bool(stack) and stack[-1][3]),
                     }
                 )
@@ -140,10 +179,15 @@ def all_blocks(html: str) -> list[dict]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # their end tags may be left out
             while stack and stack[-1][0] in ("p", *([name] if name != "p" else []), *INLINE):
                 open_links -= stack.pop()[0] == "a"
-        boiler, article, hidden = _cue(name, m[3])
-        above = stack[-1] if stack else ("", 0, 0, False)
-        # An article element within boilerplate is boilerplate; boilerplate within an article is, too.
-        stack.append((name, above[1] or boiler, above[2] or article, above[3] or hidden))
+        boiler, article, hidden, own = _cue(name, m[3])
+        above = stack[-1] if stack else ("", 0, 0, False, 0)
+        # An article within a navigation, a sidebar and the like is boilerplate, and boilerplate within an article is, too; but
+        # an article within a form or a wrapper of such a name is as far from it as there are articles in between.
+        if above[1] == 2 or not boiler:
+            within = above[4] + (own and above[1] == 1)
+        else:
+            within = 0
+        stack.append((name, max(above[1], boiler), above[2] or article, above[3] or hidden, within))
         open_links += name == "a"
     text_of(html[at:])
     end_block()

@@ -63,3 +63,29 @@ def test_hidden_text_reaches_the_tree(spark):
     expected = [f"One, {words}.", f"Two, linked, {words}.", f"Three, {words}.", f"Four, {words}.", f"Five, six, {words}."]
     assert texts(spark, page) == ["\n\n".join(expected)]
     assert [b["hidden"] for b in pages.all_blocks(page)] == [0, 0, 1, 1, 0]
+
+
+@pytest.mark.parametrize(
+    "name", ["post has-sidebar", "entry-content comments-open", "layout header-fixed", "category-legal", "content-sidebar-wrap", "md:menu-open", "newsroom", "no-sidebar", "page-has-comments"]
+)
+def test_names_of_a_state_are_no_boilerplate(name):
+    assert pages._cue("div", f" class='{name}'")[0] == 0
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-banner", "share-links", "sidebar", "comment-body", "site-header", "main-nav", "header--dark", "top-ad-slot", "x related-posts"])
+def test_names_of_boilerplate(name):
+    assert pages._cue("div", f" class='{name}'")[0] > 0
+
+
+def test_article_in_a_named_wrapper(spark):
+    article = "<h1>Title</h1><p>A first paragraph of the article, with words enough to be one.</p><p>No.</p><p>And a last one that says what came of it all in the end.</p>"
+    expected = "Title\n\nA first paragraph of the article, with words enough to be one.\n\nNo.\n\nAnd a last one that says what came of it all in the end."
+    kept = [
+        f"<body class='single-post no-sidebar'><article>{article}</article>", f"<div class='post has-sidebar'>{article}</div>", f"<div class='entry-content comments-open'>{article}</div>",
+        f"<div class='layout header-fixed'><main>{article}</main></div>", f"<div class='right-sidebar'><main>{article}</main><div class=sidebar><p>Other texts of the same week.</p></div></div>",
+        f"<form class=search><article>{article}</article></form>", f"<body class=header><nav><a href=1>A</a></nav>{article}",
+        *[f"<article class='{c}'>{article}</article>" for c in ("social", "related", "tags", "notice", "search", "legal", "form")],
+    ]
+    assert texts(spark, *kept) == [expected] * len(kept)
+    gone = [f"<article>{article}<div class=advert><p>Buy two lamps today and get a third one free of charge, only here.</p></div></article>", f"{article}<div class=comments><article class=comment-body><p>I was there, and it was not like this at all.</p></article></div>"]
+    assert texts(spark, *gone) == [expected] * 2
