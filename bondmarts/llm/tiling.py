@@ -171,14 +171,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 
     Null texts are empty. Items of fewer than SEED words are not searched for, as they can't be told from chance; empty tables
     give no rows; repeated items and documents give a row each. Only the named columns are read.
+
+    For docs that do not come straight from Parquet files, _file and _row are places in a table that this call writes: to join
+    on them, take rows of `located` and `matches_of`.
     """
-    spark = docs.sparkSession
+    texts = located(docs.select(F.col(text).cast("string").alias("_text")), "_text")
+    return matches_of(texts, benchmark, item_id, item_text, max_words)
+
+
+def matches_of(texts: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+    """As `matches`, for rows of `located`: _file, _row and _text."""
+    spark = texts.sparkSession
     small_batches(spark)
     items = store(_long_items(benchmark, item_id, item_text))
     id_field = items.schema["item_id"].dataType
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_field.simpleString()]
     schema = _MATCH.format(id=id_field.simpleString())
-    texts = located(docs.select(F.col(text).cast("string").alias("_text")), "_text").select("_file", "_row", "_text")
+    texts = texts.select("_file", "_row", "_text")
     if (items.agg(F.sum("size")).first()[0] or 0) <= max_words:
         rows = items.orderBy("item_id", "item").collect()  # at most max_words words
         hashes = [Words(pa.array([r.item], pa.string()).cast(pa.large_binary())).hashes for r in rows]
@@ -192,11 +201,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     return both.mapInArrow(_compare(id_type), schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", coverage: float = COVERAGE, **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", coverage: float = COVERAGE, text: str = "text", **options) -> DataFrame:
     """One row per row of docs: the id, item_id of the best covered item (ties: the least; null if none), coverage (0 if none) and contaminated."""
-    found = store(matches(docs, benchmark, **options))
+    rows = located(docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")), "_id", "_text")  # once: another call may write another table
+    found = store(matches_of(rows, benchmark, **options))
     best = found.groupBy("_file", "_row").agg(F.min(F.struct((-F.col("coverage")).alias("less"), "item_id")).alias("best"))
-    rows = located(docs.select(F.col(id).alias("_id")), "_id").join(best, ["_file", "_row"], "left")
+    rows = rows.select("_id", "_file", "_row").join(best, ["_file", "_row"], "left")
     share = F.coalesce(-F.col("best.less"), F.lit(0.0))
     return rows.select("_file", "_row", F.col("_id").alias(id), F.col("best.item_id").alias("item_id"), share.alias("coverage"), (share >= coverage).alias("contaminated"))
 

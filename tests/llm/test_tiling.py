@@ -78,3 +78,11 @@ def test_empty_tables(spark, docs, benchmark):
     assert tiling.contamination(none, benchmark).count() == 0
     assert tiling.decontaminated(docs, benchmark.limit(0)).count() == docs.count()
     assert without(docs, tiling.matches(docs, benchmark.limit(0))).count() == docs.count()
+
+
+@pytest.mark.parametrize("max_words", [tiling.MAX_WORDS, 1])
+def test_contamination_of_rows_not_from_files(spark, benchmark, max_words):
+    docs = spark.createDataFrame([(1, f"so it is said {ITEM} and no more"), (2, "nothing of it")], "doc_id bigint, text string")
+    for frame in (docs, docs.union(docs.limit(0))):
+        got = sorted((r.doc_id, r.item_id, r.coverage, r.contaminated) for r in tiling.contamination(frame, benchmark, max_words=max_words).collect())
+        assert got == [(1, 1, 1.0, True), (2, None, 0.0, False)]
