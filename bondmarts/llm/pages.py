@@ -18,10 +18,12 @@ from bondmarts.llm.page_labels import PAGES
 from bondmarts.llm.tables import small_batches
 
 # Elements whose content is no text of the page; head ends at body, where its end tag is missing.
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title select button head".split())
+RAW = frozenset("script style noscript template iframe textarea title select button head".split())
 #: Elements inside a line; all others end a block. br is white space.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input "
+    "object canvas svg g path rect circle line polyline polygon ellipse use defs math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup "
+    "munder mover munderover mmultiscripts menclose semantics annotation".split()
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +49,8 @@ PARTS = frozenset(
 )
 STATES = frozenset("no not non has have with without is hide show hidden category tag type format status taxonomy".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
+# A quote opens a value only directly after `=`, and only if it is closed; others are plain characters, so that `>` ends the tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
 _NAMES = ("class", "id", "role", "itemprop")
 _WORD = re.compile(r"[a-z]+")
@@ -157,7 +160,7 @@ def all_blocks(html: str) -> list[dict]:
         if name == "br":
             text_of(" ")
             continue
-        inline = name in INLINE
+        inline = name in INLINE or (name in ("title", "style") and any(s[0] == "svg" for s in stack))
         if m[1]:
             if not inline:
                 end_block()

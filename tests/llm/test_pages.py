@@ -89,3 +89,18 @@ def test_article_in_a_named_wrapper(spark):
     assert texts(spark, *kept) == [expected] * len(kept)
     gone = [f"<article>{article}<div class=advert><p>Buy two lamps today and get a third one free of charge, only here.</p></div></article>", f"{article}<div class=comments><article class=comment-body><p>I was there, and it was not like this at all.</p></article></div>"]
     assert texts(spark, *gone) == [expected] * 2
+
+
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        ('<p class="a"">First paragraph here.</p><p class="b">Second.</p>', ["First paragraph here.", "Second."]),
+        ("<p title=it's>Para one isn't here</p><p>Two isn't.", ["Para one isn't here", "Two isn't."]),
+        ("<p title='open>One</p><p>Two</p>", ["One", "Two"]),
+        ("<p title = 'a>b' \">One</p><p data-x=a=\"b>Two</p><p x=\"c\">Three", ["One", "Two", "Three"]),
+        ("<p>So <math><msup><mi>c</mi><mn>2</mn></msup></math> is<svg><title>no</title><path d=''/></svg> it.<canvas>drawn</canvas></p>", ["So c2 is it.drawn"]),
+        ("<object data=x><p>A table of boats</p></object><svg><style>no{}</style><text>North</text><text>South</text></svg>", ["A table of boats", "North", "South"]),
+    ],
+)
+def test_stray_quotes_and_drawn_text(html, expected):
+    assert [b["text"] for b in pages.blocks(html)] == expected
