@@ -3,7 +3,7 @@
 Documents and benchmark items that share a seed of `SEED` words are joined. For each such pair the longest common run of words
 not yet covered is marked in both, again and again, until no run of `SEED` words is left (Wise, 1993); runs are found from
 Karp-Rabin hashes of all word n-grams. The covered share of the item's words decides, so an item is found also where its
-passages were moved about.
+passages were moved about. Words are compared without ASCII punctuation around them.
 
 The words of the benchmark go to every task while there are at most `max_words` of them, which bounds that copy to 8 bytes
 each; a larger benchmark is joined with the documents on the seeds. Both ways give the same rows.
@@ -14,15 +14,16 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bondmarts.llm.tables import located, small_batches, without
 from bondmarts.llm.words import U, Words, chunks, mix
 from bondmarts.storage import store
 
 SEED = 5
-#: Share of an item's words that must be covered.
+#: Share of an item's words that must be covered, or words that one run must have: of a long item a long quotation is a leak, too.
 COVERAGE = 0.5
+LONG_RUN = 25
 MAX_WORDS = 4_000_000
 
 Tile = tuple[int, int, int]
@@ -119,12 +120,13 @@ def _search(bench, id_type: pa.DataType):
             file, row = batch.column(0), batch.column(1)
             for start, part in chunks(batch.column(2)):
                 words = Words(part)
-                all_grams = _grams(words.hashes)
+                hashes = words.bare()
+                all_grams = _grams(hashes)
                 rows = []
                 for d, (x, y) in enumerate(zip(words.at[:-1], words.at[1:])):
                     grams = all_grams[x : max(y - SEED + 1, x)]
                     for k in b.candidates(grams):
-                        rows.append((file[start + d].as_py(), row[start + d].as_py(), b.ids[k], *b.compare(k, words.hashes[x:y], grams)))
+                        rows.append((file[start + d].as_py(), row[start + d].as_py(), b.ids[k], *b.compare(k, hashes[x:y], grams)))
                 yield _out(rows, id_type)
 
     return run
@@ -137,7 +139,7 @@ def _seeds(keep: int):
         for batch in batches:
             for start, part in chunks(batch.column(keep)):
                 words = Words(part)
-                all_grams = _grams(words.hashes)
+                all_grams = _grams(words.bare())
                 sets = [np.unique(all_grams[x : max(y - SEED + 1, x)]) for x, y in zip(words.at[:-1], words.at[1:])]
                 at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]) + start)
                 seeds = np.concatenate(sets) if sets else np.zeros(0, U)
@@ -153,7 +155,7 @@ def _compare(id_type: pa.DataType):
         for batch in batches:
             rows = []
             for file, row, id, item, text in zip(*(batch.column(i) for i in range(5))):
-                a, d = (Words(pa.array([t.as_py()], pa.string()).cast(pa.large_binary())).hashes for t in (item, text))
+                a, d = (Words(pa.array([t.as_py()], pa.string()).cast(pa.large_binary())).bare() for t in (item, text))
                 b = Benchmark([id.as_py()], [a])
                 rows.append((file.as_py(), row.as_py(), id.as_py(), *b.compare(0, d, _grams(d))))
             yield _out(rows, id_type)
@@ -190,7 +192,7 @@ def matches_of(texts: DataFrame, benchmark: DataFrame, item_id: str = "item_id",
     texts = texts.select("_file", "_row", "_text")
     if (items.agg(F.sum("size")).first()[0] or 0) <= max_words:
         rows = items.orderBy("item_id", "item").collect()  # at most max_words words
-        hashes = [Words(pa.array([r.item], pa.string()).cast(pa.large_binary())).hashes for r in rows]
+        hashes = [Words(pa.array([r.item], pa.string()).cast(pa.large_binary())).bare() for r in rows]
         bench = spark.sparkContext.broadcast(Benchmark([r.item_id for r in rows], hashes))
         return texts.mapInArrow(_search(bench, id_type), schema)
     items = store(items.select("item_id", "item").withColumn("copy", F.monotonically_increasing_id()))
@@ -201,18 +203,23 @@ def matches_of(texts: DataFrame, benchmark: DataFrame, item_id: str = "item_id",
     return both.mapInArrow(_compare(id_type), schema)
 
 
+def leaked(coverage: float = COVERAGE) -> Column:
+    """Of rows of `matches`; the first tile is the longest."""
+    return (F.col("coverage") >= coverage) | F.coalesce(F.get("tiles", F.lit(0))["words"] >= LONG_RUN, F.lit(False))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", coverage: float = COVERAGE, text: str = "text", **options) -> DataFrame:
-    """One row per row of docs: the id, item_id of the best covered item (ties: the least; null if none), coverage (0 if none) and contaminated."""
+    """One row per row of docs: the id, item_id of the best covered item (ties: the least; null if none), coverage (0 if none) and contaminated, by that item or another."""
     rows = located(docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")), "_id", "_text")  # once: another call may write another table
     found = store(matches_of(rows, benchmark, **options))
-    best = found.groupBy("_file", "_row").agg(F.min(F.struct((-F.col("coverage")).alias("less"), "item_id")).alias("best"))
+    best = found.groupBy("_file", "_row").agg(F.min(F.struct((-F.col("coverage")).alias("less"), "item_id")).alias("best"), F.max(leaked(coverage)).alias("leaked"))
     rows = rows.select("_id", "_file", "_row").join(best, ["_file", "_row"], "left")
     share = F.coalesce(-F.col("best.less"), F.lit(0.0))
-    return rows.select("_file", "_row", F.col("_id").alias(id), F.col("best.item_id").alias("item_id"), share.alias("coverage"), (share >= coverage).alias("contaminated"))
+    return rows.select("_file", "_row", F.col("_id").alias(id), F.col("best.item_id").alias("item_id"), share.alias("coverage"), F.coalesce("leaked", share >= coverage).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, **options) -> DataFrame:
-    """The rows of docs, with all their columns, in which no item is covered to that share."""
-    bad = matches(docs, benchmark, **options).filter(F.col("coverage") >= coverage).select("_file", "_row").distinct()
+    """The rows of docs, with all their columns, in which no item is covered to that share or quoted in a long run."""
+    bad = matches(docs, benchmark, **options).filter(leaked(coverage)).select("_file", "_row").distinct()
     return without(docs, store(bad))
 

@@ -95,6 +95,15 @@ class Words:
         ends = np.minimum(self.ends, self.starts + size)
         return mix((self._sums[ends] - self._sums[self.starts]) * self._down[self.starts] + _PLACES[4])
 
+    def bare(self) -> np.ndarray:
+        """Hash of every word without ASCII punctuation around it; a word of nothing else keeps it."""
+        inner = np.append(np.flatnonzero(~PUNCTUATION[self.bytes]), len(self.bytes))
+        starts = inner[np.searchsorted(inner, self.starts)]
+        ends = inner[np.searchsorted(inner, self.ends) - 1] + 1
+        none = starts >= self.ends
+        starts, ends = np.where(none, self.starts, starts), np.where(none, self.ends, ends)
+        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(U) * _PLACES[1])
+
     def word(self, i: int) -> bytes:
         return self.bytes[self.starts[i] : self.ends[i]].tobytes()
 

@@ -86,3 +86,15 @@ def test_contamination_of_rows_not_from_files(spark, benchmark, max_words):
     for frame in (docs, docs.union(docs.limit(0))):
         got = sorted((r.doc_id, r.item_id, r.coverage, r.contaminated) for r in tiling.contamination(frame, benchmark, max_words=max_words).collect())
         assert got == [(1, 1, 1.0, True), (2, None, 0.0, False)]
+
+
+@pytest.mark.parametrize("max_words", [tiling.MAX_WORDS, 1])
+def test_long_quotations_and_changed_punctuation(spark, max_words):
+    words = [f"w{i}" for i in range(200)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, ITEM)], "item_id bigint, text string")
+    dotted = " ".join(f'"{w},' if i % 3 == 0 else w for i, w in enumerate(ITEM.split()))
+    rows = [(1, " ".join(words[40:70])), (2, " ".join(words[40:60])), (3, dotted), (4, "- , ; . ! ? - , ;")]
+    docs = store(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.contaminated) for r in tiling.contamination(docs, items, max_words=max_words).collect())
+    assert got == [(1, 1, 0.15, True), (2, 1, 0.1, False), (3, 2, 1.0, True), (4, None, 0.0, False)]
+    assert sorted(r.doc_id for r in tiling.decontaminated(docs, items, max_words=max_words).collect()) == [2, 4]
