@@ -122,11 +122,16 @@ def merged_clients(network: DataFrame, shared: DataFrame, by=("underwriter",), m
     `shared` are the clients of the same slices as rows, see `shared_clients`; an issuer counts once per row of the result.
     """
     most = network.groupBy(*by).agg(F.max("total_issuers").alias("total_issuers"))
-    merged = shared.select(*by, "issuer").distinct().groupBy(*by).agg(F.count("issuer").alias("n"))
+    merged = merged_names(shared, by).groupBy(*by).agg(F.count("issuer").alias("n"))
     count = F.coalesce("n", F.lit(0)).cast("long")
     return most.join(merged, list(by), "left").select(*by, "total_issuers", count.alias("shared_issuers"), grade(count, main_at).alias("grade"))
 
 
+def merged_names(shared: DataFrame, by=("underwriter",)) -> DataFrame:
+    """The names behind the shared clients of `merged_clients`, each once per row of its result."""
+    return shared.select(*by, "issuer").distinct()
+
+
 def advice(partners: DataFrame, by=("province",), first: int | None = None) -> DataFrame:
     """Partners to talk to: all main and first contacts, and the undeveloped ones, all or the first few of each slice."""
     order = [F.desc("shared_issuers"), F.desc("total_issuers"), F.col("underwriter")]

@@ -450,6 +450,18 @@ def _(spark, sf):
     return partner.shared_clients(P.bond(spark, sf)).select("province", "agency", "underwriter", "issuer")
 
 
+@query("client_names", "SELECT DISTINCT province, underwriter, issuer FROM uw", _NETWORK)
+def _(spark, sf):
+    """All clients of each underwriter, the names behind the total counts, as rows."""
+    return partner.underwriter_issuers(partner.scope(P.bond(spark, sf))).select("province", "underwriter", "issuer")
+
+
+@query("merged_names", "SELECT DISTINCT underwriter, issuer FROM uw JOIN ag USING (province, issuer)", _NETWORK)
+def _(spark, sf):
+    """The names behind the counts of merged_clients, as rows."""
+    return partner.merged_names(partner.shared_clients(P.bond(spark, sf)))
+
+
 def _partners(agency_name: str, condition: str = "true") -> str:
     return f"""SELECT province, underwriter, count(DISTINCT issuer) AS total_issuers,
         count(DISTINCT CASE WHEN mine THEN issuer END) AS shared_issuers,

@@ -1,3 +1,4 @@
+import parity
 from bondmarts.operators import partner
 from conftest import rows
 
@@ -77,3 +78,9 @@ def test_advice_keeps_all_unless_asked(spark):
     got = partner.advice(df, first=8)
     assert got.filter("grade = '主要合作伙伴'").count() == 10
     assert rows(got.filter("shared_issuers = 0"), "underwriter") == [(f"u{i:02d}",) for i in range(4, 12)]
+
+
+def test_names_behind_the_merged_counts(spark):
+    names = spark.createDataFrame([("P", "U", "a"), ("Q", "U", "a"), ("Q", "U", "b"), ("P", "V", "a")], "province string, underwriter string, issuer string")
+    assert rows(partner.merged_names(names)) == [("U", "a"), ("U", "b"), ("V", "a")]
+    assert {"client_names", "merged_names"} <= set(parity.QUERIES) & set(parity.SQL)
