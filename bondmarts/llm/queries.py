@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bondmarts.llm import chat, exact, jaccard, mixing, pages, private, rules, tiling, toxicity, urls
+from bondmarts.llm import audit, chat, exact, jaccard, mixing, pages, private, rules, simhash, tiling, toxicity, urls, variants
 from bondmarts.llm.tables import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = private.spans(table(spark, sf_dir, "documents"))
     counts = [private.of_kind("base", kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
     return rows.select("doc_id", *counts, "base_sha256", private.joined("spans").alias("spans"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_near_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+    l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+    f AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+            [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text),
+                regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails
+        FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+    c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY part, fails),
+    x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+    o AS (
+        SELECT [a.i, b.i, c.i, d.i, e.i] AS way FROM x a, x b, x c, x d, x e
+        WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    s AS (
+        SELECT part, way, x.i AS step, way[x.i] AS own, n, good, bad, fails[way[x.i]] AS fails_own,
+            len(list_filter(way[1:x.i - 1], lambda k: fails[k])) > 0 AS earlier, len(list_filter(fails, lambda k: k)) = 1 AS once
+        FROM c, o, x),
+    g AS (
+        SELECT part, array_to_string(list_transform(way, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, step, own,
+            sum(CASE WHEN NOT earlier AND NOT fails_own THEN n ELSE 0 END) AS kept,
+            sum(CASE WHEN NOT earlier AND fails_own THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN earlier AND fails_own THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN once AND fails_own THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN NOT earlier AND fails_own THEN good ELSE 0 END) AS good_lost,
+            sum(CASE WHEN NOT earlier AND fails_own THEN bad ELSE 0 END) AS toxic_lost
+        FROM s GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM g""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.drop("filter").withColumnRenamed("bad_lost", "toxic_lost")
