@@ -77,3 +77,25 @@ def test_empty_and_wordless(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mixed(store(corpus(spark, 20)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("sources", [mixing.SOURCES, 0])
+def test_documents_of_the_mix_carry_the_amounts(spark, sources):
+    docs = store(corpus(spark).repartition(5).withColumn("words", mixing.F.lit("old")).withColumn("key", mixing.F.lit(1)))
+    wanted = mixing.mixed(docs).filter("taken > 0").select("_file", "_row", "doc_id", "taken")
+    found = mixing.mixed_documents(docs, "words", sources=sources)
+    assert found.columns == [*[c for c in docs.columns if c != "words"], "words"]
+    key = lambda rows: sorted((tuple(r) for r in rows.collect()), key=repr)
+    assert key(found.select("doc_id", "words")) == key(wanted.select("doc_id", "taken"))
+    # Equal rows are told apart by place, so texts and amounts belong together.
+    assert key(found.selectExpr("doc_id", "text", "source", "key")) == key(
+        docs.select("*", "_metadata.file_path", "_metadata.row_index").join(wanted.toDF("file_path", "row_index", "i", "t"), ["file_path", "row_index"]).select("doc_id", "text", "source", "key")
+    )
+    assert mixing.mixed_documents(store(docs.limit(0)), sources=sources).count() == 0
+
+
+def test_amounts_are_not_joined_to_texts(spark):
+    """With few sources the plan that reads the texts has a broadcast join only, and no shuffle."""
+    docs = store(corpus(spark))
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
