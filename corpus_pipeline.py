@@ -5,8 +5,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bondmarts.llm import exact, jaccard, mixing, rules, tiling
-from bondmarts.llm.tables import table, with_values, without
-from bondmarts.storage import shared_dir, store
+from bondmarts.llm.tables import table, without
+from bondmarts.storage import delete, shared_dir, temporary
 
 #: No SQL: the classifier and the tiling are not expressible in it.
 ORACLE_SQL = None
@@ -37,8 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with `mix_words`, the words that it takes of each, at least one."""
-    taken = mixing.mixed(docs).filter("taken > 0").select("_file", "_row", F.col("taken").alias("mix_words"))
-    return with_values(docs, store(taken), "mix_words")
+    return mixing.mixed_documents(docs, "mix_words")
 
 
 STAGES = [
@@ -51,10 +50,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus after all stages."""
-    docs = table(spark, sf_dir, "documents")
+    """The corpus after all stages. Intermediate tables go once their stage is written, and what a stage wrote once the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
