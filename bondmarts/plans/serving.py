@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bondmarts import storage
 from bondmarts.operators import agency, bench, city, filters, issuers, kpi, partner, quality, underwriter
+from bondmarts.plans.mart_store import MartStore
 from bondmarts.sources import snapshots
 
 # Column names of the served views where they differ from the library's names.
@@ -98,34 +99,26 @@ def register_views(
     return {name: spark.table(name).count() for name in checked}
 
 
-def _marts_path(root: str, date: str, fiscal_year: str | None) -> str:
-    return f"{root}/marts/snapshot_date={date}/fiscal_year={fiscal_year or 'all'}"
+def write_marts(spark: SparkSession, root: str, date: str, fiscal_year: str | None = None) -> dict[str, DataFrame]:
+    """All marts of a snapshot by view name, read from where they are written.
 
-
-def write_marts(spark: SparkSession, root: str, date: str, fiscal_year: str | None = None) -> str:
-    """Write all marts of a snapshot below it, each once; returns their folder. Marts that are complete stay as they are."""
-    path = _marts_path(root, date, fiscal_year)
-    fiscal = snapshots.fiscal(spark, root)
-    if fiscal_year:
-        fiscal = fiscal.filter(F.col("fiscal_year") == fiscal_year)
-    todo = [name for name in VIEW_LABELS if name != "v_bond" and not storage.exists(spark, f"{path}/{name}/_SUCCESS")]
-    if todo:
-        with storage.temporary(spark):
-            tables = marts(snapshots.bond(spark, root, date).drop("snapshot_date"), fiscal)
-            for name in todo:
-                tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    return path
+    They are computed when the snapshot has none yet. When provinces have joined the fiscal lake since, only the
+    provinces whose rows change are computed and written again.
+    """
+    store = MartStore(spark, root, date, fiscal_year)
+    return store.tables(store.write(marts))
 
 
 def activate(spark: SparkSession, root: str, date: str, fiscal_year: str | None = None, labelled: bool = True) -> None:
     """Serve a snapshot that exists, also to go back to an older one: note it as active and point the views at its marts.
 
-    The marts of a snapshot are written at its first activation, or before by `write_marts`; after that a switch only reads schemas.
+    The marts of a snapshot are written at its first activation, or before by `write_marts`; after that a switch only
+    points at them, unless the fiscal lake has grown.
     """
     snapshots.require_snapshot(spark, root, date)
-    path = write_marts(spark, root, date, fiscal_year)
+    written = write_marts(spark, root, date, fiscal_year)
     for name, labels in VIEW_LABELS.items():
-        table = snapshots.bond(spark, root, date).drop("snapshot_date") if name == "v_bond" else spark.read.parquet(f"{path}/{name}")
+        table = snapshots.bond(spark, root, date).drop("snapshot_date") if name == "v_bond" else written[name]
         renamed = table.withColumnsRenamed({c: labels[c] for c in table.columns if c in labels}) if labelled else table
         renamed.createOrReplaceTempView(name)
     snapshots.set_active(spark, root, date, fiscal_year)

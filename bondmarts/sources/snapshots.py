@@ -4,6 +4,7 @@ Layout: <root>/bond/snapshot_date=YYYYMMDD, <root>/fiscal/province=…/fiscal_ye
 <root>/active.
 """
 
+import json
 import uuid
 from functools import reduce
 
@@ -16,7 +17,6 @@ from bondmarts.sources.staging import province_of, source_label, stage_fiscal, t
 
 _FISCAL_KEY = "province string, fiscal_year string"
 _STAGED_FISCAL = "city string, revenue string, province string, fiscal_year string, missing_columns string"
-_ACTIVE = "number bigint, date string, fiscal_year string"
 _BUILDS = "active_snapshot string, fiscal_year string, updated_at timestamp, snapshots array<string>, notes array<string>"
 
 
@@ -164,23 +164,34 @@ def builds(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_BUILDS).parquet(f"{root}/builds")
 
 
-def set_active(spark: SparkSession, root: str, date: str, fiscal_year: str | None = None) -> None:
-    """Note which snapshot is served from now on; the notes of all switches stay."""
-    number = (_active_notes(spark, root).agg(F.max("number")).first()[0] or 0) + 1 if storage.exists(spark, f"{root}/active") else 1
-    row = [(number, date, fiscal_year)]
-    spark.createDataFrame(row, _ACTIVE).coalesce(1).write.mode("append").parquet(f"{root}/active")
+def set_active(spark: SparkSession, root: str, date: str, fiscal_year: str | None = None) -> int:
+    """Note which snapshot is served from now on and return the number of the note; the notes of all switches stay.
+
+    A note is a file named by its number, which only one switch can create. A switch that comes second takes the next
+    number, so of two at once both are noted and the one with the larger number holds.
+    """
+    text = json.dumps({"date": date, "fiscal_year": fiscal_year}) + "\n"
+    number = max(_active_numbers(spark, root), default=0) + 1
+    while not storage.create(spark, f"{root}/active/{number:012d}.json", text):
+        number += 1
+    return number
 
 
-def _active_notes(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(_ACTIVE).parquet(f"{root}/active")
+def _active_numbers(spark: SparkSession, root: str) -> list[int]:
+    return [int(n.removesuffix(".json")) for n in storage.list_names(spark, f"{root}/active") if n.endswith(".json")]
 
 
 def active(spark: SparkSession, root: str) -> tuple[str, str | None] | None:
-    """(date, fiscal year) of the snapshot that was made active last, in this session or an earlier one."""
-    if not storage.exists(spark, f"{root}/active"):
-        return None
-    last = _active_notes(spark, root).agg(F.max_by(F.struct("date", "fiscal_year"), "number").alias("last")).first().last
-    return last.date, last.fiscal_year
+    """(date, fiscal year) of the snapshot that was made active last, in this session or an earlier one.
+
+    Names are listed and one note is read. A note without its end is of a switch that died while writing it and does not count.
+    """
+    for number in sorted(_active_numbers(spark, root), reverse=True):
+        text = storage.read_text(spark, f"{root}/active/{number:012d}.json")
+        if text.endswith("\n"):
+            note = json.loads(text)
+            return note["date"], note["fiscal_year"]
+    return None
 
 
 def require_snapshot(spark: SparkSession, root: str, date: str) -> None:

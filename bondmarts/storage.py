@@ -1,12 +1,14 @@
 """Written intermediate tables and small file-system questions."""
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -70,6 +72,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(path)
 
 
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless it exists; of several writers at once exactly one succeeds. True for that one.
+
+    The file system creates the file or refuses; on an object store that needs conditional writes, as newer connectors have.
+    """
+    target, fs = _path(spark, path)
+    fs.mkdirs(target.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            handle = os.open(target.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            return False
+        with os.fdopen(handle, "w", encoding="utf-8") as file:
+            file.write(text)
+        return True
+    try:
+        stream = fs.create(target, False)
+    except Py4JJavaError:
+        if fs.exists(target):
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    path, fs = _path(spark, path)
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     path, fs = _path(spark, path)
     fs.delete(path, True)

@@ -5,6 +5,10 @@ its line items are the underwriters. Headers, level names and agency names are s
 spell them, so that the whole staging runs.
 """
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bondmarts import storage
@@ -144,6 +148,19 @@ def raw_files(spark: SparkSession, sf_dir: str) -> str:
     return _warehouses[key]
 
 
+@contextmanager
+def folder_without(spark: SparkSession, folder: str, name: str) -> Iterator[str]:
+    """A copy of a folder of small files that lacks one, as it was before that file came; deleted at the end."""
+    early = f"{storage.shared_dir(spark)}/early-{uuid.uuid4().hex}"
+    for other in storage.list_names(spark, folder):
+        if other != name:
+            storage.create(spark, f"{early}/{other}", storage.read_text(spark, f"{folder}/{other}"))
+    try:
+        yield early
+    finally:
+        storage.delete(spark, early)
+
+
 def bond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.bond(spark, warehouse(spark, sf_dir), ACTIVE).drop("snapshot_date")
 

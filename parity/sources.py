@@ -9,6 +9,7 @@ from bondmarts import storage
 from bondmarts.functions import numeric, text
 from bondmarts.operators import filters, issuers
 from bondmarts.plans import build, serving
+from bondmarts.plans.mart_store import MartStore
 from bondmarts.sources import export, snapshots, staging
 from parity import projection as P
 from parity.base import query
@@ -98,6 +99,29 @@ def _(spark, sf):
     return spark.table("v_province_kpi")
 
 
+@query(
+    "build_late_fiscal",
+    """SELECT province, count(*) AS issuers, count(city_fiscal) AS with_revenue, round(sum(city_fiscal), 2) AS revenue,
+        CAST(count(DISTINCT fiscal_band) AS BIGINT) AS bands, province = 'EUROPE' AS written_again
+    FROM enriched GROUP BY province""",
+)
+def _(spark, sf):
+    """A province whose fiscal file comes late has its revenue after the second build; the others stay as they were written."""
+    root, folder, bonds = _new_folder(spark), P.raw_files(spark, sf), f"{P.raw_files(spark, sf)}/bond"
+    late = f"{P.FISCAL_YEAR}年EUROPE财力.csv"
+    with P.folder_without(spark, f"{folder}/fiscal", late) as early:
+        date = build.build(spark, root, bonds, early, P.FISCAL_YEAR)
+    first = MartStore(spark, root, date, P.FISCAL_YEAR)
+    before = first.manifest(first.write(serving.marts))["int_v_issuer_enriched"].parts
+    build.build(spark, root, bonds, f"{folder}/fiscal", P.FISCAL_YEAR)
+    after = first.manifest(first.write(serving.marts))["int_v_issuer_enriched"]
+    again = [first.table(after, [part]).select("province").first().province for part, key in after.parts.items() if before.get(part) != key]
+    return spark.table("int_v_issuer_enriched").groupBy(F.col("省份").alias("province")).agg(
+        F.count("*").alias("issuers"), F.count("城市财力_亿元").alias("with_revenue"), numeric.round_to(F.sum("城市财力_亿元"), 2).alias("revenue"),
+        F.count_distinct("城市财力区间").alias("bands"), F.first(F.col("省份").isin(again)).alias("written_again"),
+    )
+
+
 @query(
     "active_snapshot",
     "SELECT '20000101' AS snapshot_date, '2021' AS fiscal_year, count(*) AS bonds FROM bond WHERE report_date < '2000-01-01'",
