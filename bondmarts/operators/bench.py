@@ -8,16 +8,21 @@ from bondmarts import constants as K
 from bondmarts.functions.numeric import round_to
 from bondmarts.functions.text import trim_spaces
 from bondmarts.operators.filters import filter_eq, rated
+from bondmarts.operators.histogram import counted_quantiles, counted_values
 from bondmarts.operators.ranking import quantiles
+from bondmarts.storage import store
 
 STATS = ["min", "q1", "median", "mean", "q3", "max"]
 _PROBS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+def _rounded(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    return found.select(*by, "metric", "n_rows", "n", *[round_to(s, 2).alias(s) for s in STATS])
+
+
 def bench_rows(e: DataFrame, by: Sequence[str], metrics: Sequence[str] = K.METRICS) -> DataFrame:
     """Long form: one row per group and metric with n_rows, n and the six rounded statistics."""
-    found = quantiles(e, by, metrics, "issuer", _PROBS)
-    return found.select(*by, "metric", "n_rows", "n", *[round_to(s, 2).alias(s) for s in STATS])
+    return _rounded(quantiles(e, by, metrics, "issuer", _PROBS), by)
 
 
 def wide_bench(rows: DataFrame, by: Sequence[str], metrics: Sequence[str] = K.METRICS) -> DataFrame:
@@ -61,16 +66,28 @@ def issuer_bench(issuers: DataFrame, by: Sequence[str] = ("province",)) -> DataF
 def bench_cube(e: DataFrame, dims: Sequence[str] = ("city", "admin_level", "rating")) -> DataFrame:
     """Statistics for every combination of filters, long form; 全部 stands for "not filtered".
 
-    Each issuer is repeated once per combination, before ranks are computed.
+    Values are counted once, by province and all dimensions. The coarser combinations are merged from the cells of these counts.
     """
     dims = list(dims)
-    combos = F.array(*[F.lit(i) for i in range(2 ** len(dims))])
-    spread = _benchmarked(e).select("province", "issuer", *dims, *K.METRICS, F.explode(combos).alias("all_mask"))
-    for bit, dim in enumerate(reversed(dims)):
-        rolled = F.col("all_mask").bitwiseAND(F.lit(1 << bit)) != 0
-        spread = spread.withColumn(dim, F.when(~rolled, F.col(dim)))
-    rows = bench_rows(spread, ["province", *dims, "all_mask"])
-    for bit, dim in enumerate(reversed(dims)):
-        rolled = F.col("all_mask").bitwiseAND(F.lit(1 << bit)) != 0
-        rows = rows.withColumn(dim, F.when(rolled, F.lit(K.ALL)).otherwise(_label(dim, _LABELS.get(dim, ""))))
-    return rows
+    finest = ["province", *dims]
+    rolled = {dim: F.col("all_mask").bitwiseAND(F.lit(1 << bit)) != 0 for bit, dim in enumerate(reversed(dims))}
+
+    def merged(rows: DataFrame) -> DataFrame:
+        masks = F.explode(F.array(*[F.lit(i) for i in range(2 ** len(dims))])).alias("all_mask")
+        return rows.select("*", masks).withColumns({dim: F.when(~out, F.col(dim)) for dim, out in rolled.items()})
+
+    counted = store(counted_values(_benchmarked(e), finest, K.METRICS))
+    by = [*finest, "all_mask"]
+    rows = _rounded(counted_quantiles(counted, by, _PROBS, finest, merged), by)
+    return rows.withColumns({dim: F.when(out, F.lit(K.ALL)).otherwise(_label(dim, _LABELS.get(dim, ""))) for dim, out in rolled.items()})
+
+
+def cube_slice(cube: DataFrame, dims: Sequence[str] = ("city", "admin_level", "rating"), **wanted) -> DataFrame:
+    """The statistics of one combination of filters from the cube, one row a province: sample_size and <metric>_<statistic>.
+
+    `wanted` names label values as the cube has them, also the province; what is blank or not named is not filtered. Of a stored cube,
+    only its rows of that combination are read, however many issuers they stand for.
+    """
+    label = {d: wanted.pop(d, None) or K.ALL for d in dims}
+    rows = filter_eq(cube, **label, **wanted)
+    return wide_bench(rows, ["province"])

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from bondmarts.operators.histogram import counted_quantiles, counted_values
 from bondmarts.storage import store
 
 
@@ -58,41 +59,10 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, nulls ignored: one row per group and metric.
 
-    Columns: by, metric, n_rows, n, min, max, mean and one per entry of probs. `key` identifies a row; its
-    hash separates equal values, so that a very frequent value is sorted by several tasks too.
+    Columns: by, metric, n_rows, n, min, max, mean and one per entry of probs. Equal values are counted, not ranked
+    one by one, so rows need not be told apart: `key`, which names a row, is not read.
     """
-    by = list(by)
-    pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
-    long = df.select(*by, F.xxhash64(key).alias("_salt"), F.explode(F.array(*pairs)).alias("m")).select(
-        *by, "_salt", "m.metric", "m.value"
-    )
-    ranked = numbered(
-        long,
-        [F.col("value").asc_nulls_last(), F.col("_salt")],
-        by=[*by, "metric"],
-        name="_rank",
-        totals={"_n": F.count("value")},
-        order_only=["_salt"],
-    )
-    spot = {p: (F.col("_n") - 1) * F.lit(float(q)) for p, q in probs.items()}
-    stats = ranked.groupBy(*by, "metric").agg(
-        F.count("*").alias("n_rows"),
-        F.count("value").alias("n"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        *[F.max(F.when(F.col("_rank") == F.floor(s) + 1, F.col("value"))).alias(f"_lo_{p}") for p, s in spot.items()],
-        *[F.max(F.when(F.col("_rank") == F.ceil(s) + 1, F.col("value"))).alias(f"_hi_{p}") for p, s in spot.items()],
-    )
-    at = {p: (F.col("n") - 1) * F.lit(float(q)) for p, q in probs.items()}
-    return stats.select(
-        *by,
-        "metric", "n_rows", "n", "min", "max", "mean",
-        *[
-            (F.col(f"_lo_{p}") + (s - F.floor(s)) * (F.col(f"_hi_{p}") - F.col(f"_lo_{p}"))).alias(p)
-            for p, s in at.items()
-        ],
-    )
+    return counted_quantiles(store(counted_values(df, by, metrics)), by, probs)
 
 
 def top_rows(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:

@@ -61,6 +61,10 @@ VIEW_LABELS = {
 }
 
 
+#: Benchmarks of all combinations of filters: written with the marts, for scoring and for slices, and no published view.
+CUBE = "bench_cube"
+
+
 def marts(bond: DataFrame, fiscal: DataFrame, stored: bool = True) -> dict[str, DataFrame]:
     """All tables and marts by view name. With `stored` the enriched issuers are computed once for all.
 
@@ -82,6 +86,7 @@ def marts(bond: DataFrame, fiscal: DataFrame, stored: bool = True) -> dict[str,
         "v_partner_network": partner.partner_network(bond, lists=True),
         "v_province_kpi": kpi.province_kpi(bond),
         "v_underwriter_stats": underwriter.underwriter_stats(bond, e),
+        CUBE: bench.bench_cube(e),
     }
 
 
@@ -92,8 +97,9 @@ def register_views(
 
     Returns the row counts of the bond, fiscal and issuer views as a check that they can be read.
     """
-    for name, df in marts(bond, fiscal).items():
-        labels = VIEW_LABELS[name] if labelled else {}
+    tables = marts(bond, fiscal)
+    for name in VIEW_LABELS:
+        df, labels = tables[name], VIEW_LABELS[name] if labelled else {}
         df.withColumnsRenamed({c: labels[c] for c in df.columns if c in labels}).createOrReplaceTempView(name)
     checked = ("v_bond", "v_fiscal", "v_issuer_profile") if validate else ()
     return {name: spark.table(name).count() for name in checked}

@@ -201,7 +201,7 @@ _SCORES = {
 
 
 def _scores(spark, sf):
-    return decisions.score_candidates(P.candidates(spark, sf), store(bench.bench_cube(enriched(spark, sf))))
+    return decisions.score_candidates(P.candidates(spark, sf), P.cube(spark, sf))
 
 
 @query("derived_leverage", f"SELECT candidate_id, {_LEVERAGE} AS leverage FROM candidates")

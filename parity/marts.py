@@ -345,6 +345,16 @@ def bench_cube(spark, sf):
     return bench.bench_cube(enriched(spark, sf))
 
 
+@query(
+    "bench_slice_stored",
+    f"""SELECT province, count(*) AS sample_size, {_WIDE} FROM enriched
+    WHERE rating = 'AA' AND admin_level = '地市级' AND province <> '' GROUP BY province""",
+)
+def _(spark, sf):
+    """The same filters as in bench_slice, per province and from the stored cube."""
+    return bench.cube_slice(P.cube(spark, sf), city="", admin_level="地市级", rating="AA")
+
+
 @query(
     "issuer_bench",
     """SELECT province, metric, count(*) AS n_rows, count(v) AS n, round(min(v), 2) AS min, round(quantile_cont(v, 0.25), 2) AS q1,

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bondmarts import storage
+from bondmarts.plans import serving
 from bondmarts.sources import snapshots
 from bondmarts.sources.staging import stage_bond, stage_fiscal
 
@@ -169,6 +170,11 @@ def fiscal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.fiscal(spark, warehouse(spark, sf_dir))
 
 
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmarks of all filter combinations, as stored with the marts of the snapshot."""
+    return serving.write_marts(spark, warehouse(spark, sf_dir), ACTIVE, FISCAL_YEAR)[serving.CUBE]
+
+
 def coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A coordinate per nation."""
     key = F.col("n_nationkey")

@@ -83,7 +83,7 @@ def test_a_province_that_fails_first_and_is_mended(spark, lake):
         **{view: {"江苏省"} for view in ("v_fiscal", ENRICHED, "v_issuer_profile", "v_agency_competitive_landscape", "v_city_credit_overview")},
         # The issuer has a bond in another province too, whose slice takes the new band.
         "v_underwriter_stats": {"江苏省", "山东省"},
-        **{view: set() for view in ("v_agency_market_share", "v_financial_bench", "v_partner_network", "v_province_kpi")},
+        **{view: set() for view in ("v_agency_market_share", "v_financial_bench", "v_partner_network", "v_province_kpi", serving.CUBE)},
     }
     now = written_files(store)
     assert files.items() <= now.items()

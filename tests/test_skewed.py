@@ -9,7 +9,9 @@ import pytest
 
 import parity
 from bondmarts import constants as K
+from bondmarts.operators import bench, histogram, issuers
 from bondmarts.schema import BOND, FISCAL
+from bondmarts.storage import store
 from parity import projection as P
 from parity.base import TABLES
 from parity.compare import connect, differences
@@ -25,7 +27,7 @@ SETTINGS = {
 SKIPPED = {
     "resolve_headers", "fiscal_headers", "snapshot_id", "province_from_file", "numeric_coercion", "round_half_away", "trim_unicode", "agency_alias",
     "level_suffix", "report_date_text", "scan_snapshot", "scan_fiscal", "fiscal_point", "write_fiscal", "list_snapshots", "latest_snapshot",
-    "activate_snapshot", "active_snapshot", "serve_views", "build", "build_record", "other_columns", "fiscal_checks", "derived_leverage",
+    "activate_snapshot", "active_snapshot", "serve_views", "build", "build_late_fiscal", "build_record", "other_columns", "fiscal_checks", "derived_leverage",
     "province_analysis", "competition_matrix_wide_level", "agency_short_name", "category_order", "lineage_columns",
 }
 
@@ -94,7 +96,16 @@ def settings(spark):
 def test_query(spark, given, settings, monkeypatch, name):
     monkeypatch.setattr(P, "bond", lambda spark, sf: spark.read.schema(BOND).parquet(f"{given}/bond"))
     monkeypatch.setattr(P, "fiscal", lambda spark, sf: spark.read.schema(FISCAL).parquet(f"{given}/fiscal"))
+    monkeypatch.setattr(P, "cube", lambda spark, sf: store(bench.bench_cube(issuers.enriched(P.bond(spark, sf), P.fiscal(spark, sf)))))
     sql = parity.SQL[name].replace(TABLES["bond"], f"SELECT * FROM read_parquet('{given}/bond/*.parquet')")
     sql = sql.replace(TABLES["fiscal"], f"SELECT * FROM read_parquet('{given}/fiscal/*.parquet')")
     sf_dir = "/root/testdata/sf0.001"
     assert differences(parity.QUERIES[name](spark, sf_dir), connect(sf_dir), sql) == []
+
+
+@pytest.mark.parametrize("name", ["quantiles", "financial_bench", "bench_slice", "bench_cube", "bench_slice_stored", "issuer_bench", "verdict"])
+def test_benchmarks_by_cells(spark, given, settings, monkeypatch, name):
+    """The way for groups of very many values."""
+    monkeypatch.setattr(histogram, "CUTS", 3)
+    monkeypatch.setattr(histogram.counted_quantiles, "__defaults__", (*histogram.counted_quantiles.__defaults__[:-1], 10))
+    test_query(spark, given, settings, monkeypatch, name)
