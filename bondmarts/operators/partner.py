@@ -1,12 +1,21 @@
 """Which underwriters share clients with which rating agency."""
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bondmarts import constants as K
 from bondmarts.functions.text import joined_names, trim_spaces
 from bondmarts.operators.filters import filter_eq, rated
 from bondmarts.operators.lists import exploded
-from bondmarts.operators.ranking import top_rows
+from bondmarts.operators.ranking import numbered, top_rows
+from bondmarts.storage import store
+
+#: Underwriters or agencies of one issuer that are joined in one task, and hot issuers that are told to all tasks.
+BLOCK, HOT = 2_000, 100_000
+#: Names in one text.
+PAGE = 1_000
 
 
 def scope(bond: DataFrame) -> DataFrame:
@@ -33,14 +42,63 @@ def underwriter_issuers(bond: DataFrame, drop_blank: bool = False) -> DataFrame:
     return exploded(rows, "underwriters", "underwriter", drop_blank=drop_blank).distinct()
 
 
+def _hot_issuers(rows: DataFrame) -> DataFrame:
+    """(province, issuer, parts, agency_parts) of issuers that may have more than BLOCK underwriters or agencies.
+
+    Going by the names listed in their bonds, repeats included: one sum, combined in the map tasks. There are no more such
+    issuers than BLOCK goes into the listed names; BLOCK is doubled until they are at most HOT.
+    """
+    listed = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.size(F.split(c, ","))).otherwise(0)
+    names = {"underwriters": F.sum(listed("underwriters")), "agencies": F.sum(listed("issuer_agency") + listed("bond_agency") + 1)}
+    found = rows.filter("issuer IS NOT NULL").groupBy("province", "issuer").agg(*[n.alias(c) for c, n in names.items()])
+    block, hot = BLOCK, store(found.filter(F.greatest(*names) > BLOCK))
+    while hot.filter(F.greatest(*names) > block).count() > HOT:
+        block *= 2
+    parts = [F.ceil(F.col(c) / block).alias(a) for c, a in (("underwriters", "parts"), ("agencies", "agency_parts"))]
+    return hot.filter(F.greatest(*names) > block).select("province", "issuer", *parts)
+
+
+def _clients(rows: DataFrame, with_all: bool = False) -> DataFrame:
+    """Distinct province, issuer, underwriter and agency, of underwriters and agencies that share an issuer.
+
+    Light issuers are joined plainly. The underwriters of a hot issuer are dealt into parts and so are its agencies; every pair of
+    parts is a key of its own, so the issuer's pairs, which may be most of the result, go to many tasks. Both sides
+    hold an issuer once per name, so each result row comes out once.
+    """
+    left, right, key = underwriter_issuers(rows), agency_issuers(rows, with_all), ["province", "issuer"]
+    hot = _hot_issuers(rows)
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot = F.broadcast(hot)  # at most HOT rows
+    light = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    part = lambda name, parts: F.pmod(F.xxhash64(name), F.col(parts))
+    dealt_left = left.join(hot, key).select(*key, "underwriter", part("underwriter", "parts").alias("_i"), upto("agency_parts").alias("_j"))
+    dealt_right = right.join(hot, key).select(*key, "agency", part("agency", "agency_parts").alias("_j"), upto("parts").alias("_i"))
+    heavy = dealt_left.join(dealt_right, [*key, "_i", "_j"]).drop("_i", "_j")
+    return light.unionByName(heavy)
+
+
 def shared_clients(bond: DataFrame) -> DataFrame:
-    """Distinct province, agency, underwriter and issuer served by both.
+    """Distinct province, agency, underwriter and issuer served by both."""
+    return _clients(scope(bond))
+
+
+def name_pages(pairs: DataFrame, by: Sequence[str], page: int = 0) -> DataFrame:
+    """(by, page, names): the issuers of each group in order, joined to texts of at most `page` names (PAGE if 0), pages from 1.
 
-    Both sides hold an issuer once per name, so the join emits every result row once. An issuer with very
-    many underwriters is a skewed key on that side only, which adaptive execution splits.
+    Groups of up to a page are collected. Larger ones are numbered by the counts of sorted blocks and cut, so no text, row or task
+    grows with a group. `pairs` are distinct, and should be stored.
     """
-    rows = scope(bond)
-    return underwriter_issuers(rows).join(agency_issuers(rows), ["province", "issuer"])
+    by, page = list(by), page or PAGE
+    large = store(pairs.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > page).select(*[F.col(c).alias(f"_{c}") for c in by]))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    names = joined_names("issuer").alias("names")
+    small = pairs.join(large, same, "left_anti").groupBy(*by, F.lit(1).cast("long").alias("page")).agg(names)
+    if large.isEmpty():
+        return small
+    counted = numbered(pairs.join(large, same, "left_semi"), [F.col("issuer")], by=by, name="_seq")
+    return small.unionByName(counted.groupBy(*by, F.ceil(F.col("_seq") / page).alias("page")).agg(names))
 
 
 def grade(shared: Column, main_at: int) -> Column:
@@ -56,31 +114,36 @@ def partner_network(bond: DataFrame, main_at: int = K.MAIN_PARTNER_AT, lists: bo
 
     Every issuer has a row without agency beside those of its agencies, so one join and one aggregation give
     the shared clients and, in the group without agency, all clients. The names are rows of `shared_clients` and
-    `underwriter_issuers`; with lists, as in the published view, they are also joined to one text per row, which
-    must fit into memory.
+    `underwriter_issuers`. With lists, as in the published view, they are also texts of at most PAGE names: a row has
+    page 1 of both lists, and only where an underwriter has more clients than that, further rows have the next pages.
     """
-    rows = scope(bond)
-    pairs = underwriter_issuers(rows).join(agency_issuers(rows, with_all=True), ["province", "issuer"])
-    names = [joined_names("issuer").alias("names")] if lists else []
-    clients = pairs.groupBy("province", "underwriter", "agency").agg(F.count("*").alias("n"), *names)
+    pairs = _clients(scope(bond), with_all=True)
+    if lists:
+        pairs = store(pairs)
+    clients = pairs.groupBy("province", "underwriter", "agency").agg(F.count("*").alias("n"))
     # A window over the few agencies of one underwriter.
     underwriter = W.partitionBy("province", "underwriter")
     everyone = F.col("agency").isNull()
     placed = clients.select(
         "*",
         F.max(F.when(everyone, F.col("n"))).over(underwriter).alias("total_issuers"),
-        *([F.max(F.when(everyone, F.col("names"))).over(underwriter).alias("total_list")] if lists else []),
         F.count("agency").over(underwriter).alias("_agencies"),
     ).filter("agency is not null or _agencies = 0")
     shared = F.when(everyone, F.lit(0)).otherwise(F.col("n"))
+    if lists:
+        pages = store(name_pages(pairs, ["province", "underwriter", "agency"]))
+        total = pages.filter("agency IS NULL").select("province", "underwriter", "page", F.col("names").alias("total_list"))
+        own = pages.filter("agency IS NOT NULL").withColumnRenamed("names", "shared_list")
+        placed = placed.join(total, ["province", "underwriter"]).join(own, ["province", "underwriter", "agency", "page"], "left")
     return placed.select(
         "province",
         F.coalesce("agency", F.lit(K.UNKNOWN_AGENCY)).alias("agency"),
         "underwriter", "total_issuers",
         *(["total_list"] if lists else []),
         shared.alias("shared_issuers"),
-        *([F.when(everyone, F.lit("")).otherwise(F.col("names")).alias("shared_list")] if lists else []),
+        *([F.coalesce("shared_list", F.lit("")).alias("shared_list")] if lists else []),
         grade(shared, main_at).alias("grade"),
+        *(["page"] if lists else []),
     )
 
 

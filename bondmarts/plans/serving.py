@@ -56,7 +56,7 @@ VIEW_LABELS = {
     },
     "v_partner_network": {
         "province": "省份", "agency": "评级机构", "underwriter": "主承销商", "total_issuers": "已承做主体数",
-        "total_list": "已承做主体列表", "shared_issuers": "共同客户数", "shared_list": "共同客户列表", "grade": "合作等级",
+        "total_list": "已承做主体列表", "shared_issuers": "共同客户数", "shared_list": "共同客户列表", "grade": "合作等级", "page": "页",
     },
 }
 

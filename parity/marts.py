@@ -5,6 +5,7 @@ from pyspark.sql import Window as W, functions as F
 from bondmarts import constants as K
 from bondmarts.functions.numeric import ratio
 from bondmarts.operators import agency, bench, city, issuers, kpi, partner, ranking, underwriter
+from bondmarts.storage import store
 from parity import projection as P
 from parity.base import query
 from parity.slices import NETWORK, OWN, enriched, with_fiscal
@@ -466,6 +467,20 @@ def _(spark, sf):
     return partner.underwriter_issuers(partner.scope(P.bond(spark, sf))).select("province", "underwriter", "issuer")
 
 
+@query(
+    "name_pages",
+    """SELECT province, underwriter, CAST((place - 1) // 20 + 1 AS BIGINT) AS page, string_agg(issuer, '、' ORDER BY issuer) AS names, count(*) AS n
+    FROM (SELECT *, row_number() OVER (PARTITION BY province, underwriter ORDER BY issuer) AS place FROM (SELECT DISTINCT province, underwriter, issuer FROM uw))
+    GROUP BY ALL""",
+    _NETWORK,
+)
+def _(spark, sf):
+    """All clients of each underwriter as texts of at most 20 names, in order."""
+    clients = store(partner.underwriter_issuers(partner.scope(P.bond(spark, sf))))
+    pages = partner.name_pages(clients, ["province", "underwriter"], page=20)
+    return pages.select("province", "underwriter", "page", "names", F.size(F.split("names", "、")).cast("long").alias("n"))
+
+
 @query("merged_names", "SELECT DISTINCT underwriter, issuer FROM uw JOIN ag USING (province, issuer)", _NETWORK)
 def _(spark, sf):
     """The names behind the counts of merged_clients, as rows."""

