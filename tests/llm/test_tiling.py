@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -35,7 +36,27 @@ def brute_tiles(a, b, least):
 @given(st.lists(st.integers(0, 2), max_size=22), st.lists(st.integers(0, 2), max_size=26))
 def test_tiles_are_the_greedy_ones(a, b):
     x, y = np.array(a, U), np.array(b, U)
-    assert tiling.tiles(x, tiling._grams(x), y, tiling._grams(y)) == brute_tiles(a, b, tiling.SEED)
+    want = brute_tiles(a, b, tiling.SEED)
+    assert tiling.tiles(x, tiling._grams(x), y, tiling._grams(y)) == want
+    assert tiling.tiles(x, tiling._grams(x), y, tiling._grams(y), max_pairs=0) == want
+
+
+def test_both_ways_agree_on_longer_texts():
+    rng = np.random.default_rng(3)
+    for letters in (2, 3, 8):
+        x, y = (rng.integers(0, letters, n).astype(U) for n in (300, 900))
+        one, other = (tiling.tiles(x, tiling._grams(x), y, tiling._grams(y), max_pairs=p) for p in (10**9, 0))
+        assert one == other and len(one) > 5
+
+
+def test_repeated_words_take_bounded_memory():
+    x, y = np.full(2_000, 7, U), np.full(1_000_000, 7, U)
+    a, b = tiling._grams(x), tiling._grams(y)
+    tracemalloc.start()
+    found = tiling.tiles(x, a, y, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 2_000)] and peak < 200 << 20
 
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven grey herons watch from the cold river bank at dawn"
@@ -66,11 +87,11 @@ def test_contamination(docs, benchmark, max_words):
     """The same rows with the benchmark in every task and by a join on seeds."""
     rows = tiling.contamination(docs, benchmark, max_words=max_words).collect()
     got = sorted((r.doc_id, r.item_id, r.contaminated) for r in rows if r.doc_id != 3)
-    assert got == [(1, 1, True), (2, 1, True), (4, None, False), (5, None, False), (6, None, False), (7, None, False), (8, 1, True), (8, 1, True)]
+    assert got == [(1, 1, True), (2, 1, True), (4, None, False), (5, None, False), (6, None, False), (7, 2, True), (8, 1, True), (8, 1, True)]
     part = next(r for r in rows if r.doc_id == 3)
     assert (part.item_id, part.contaminated) == (1, False) and 0.2 < part.coverage < 0.3
     kept = tiling.decontaminated(docs, benchmark, max_words=max_words)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
 
 
 def test_empty_tables(spark, docs, benchmark):
@@ -98,3 +119,15 @@ def test_long_quotations_and_changed_punctuation(spark, max_words):
     got = sorted((r.doc_id, r.item_id, r.coverage, r.contaminated) for r in tiling.contamination(docs, items, max_words=max_words).collect())
     assert got == [(1, 1, 0.15, True), (2, 1, 0.1, False), (3, 2, 1.0, True), (4, None, 0.0, False)]
     assert sorted(r.doc_id for r in tiling.decontaminated(docs, items, max_words=max_words).collect()) == [2, 4]
+
+
+@pytest.mark.parametrize("max_words", [tiling.MAX_WORDS, 1])
+def test_short_items_are_whole_sequences(spark, max_words):
+    texts = ["alpha", "alpha beta", "beta gamma delta", "one two three four", None, "", " "]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    rows = [(1, "so Alpha, beta"), (2, "gamma beta alphabeta"), (3, "x (beta) gamma, delta. beta gamma delta"), (4, "one two three"), (5, "one two three four"), (6, "")]
+    docs = store(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    found = tiling.matches(docs, items, max_words=max_words).collect()
+    got = sorted((r["_row"], r.item_id, r.coverage, [tuple(t) for t in r.tiles]) for r in found)
+    assert got == [(0, 0, 1.0, [(0, 1, 1)]), (0, 1, 1.0, [(0, 1, 2)]), (2, 2, 1.0, [(0, 1, 3)]), (4, 3, 1.0, [(0, 0, 4)])]
+    assert sorted(r.doc_id for r in tiling.decontaminated(docs, items, max_words=max_words).collect()) == [2, 4, 6]
