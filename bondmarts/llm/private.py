@@ -116,7 +116,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
             left -= 1
         while right < limit and text[right].isascii() and text[right].isalnum():
             right += 1
-        if left == start and not any(c.isalpha() for c in text[left : min(right, left + 64)]):
+        if left == start and not any(c.isalpha() for c in text[left:right]):
             right = min(_NUMBER.match(text, start).end(), limit)
             while not "0" <= text[right - 1] <= "9":
                 right -= 1
@@ -126,7 +126,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
 
 
 def _votes(text: str, start: int, end: int, fixed: bool) -> tuple[int, int]:
-    span = text[start : min(end, start + 256)]
+    span = text[start:end]
     digits = sum("0" <= c <= "9" for c in span)
     letters = sum(c.isalpha() for c in span)
     before = text[max(0, start - 40) : start]

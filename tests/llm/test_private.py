@@ -77,3 +77,12 @@ def test_spans_of_a_table(spark):
 
 def test_empty_table(spark):
     assert private.spans(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_whole_tokens_are_read():
+    """Digits and letters count wherever they are in a token, however long it is."""
+    late = "1" * 400 + "abcdefgh"
+    (start, end, votes, shape) = private.candidates(f"x {late} y", [])[0]
+    assert (start, end) == (2, 2 + len(late)) and shape & 4
+    near = private._votes("z" * 300 + "1234", 0, 304, False)
+    assert near == private._votes("z" * 20 + "1234", 0, 24, False)
