@@ -45,6 +45,11 @@ def enriched(
 ) -> DataFrame:
     """Rated issuers, nation-wide, with fiscal revenue and band of their city."""
     issuers = first_bond(rated(bond).select(*ISSUER_COLUMNS, "security_code")).drop("security_code")
+    return with_band(issuers, fiscal, keys, fiscal_year)
+
+
+def with_band(issuers: DataFrame, fiscal: DataFrame | None, keys: Sequence[str] = ("city",), fiscal_year: str | None = None) -> DataFrame:
+    """Issuers, one row each, with fiscal revenue and band of their city."""
     joined = with_city_fiscal(issuers, fiscal, keys, fiscal_year)
     return joined.select(*ISSUER_COLUMNS, "city_fiscal", fiscal_band("city_fiscal").alias("fiscal_band"))
 

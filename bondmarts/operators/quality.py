@@ -4,8 +4,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bondmarts import constants as K
+from bondmarts import constants as K, storage
 from bondmarts.functions.numeric import ratio
+from bondmarts.operators import digests
 from bondmarts.operators.lists import key_sets
 from bondmarts.storage import store
 
@@ -203,11 +204,14 @@ def platform_notes(mismatches: DataFrame, q: float = K.PLATFORM_QUANTILE) -> Dat
     return found.withColumn("note", F.concat("province", F.lit("："), F.col("platforms").cast("string"), F.lit(text)))
 
 
-def table_diff(a: DataFrame, b: DataFrame, key: str, columns, atol: float = 0.1) -> DataFrame:
+def table_diff(a: DataFrame, b: DataFrame, key: str, columns, atol: float = 0.1, buckets: int = digests.BUCKETS) -> DataFrame:
     """Column-wise comparison of two tables aligned on a key, one row per column.
 
     Only keys on both sides and pairs of two numbers are compared; keys of one side and repeated ones are counted. A column is
     within the tolerance if something was compared, no key is on one side only and none is repeated.
+
+    Only buckets of keys whose digests differ are joined, if keys have one type; of the others one side is read, and equal tables
+    start no join. Inputs that do not come straight from files are written first, as they are read more than once.
     """
 
     def numbers(df, side):
@@ -215,7 +219,16 @@ def table_diff(a: DataFrame, b: DataFrame, key: str, columns, atol: float = 0.1)
         values = [F.min(F.col(c).cast("double")).alias(f"{side}_{c}") for c in columns]
         return df.groupBy(key).agg(F.count("*").alias(f"_{side}"), *values)
 
-    both = numbers(a, "a").join(numbers(b, "b"), key, "full")
+    if a.schema[key].dataType == b.schema[key].dataType:
+        a, b = (storage.scanned(df.select(key, *[c for c in columns if c != key])) for df in (a, b))
+        apart = digests.differing(a, b, key, [F.col(c).cast("double") for c in columns], buckets)
+        inside = digests.bucket(key, buckets).isin(apart)
+        alike = numbers(a.filter(~inside), "a")
+        both = alike.select("*", F.col("_a").alias("_b"), *[F.col(f"a_{c}").alias(f"b_{c}") for c in columns])
+        if apart:
+            both = both.unionByName(numbers(a.filter(inside), "a").join(numbers(b.filter(inside), "b"), key, "full"))
+    else:
+        both = numbers(a, "a").join(numbers(b, "b"), key, "full")
     only_a, only_b = F.count_if(F.col("_b").isNull()), F.count_if(F.col("_a").isNull())
     repeated = F.count_if((F.col("_a") > 1) | (F.col("_b") > 1))
     cells = []
@@ -246,6 +259,10 @@ def row_count_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return counts.withColumn("equal", F.col("rows_a") == F.col("rows_b"))
 
 
-def key_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Distinct keys found on one side only, with the side."""
+def key_diff(a: DataFrame, b: DataFrame, key: str, buckets: int = digests.BUCKETS) -> DataFrame:
+    """Distinct keys found on one side only, with the side. Buckets that hold the same keys as often on both sides are not compared."""
+    if a.schema[key].dataType == b.schema[key].dataType:
+        a, b = (storage.scanned(df.select(key)) for df in (a, b))
+        inside = digests.bucket(key, buckets).isin(digests.differing(a, b, key, buckets=buckets))
+        a, b = a.filter(inside), b.filter(inside)
     return key_sets(a, b, key).filter(F.col(key).isNotNull() & (F.col("side") != "both"))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -45,6 +46,15 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """df itself if it comes straight from files, else a written copy: for tables that are read more than once."""
+    try:
+        df.select("_metadata.file_path")
+        return df
+    except AnalysisException:
+        return store(df)
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables that `store` wrote in this application, but for the first `keep`. Results that read them must be done."""
     paths = _stored.get(spark.sparkContext.applicationId, [])

@@ -132,6 +132,25 @@ def _(spark, sf):
     return quality.table_diff(kpi.province_kpi(bonds), kpi.province_kpi(older), "province", _KPI_COLUMNS)
 
 
+@query(
+    "snapshot_diff",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(abs(a.{c} - b.{c})) AS compared, max(abs(a.{c} - b.{c})::DOUBLE) AS max_diff,
+        arg_max(a.security_code, struct_pack(d := abs(a.{c} - b.{c}), k := a.security_code)) FILTER (WHERE abs(a.{c} - b.{c}) IS NOT NULL) AS worst_key,
+        count(*) FILTER (WHERE b.security_code IS NULL) AS only_a, count(*) FILTER (WHERE a.security_code IS NULL) AS only_b,
+        CAST(0 AS BIGINT) AS repeated, max(abs(a.{c} - b.{c})) <= 0.1 AND count(a.security_code) = count(*) AND count(b.security_code) = count(*) AS within
+    FROM bond a FULL JOIN (SELECT security_code, CASE WHEN report_date >= '1998-01-01' THEN issue_amount + 1 ELSE issue_amount END AS issue_amount,
+        coupon FROM bond) b ON a.security_code = b.security_code"""
+        for c in ("issue_amount", "coupon")
+    ),
+)
+def _(spark, sf):
+    """The bonds of a snapshot against a correction of the later ones."""
+    bonds = P.bond(spark, sf)
+    amount = F.when(F.col("report_date") >= "1998-01-01", F.col("issue_amount") + 1).otherwise(F.col("issue_amount"))
+    return quality.table_diff(bonds, bonds.withColumn("issue_amount", amount), "security_code", ["issue_amount", "coupon"])
+
+
 @query(
     "row_count_diff",
     """SELECT a.n AS rows_a, b.n AS rows_b, a.n = b.n AS equal FROM

@@ -9,6 +9,7 @@ from bondmarts import storage
 from bondmarts.functions import numeric, text
 from bondmarts.operators import filters, issuers
 from bondmarts.plans import build, serving
+from bondmarts.plans.issuer_store import IssuerStore
 from bondmarts.plans.mart_store import MartStore
 from bondmarts.sources import export, snapshots, staging
 from parity import projection as P
@@ -122,6 +123,16 @@ def _(spark, sf):
     )
 
 
+@query("issuers_next_snapshot", "SELECT * FROM enriched")
+def _(spark, sf):
+    """Issuers of the second snapshot, of which only buckets with other bonds than in the first are computed."""
+    root = P.warehouse(spark, sf)
+    kept = IssuerStore(spark, root, _new_folder(spark))
+    kept.write(P.EARLIER)
+    kept.write(P.ACTIVE)
+    return kept.enriched(P.ACTIVE, P.fiscal(spark, sf))
+
+
 @query(
     "active_snapshot",
     "SELECT '20000101' AS snapshot_date, '2021' AS fiscal_year, count(*) AS bonds FROM bond WHERE report_date < '2000-01-01'",

@@ -27,7 +27,7 @@ SETTINGS = {
 SKIPPED = {
     "resolve_headers", "fiscal_headers", "snapshot_id", "province_from_file", "numeric_coercion", "round_half_away", "trim_unicode", "agency_alias",
     "level_suffix", "report_date_text", "scan_snapshot", "scan_fiscal", "fiscal_point", "write_fiscal", "list_snapshots", "latest_snapshot",
-    "activate_snapshot", "active_snapshot", "serve_views", "build", "build_late_fiscal", "build_record", "other_columns", "fiscal_checks", "derived_leverage",
+    "activate_snapshot", "active_snapshot", "serve_views", "build", "build_late_fiscal", "issuers_next_snapshot", "build_record", "other_columns", "fiscal_checks", "derived_leverage",
     "province_analysis", "competition_matrix_wide_level", "agency_short_name", "category_order", "lineage_columns",
 }
 
