@@ -436,15 +436,17 @@ class _Join:
         key = ["tile", "band"]
         sizes = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.min("near").alias("near"), F.min("high").alias("none_low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
         sizes = store(sizes.filter("NOT none_low AND x <> y").select(*key, "near", "rows", F.ceil(F.col("rows") / BLOCK).alias("parts")))
-        # Tiles with the same least class mostly have the same pairs: they go to one task, or a few if they have many rows.
+        # Tiles with the same least class mostly have the same pairs: they go to one task, or a few if they have many rows, among
+        # which the blocks of a large tile are dealt, too.
         tasks = store(sizes.groupBy("near").agg(F.ceil(F.sum(F.col("rows") * F.col("parts")) / TASK).alias("tasks")))
         rows = rows.drop("near").join(sizes.drop("rows").join(tasks, "near"), key)
         part = F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")
-        task = F.xxhash64("near", F.pmod("tile", "tasks")).alias("task")
         each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-        rows = rows.select("*", part, task).select("*", each)
-        block = F.xxhash64("tile", "band", F.least("part", "other"), F.greatest("part", "other")).alias("block")
-        rows = rows.select("task", block, "n", "fp", "comp", F.col("part").cast("long").alias("side"), "high")
+        rows = rows.select("*", part).select("*", each)
+        sides = F.least("part", "other"), F.greatest("part", "other")
+        block = F.xxhash64("tile", "band", *sides).alias("block")
+        task = F.xxhash64("near", F.pmod(F.col("tile").bitwiseXOR(F.xxhash64("band", *sides)), "tasks")).alias("task")
+        rows = rows.select(task, block, "n", "fp", "comp", F.col("part").cast("long").alias("side"), "high")
         rows = rows.join(self.classes.select("fp", "signature"), "fp").repartition("task").select("block", "n", "fp", "comp", "side", "high", "signature")
         return rows.sortWithinPartitions("block", "n", "fp").mapInArrow(_by_name("block", _near), "a long, b long").distinct()
 

@@ -53,6 +53,7 @@ def test_all_links_are_found(spark, monkeypatch, block):
     """Small blocks, so that tiles and cells are cut into parts."""
     docs = corpus()
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "TASK", 4 * block)
     df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in docs], SCHEMA).repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(df).collect()}
     assert got == brute(docs)
