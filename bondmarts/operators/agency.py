@@ -7,6 +7,7 @@ from bondmarts.functions.numeric import fiscal_band, ratio, round_to
 from bondmarts.functions.text import strip_text, trim_spaces
 from bondmarts.operators.issuers import first_bond
 from bondmarts.operators.lists import exploded
+from bondmarts.storage import store
 
 
 def agency_market_share(bond: DataFrame, split: bool = False, drop_blank: bool = False) -> DataFrame:
@@ -107,14 +108,8 @@ def categories(bond_with_fiscal: DataFrame, dimension: str) -> DataFrame:
     return shown.filter("category is not null").distinct()
 
 
-def competition_matrix(
-    bond_with_fiscal: DataFrame, dimension: str, own: str | None = None, wide: bool = False
-) -> DataFrame:
-    """Issuers per province, agency and category, zeros included.
-
-    Every issuer counts once per province, for the agency and category of its representative bond. Long form:
-    province, agency, category, issuers, is_own, agency_order, category_order. Wide form: one column per category.
-    """
+def _category_counts(bond_with_fiscal: DataFrame, dimension: str) -> DataFrame:
+    """Issuers per province, agency and category that have any: an issuer counts once per province, by its representative bond."""
     issuers = first_bond(
         bond_with_fiscal.select(
             "province", "issuer", "issuer_agency", "level_rank", "security_code",
@@ -122,18 +117,33 @@ def competition_matrix(
         ),
         ("province", "issuer"),
     )
-    counts = (
+    return (
         issuers.filter("issuer_agency is not null and category is not null and category != ''")
         .groupBy("province", F.col("issuer_agency").alias("agency"), "category")
         .agg(F.count("*").alias("issuers"))
     )
-    # Agencies x categories of the same province: the zero-filled result itself, no bond rows are paired.
+
+
+def _ordered_agencies(bond_with_fiscal: DataFrame, own: str | None) -> DataFrame:
+    """Agencies of each province, the own one first, then by bonds."""
     by_size = W.partitionBy("province").orderBy(F.desc("is_own"), F.desc("issuer_bonds"), "agency")
-    agencies = (
+    return (
         agency_list(bond_with_fiscal)
         .withColumn("is_own", F.col("agency") == F.lit(own or ""))
         .withColumn("agency_order", F.row_number().over(by_size))
     )
+
+
+def competition_matrix(
+    bond_with_fiscal: DataFrame, dimension: str, own: str | None = None, wide: bool = False
+) -> DataFrame:
+    """Issuers per province, agency and category, zeros included.
+
+    Every issuer counts once per province, for the agency and category of its representative bond. Long form:
+    province, agency, category, issuers, is_own, agency_order, category_order. Wide form: one column per category.
+    """
+    counts, agencies = _category_counts(bond_with_fiscal, dimension), _ordered_agencies(bond_with_fiscal, own)
+    # Agencies x categories of the same province: the zero-filled result itself, no bond rows are paired.
     cells = agencies.join(categories(bond_with_fiscal, dimension), "province")
     matrix = cells.join(counts, ["province", "agency", "category"], "left").select(
         "province", "agency", "category",
@@ -144,6 +154,23 @@ def competition_matrix(
     return wide_matrix(matrix, dimension) if wide else matrix
 
 
+def sparse_matrix(bond_with_fiscal: DataFrame, dimension: str, own: str | None = None) -> DataFrame:
+    """The cells of `competition_matrix` that are not zero, and those of each province's first agency even if they are.
+
+    As the own agency is the first where it is listed, these cells tell leader, total, own count and agencies above of
+    every category; all other zeros follow from the lists of agencies and categories. The table grows with the
+    counted cells and the categories, not with agencies times categories.
+    """
+    agencies = store(_ordered_agencies(bond_with_fiscal, own))
+    counted = _category_counts(bond_with_fiscal, dimension).join(agencies.select("province", "agency"), ["province", "agency"], "left_semi")
+    first = agencies.filter("agency_order = 1").select("province", "agency").join(categories(bond_with_fiscal, dimension), "province")
+    cells = counted.unionByName(first.withColumn("issuers", F.lit(0).cast("long")))
+    found = cells.groupBy("province", "agency", "category").agg(F.sum("issuers").alias("issuers"))
+    return found.join(agencies, ["province", "agency"]).select(
+        "province", "agency", "category", "issuers", "is_own", "agency_order", category_order("category", dimension).alias("category_order")
+    )
+
+
 def wide_matrix(matrix: DataFrame, dimension: str) -> DataFrame:
     """One row per province and agency, one column per fixed label, and one more for all other levels.
 

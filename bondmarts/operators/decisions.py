@@ -8,7 +8,7 @@ from bondmarts.functions.text import not_blank
 
 
 def _positions(matrix: DataFrame) -> DataFrame:
-    """Own count against all others, one row per province and category."""
+    """Own count against all others, one row per province and category. The dense and the sparse matrix give the same."""
     by = W.partitionBy("province", "category")
     own = F.max(F.when(F.col("is_own"), F.col("issuers"))).over(by)
     leader = F.max_by("agency", F.struct("issuers", (-F.col("agency_order")).alias("o")))

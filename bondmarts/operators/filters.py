@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bondmarts.functions.numeric import ratio
 from bondmarts.functions.text import province_key, trim_spaces
+from bondmarts.operators.order_index import OrderIndex, write_index
 from bondmarts.operators.ranking import numbered
 
 
@@ -51,23 +52,46 @@ def strongest_first(last: str) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in ("city_fiscal", "level_rank", "rating_rank", last)]
 
 
+CASE_COLUMNS = [
+    "issuer", "city", "city_fiscal", "admin_level", "rating", "security_code", "security_name", "underwriters", "bond_class", "issue_amount", "coupon",
+]
+
+
+def _case_order() -> list[Column]:
+    return [*strongest_first("issue_amount"), F.col("security_code")]
+
+
+def _issuer_order() -> list[Column]:
+    return [*strongest_first("total_assets"), F.col("issuer")]
+
+
 def case_list(bond_with_fiscal: DataFrame, agency: str, by=("province",), **wanted) -> DataFrame:
     """Bonds of issuers rated by the agency, in listing order, numbered per `by`."""
     cases = filter_eq(bond_with_fiscal.filter(F.col("issuer_agency").contains(agency)), **wanted)
-    columns = [
-        "issuer", "city", "city_fiscal", "admin_level", "rating", "security_code", "security_name",
-        "underwriters", "bond_class", "issue_amount", "coupon",
-    ]
-    needed = [*by, *[c for c in columns if c not in by], "level_rank", "rating_rank"]
-    order = [*strongest_first("issue_amount"), F.col("security_code")]
-    listed = numbered(cases.select(*needed), order, by=by)
-    return listed.select(*by, "seq", *[c for c in columns if c not in by])
+    columns = [c for c in CASE_COLUMNS if c not in by]
+    listed = numbered(cases.select(*by, *columns, "level_rank", "rating_rank"), _case_order(), by=by)
+    return listed.select(*by, "seq", *columns)
+
+
+def case_index(bond_with_fiscal: DataFrame, path: str | None = None) -> OrderIndex:
+    """Bonds sorted once by province and listing order: the case lists of all agencies and filters, whole or by page, are read from it."""
+    columns = [*CASE_COLUMNS, "issuer_agency", "level_rank", "rating_rank"]
+    return write_index(bond_with_fiscal.select("province", *columns), _case_order(), ("province",), path)
+
+
+def is_case(agency: str, **wanted) -> Column:
+    """Condition of `case_list` on a row of its index."""
+    return F.coalesce(F.col("issuer_agency").contains(agency) & matches(**wanted), F.lit(False))
 
 
 def issuer_list(enriched: DataFrame, by=("province",), **wanted) -> DataFrame:
     """Rated issuers matching the filters, in listing order, numbered per `by`."""
-    order = [*strongest_first("total_assets"), F.col("issuer")]
-    return numbered(filter_eq(enriched, **wanted), order, by=by)
+    return numbered(filter_eq(enriched, **wanted), _issuer_order(), by=by)
+
+
+def issuer_index(issuers: DataFrame, by=("province",), path: str | None = None) -> OrderIndex:
+    """Issuers sorted once by `by` and listing order: every issuer list, whole or by page, is read from it."""
+    return write_index(issuers, _issuer_order(), by, path)
 
 
 def financial_coverage(enriched: DataFrame, by=("province",), **wanted) -> DataFrame:

@@ -180,7 +180,7 @@ _POSITIONS = """SELECT province, category, category_order, sum(issuers) AS total
 
 
 def _own_matrix(spark, sf):
-    return agency.competition_matrix(with_fiscal(spark, sf), "level", OWN)
+    return agency.sparse_matrix(with_fiscal(spark, sf), "level", OWN)
 
 
 @query(

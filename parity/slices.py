@@ -75,6 +75,52 @@ def _(spark, sf):
     return filters.issuer_list(enriched(spark, sf), admin_level="地市级", rating="")
 
 
+@query(
+    "case_lists_indexed",
+    f"""SELECT wanted, province, row_number() OVER (PARTITION BY wanted, province ORDER BY {_LISTING}, issue_amount DESC NULLS LAST, security_code) AS seq,
+        issuer, rating, security_code, issue_amount
+    FROM bond_fiscal JOIN (VALUES ('中诚信国际', ''), ('鹏元', 'AA'), ('大公国际', '')) AS w(wanted, rated) ON contains(issuer_agency, wanted)
+        AND (rated = '' OR rating = rated)""",
+)
+def _(spark, sf):
+    """Case lists of three agencies from one sort of the bonds."""
+    index = filters.case_index(with_fiscal(spark, sf))
+    columns = ["province", "seq", "issuer", "rating", "security_code", "issue_amount"]
+    lists = [
+        index.listing(filters.is_case(name, rating=rating)).select(F.lit(name).alias("wanted"), *columns)
+        for name, rating in (("中诚信国际", ""), ("鹏元", "AA"), ("大公国际", None))
+    ]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+
+
+@query(
+    "case_page",
+    f"""SELECT * FROM (SELECT province, row_number() OVER (ORDER BY {_LISTING}, issue_amount DESC NULLS LAST, security_code) AS seq,
+        issuer, city, city_fiscal, admin_level, rating, security_code, security_name, underwriters, bond_class, issue_amount, coupon
+    FROM bond_fiscal WHERE contains(issuer_agency, '中诚信国际') AND province = 'ASIA') WHERE seq BETWEEN 51 AND 150""",
+)
+def _(spark, sf):
+    """The second and third page of fifty of one agency's cases in one province."""
+    index = filters.case_index(with_fiscal(spark, sf))
+    page = index.page(51, 100, {"province": "ASIA"}, filters.is_case("中诚信国际"))
+    return page.select("province", "seq", *filters.CASE_COLUMNS)
+
+
+@query(
+    "issuer_lists_indexed",
+    f"""SELECT part, province, issuer, row_number() OVER (PARTITION BY part, province ORDER BY {_LISTING}, total_assets DESC NULLS LAST, issuer) AS seq
+    FROM enriched JOIN (VALUES ('all', ''), ('AA', 'AA')) AS w(part, wanted) ON wanted = '' OR rating = wanted
+    UNION ALL SELECT 'page', province, issuer, seq FROM (SELECT province, issuer,
+        row_number() OVER (ORDER BY {_LISTING}, total_assets DESC NULLS LAST, issuer) AS seq FROM enriched WHERE province = 'EUROPE') WHERE seq BETWEEN 11 AND 30""",
+)
+def _(spark, sf):
+    """All issuers, those of one rating and a page of one province from one sort."""
+    index = filters.issuer_index(enriched(spark, sf))
+    parts = {"all": index.listing(), "AA": index.listing(filters.matches(rating="AA")), "page": index.page(11, 20, {"province": "EUROPE"})}
+    named = [rows.select(F.lit(part).alias("part"), "province", "issuer", F.col("seq").cast("long").alias("seq")) for part, rows in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @query(
     "financial_coverage",
     """SELECT province, count(*) AS issuers, count(*) FILTER (WHERE total_assets > 0) AS with_financials,

@@ -149,15 +149,21 @@ def _(spark, sf):
 
 @query(
     "lineage_columns",
-    "SELECT issuer, security_code, _snapshot_date AS snapshot_date, _snapshot_source AS snapshot_source FROM bond",
+    """SELECT _snapshot_date AS snapshot_date, _snapshot_source AS snapshot_source, province, count(*) AS bonds, round(sum(issue_amount), 2) AS amount
+    FROM (SELECT * FROM bond UNION ALL SELECT * REPLACE ('20000101' AS _snapshot_date, replace(_snapshot_source, '20230216', '20000101') AS _snapshot_source)
+        FROM bond WHERE report_date < '2000-01-01') GROUP BY ALL""",
 )
 def _(spark, sf):
-    bonds = staging.drop_lineage(P.bond(spark, sf))
-    again = staging.add_bond_lineage(bonds, P.ACTIVE, P.SOURCE)
-    return again.select(
-        "issuer", "security_code", F.col("_snapshot_date").alias("snapshot_date"),
-        F.col("_snapshot_source").alias("snapshot_source"),
-    )
+    """Date and file that the rows of two snapshots, built from their raw files, carry back from the lake."""
+    root, files = _new_folder(spark), P.raw_files(spark, sf)
+    for source in storage.list_names(spark, f"{files}/bond"):
+        raw = spark.read.parquet(f"{files}/bond/{source}").withColumn("_file", staging.source_label())
+        staged = staging.stage_bond(raw, staging.snapshot_date_of(F.col("_file")), F.col("_file"))
+        snapshots.build_snapshot(staged, root, staged.select("_snapshot_date").first()[0])
+    read = [snapshots.bond(spark, root, date) for date in snapshots.list_snapshots(spark, root)]
+    return read[0].unionByName(read[1]).groupBy(
+        F.col("_snapshot_date").alias("snapshot_date"), F.col("_snapshot_source").alias("snapshot_source"), "province"
+    ).agg(F.count("*").alias("bonds"), numeric.round_to(F.sum("issue_amount"), 2).alias("amount"))
 
 
 @query(
@@ -361,10 +367,19 @@ def _(spark, sf):
 
 @query(
     "trim_unicode",
-    "SELECT l_returnflag AS flag, count(*) AS items, max(trim(chr(12288) || ' ' || l_shipmode || chr(9) || chr(160))) AS text FROM (SELECT l_returnflag, l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1",
+    """SELECT l_orderkey, l_linenumber, trim(padded) AS text, length(trim(padded)) AS n_chars FROM (SELECT l_orderkey, l_linenumber,
+        repeat(chr(12288), l_linenumber % 3) || repeat(chr(160), l_suppkey % 4) || repeat(' ', l_partkey % 2) || l_returnflag || repeat(' ', l_linenumber % 2)
+            || repeat(chr(8195), l_suppkey % 3) || l_linestatus || repeat(chr(9), l_linenumber % 2) || repeat(' ', l_suppkey % 5) || repeat(chr(12288), l_partkey % 3) AS padded FROM lineitem)""",
 )
 def _(spark, sf):
-    padded = F.concat(F.lit("　 "), "l_linestatus", F.lit("\t "))
-    return P.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(
-        F.count("*").alias("items"), F.max(text.trim_spaces(padded)).alias("text")
+    """Spaces of several kinds around a text, as many as the row's numbers say; those within stay, and so do tabs."""
+
+    def pad(space: str, column: str, kinds: int):
+        return F.repeat(F.lit(space), (F.col(column) % kinds).cast("int"))
+
+    padded = F.concat(
+        pad("\u3000", "l_linenumber", 3), pad("\u00a0", "l_suppkey", 4), pad(" ", "l_partkey", 2), "l_returnflag", pad(" ", "l_linenumber", 2),
+        pad("\u2003", "l_suppkey", 3), "l_linestatus", pad("\t", "l_linenumber", 2), pad(" ", "l_suppkey", 5), pad("\u3000", "l_partkey", 3),
     )
+    rows = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.trim_spaces(padded).alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -104,6 +104,20 @@ def test_rank_and_position_in_category(matrix_bonds):
     assert {(r.own_issuers, r.own_rank) for r in none.collect()} == {(0, None)}
 
 
+@pytest.mark.parametrize("dimension", ["fiscal", "level", "rating", "city"])
+@pytest.mark.parametrize("own", ["x", "w", "absent", None])
+def test_sparse_matrix_gives_the_positions_of_the_dense_one(matrix_bonds, bonds, dimension, own):
+    more = bonds(
+        bond("n1", province="Q", issuer_agency="x", city=None), bond("n2", province="Q", issuer_agency=" y "), bond("n3", province="R", issuer_agency=None),
+        bond("n4", province=None, issuer_agency="x"), bond("n5", province="Q", issuer_agency="", rating=None), bond("n6", province="S", issuer_agency="w", admin_level=""),
+    ).withColumn("city_fiscal", F.lit(50.0))
+    df = matrix_bonds.unionByName(more)
+    dense, sparse = agency.competition_matrix(df, dimension, own), agency.sparse_matrix(df, dimension, own)
+    assert rows(sparse) == rows(dense.filter("issuers > 0 or agency_order = 1"), *sparse.columns)
+    assert rows(decisions.rank_in_category(sparse)) == rows(decisions.rank_in_category(dense))
+    assert rows(decisions.classify_positions(sparse)) == rows(decisions.classify_positions(dense))
+
+
 def test_weak_needs_two_agencies_above(spark, bonds):
     names = ["x"] * 1 + ["y"] * 2 + ["z"] * 3
     df = bonds(*[bond(f"i{n}", issuer_agency=a) for n, a in enumerate(names)]).withColumn("city_fiscal", F.lit(1.0))
