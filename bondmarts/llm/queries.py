@@ -141,9 +141,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_sql() -> str:
-    """Every term as a pattern with a boundary on both sides, over the host and path split by pattern."""
-    text = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    hit = lambda term: f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}]){term}([^\\p{{L}}\\p{{N}}]|$)')"
+    """Every group of terms as a pattern with a boundary on both sides, over the decoded URL; host and path split by pattern."""
+    text = "translate(url_decode(coalesce(url, '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    hit = lambda group: f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])({'|'.join(group)})([^\\p{{L}}\\p{{N}}]|$)')"
     strict = " OR ".join(hit(t) for t in urls.STRICT)
     soft = " + ".join(f"CAST({hit(t)} AS INTEGER)" for t in urls.SOFT)
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)

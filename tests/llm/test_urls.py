@@ -39,6 +39,34 @@ def test_boundaries_and_distinct_soft_terms():
     assert vocabulary.count("ébad badé") == (0, 0)
 
 
+def test_forms_of_one_word_are_one_hit_and_escapes_are_read(spark):
+    found = {
+        "https://shop.net/deals/deal-12": "allow", "https://shop.net/deals/cheap": "block", "http://x.net/c%61sino": "block", "http://x.net/%43ASINO": "block",
+        "http://x.net/a%20casino%2Fb": "block", "http://x.net/%zzcasino": "allow", "http://x.net/%ff-casino": "block", "http://x.net/c%2561sino": "allow",
+        "http://ads.adserver.net/ad": "allow", "http://ads.tracker.net/": "block", "http://x.net/%E4%BD%A0%E5%A5%BD": "allow", "http://x.net/%": "allow",
+    }
+    assert [r.verdict for r in urls.judged(frame(spark, found)).orderBy("page_id").collect()] == list(found.values())
+
+
+def test_host_and_path_are_not_decoded(spark):
+    row = urls.judged(frame(spark, ["http://x%2Ecom/%64e/"])).first()
+    assert (row.host, row.path, row.rule) == ("x%2ecom", "/%64e/", None)
+
+
+def test_vocabulary_from_a_table(spark):
+    table = spark.createDataFrame(
+        [("Rouge", "red", False, 1), ("red", "red", False, 1), ("blue", None, None, 1), ("bad", None, True, 1), (None, "x", True, 1), ("bad", None, True, 1), ("", None, True, 1)],
+        "term string, word string, strict boolean, verdict int",
+    )
+    vocabulary = urls.Vocabulary.from_table(table)
+    assert [vocabulary.count(u) for u in ("red rouge", "red/blue", "BAD", "casino")] == [(0, 1), (0, 2), (1, 0), (0, 0)]
+    pages = frame(spark, ["http://h/red-rouge", "http://h/red-blue", "http://h/casino"])
+    assert [r.verdict for r in urls.judged(pages, vocabulary=vocabulary).orderBy("page_id").collect()] == ["allow", "block", "allow"]
+    with pytest.raises(ValueError):
+        urls.Vocabulary.from_table(table, limit=2)
+    assert urls.Vocabulary.from_table(table.limit(0)).count("casino free cheap") == (0, 0)
+
+
 def test_empty_table_and_long_url(spark):
     assert urls.judged(frame(spark, [])).count() == 0
     assert urls.judged(frame(spark, ["http://x.net/" + "a/" * 200_000 + "casino"])).first().verdict == "block"
