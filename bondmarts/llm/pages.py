@@ -58,6 +58,8 @@ _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SPACE = re.compile(r"\s+")
 _ENDS = {n: re.compile(r"</head\s*>|(?=<body[\s>])" if n == "head" else rf"</{n}\s*>", re.I) for n in RAW}
 
+# Boilerplate as a feature: none, the header of an article, a cue that may be about an article, a sure one.
+_NEARNESS = {0: 0.0, 0.5: 0.6, 1: 0.8, 2: 1.0}
 FEATURES = ["words", "links", "boiler", "article", "before_words", "before_links", "after_words", "after_links", "heading", "in_list"]
 _NUMBERS = ["words", "links", "boiler", "article", "heading", "in_list"]
 _BLOCK = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in _NUMBERS]]))
@@ -122,7 +124,7 @@ def all_blocks(html: str) -> list[dict]:
     found: list[dict] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, int, int, bool, int]] = []  # (element, boilerplate, article, hidden, articles within the boilerplate), each including what is around it
+    stack: list[tuple[str, float, int, bool, int]] = []  # (element, boilerplate, article, hidden, articles within the boilerplate), each including what is around it
     open_links = 0
 
     def end_block():
@@ -132,7 +134,7 @@ def all_blocks(html: str) -> list[dict]:
                 words = len(text.split(" "))
                 linked = len(" ".join(link_parts).split())
                 boiler, article, within = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (0, 0, 0)
-                nearness = 1 / (1 + within) if boiler else 0.0
+                nearness = _NEARNESS[boiler] / (1 + within)
                 names = {s[0] for s in stack}
                 heading = any(n in names for n in ("h1", "h2", "h3", "h4", "h5", "h6"))
                 found.append(
@@ -184,6 +186,8 @@ def all_blocks(html: str) -> list[dict]:
                 open_links -= stack.pop()[0] == "a"
         boiler, article, hidden, own = _cue(name, m[3])
         above = stack[-1] if stack else ("", 0, 0, False, 0)
+        if name == "header" and above[2] and not above[1]:
+            boiler = 0.5  # the header of an article, not of the page: it holds the title
         # An article within a navigation, a sidebar and the like is boilerplate, and boilerplate within an article is, too; but
         # an article within a form or a wrapper of such a name is as far from it as there are articles in between.
         if above[1] == 2 or not boiler:
@@ -212,7 +216,7 @@ def features(page_blocks: list[dict]) -> list[list[float]]:
     return rows
 
 
-def train(spark: SparkSession, pages=PAGES, depth: int = 4):
+def train(spark: SparkSession, pages=PAGES, depth: int = 14):
     """Decision tree of the labelled pages; a page is (html, labels of its blocks in order)."""
     rows = []
     for html, labels in pages:
