@@ -77,96 +77,3 @@ PAGES = [
         [1, 1, 0],
     ),
 ]
-
-# Pages without telling names: what a block is follows from its length and links and from those of the blocks around it.
-_COOKIE = "We use cookies. Accept all."
-_RIGHTS = "Copyright 2020 All rights reserved"
-_REPLY = "Leave a reply: your name, your mail, your text."
-_LETTER = "Subscribe to our weekly letter"
-_SHARE = "Share this with your friends"
-_LOGIN = "Log in or register to read on"
-_THIRD = "The keeper had warned of it in spring, but his letter lay unopened in a drawer of the town hall until the fish began to die."
-_FOURTH = "By autumn the rain came back, the boats were floated again, and the price of eels fell to what it had been ten years before."
-
-
-def _plain(before: list[str], inside: list[tuple[str, str]], after: list[str], wrapper: str = "div") -> tuple[str, list[int]]:
-    """A page whose article and boilerplate lie in elements that have no name or all the same one."""
-    name = wrapper.split(" ")[0]
-    html = [f"<div>{text}</div>" for text in before] + [f"<{wrapper}>"] + [f"<{tag}>{text}</{tag}>" for tag, text in inside] + [f"</{name}>"] + [f"<div>{text}</div>" for text in after]
-    return "<body>" + "".join(html) + "</body>", [0] * len(before) + [1] * len(inside) + [0] * len(after)
-
-
-PAGES += [
-    _plain([_COOKIE], [("h1", "Low water"), ("p", _LONG), ("p", _SHORT), ("p", _MORE)], [_SHARE, _REPLY, _RIGHTS]),
-    _plain([_LOGIN, _COOKIE], [("h1", "The keeper"), ("p", _THIRD), ("p", "He wept."), ("p", _FOURTH), ("p", _LONG)], [_LETTER, _RIGHTS]),
-    _plain([_LETTER], [("h2", "Eels"), ("p", _FOURTH), ("p", _MORE)], [_RIGHTS]),
-    _plain([_SHARE], [("p", _LONG), ("p", "Why did nobody read it?"), ("p", _THIRD), ("p", _MORE)], [_REPLY]),
-    _plain([], [("h1", "Boats"), ("p", _MORE), ("p", "That was all."), ("p", _FOURTH)], [_COOKIE, _LOGIN, _RIGHTS]),
-    _plain([_COOKIE, _SHARE, _LETTER], [("p", _THIRD), ("p", _LONG)], [_REPLY]),
-    _plain([_RIGHTS], [("p", _FOURTH), ("p", "So the town paid."), ("p", _LONG), ("p", "Twice."), ("p", _THIRD)], [_SHARE, _LOGIN]),
-    _plain([_LOGIN], [("h1", "Low water"), ("p", _LONG), ("p", _THIRD)], [_REPLY, _COOKIE], "div class='public-notice'"),
-    _plain([_COOKIE], [("h1", "A dry year"), ("p", _MORE), ("p", "No one asked."), ("p", _THIRD)], [_LETTER, _SHARE], "div class='search-results-page'"),
-    _plain([_LETTER], [("p", _FOURTH), ("p", _SHORT), ("p", _LONG)], [_RIGHTS, _COOKIE], "div class=box"),
-    _plain([_SHARE, "<a href=1>Start</a> <a href=2>Boats</a>"], [("p", _LONG), ("p", "See <a href=8>the list</a>."), ("p", _MORE)], ["<a href=3>Next page</a>", _RIGHTS]),
-    ("<body><p>Closed today.</p></body>", [1]),
-    (f"<body><p>{_THIRD}</p></body>", [1]),
-    (f"<body><article><header><h1>Low water</h1><p>A report from the river</p></header><p>{_LONG}</p><footer>Written by the keeper.</footer></article><footer>{_RIGHTS}</footer></body>", [1, 0, 1, 0, 0]),
-]
-
-_WORDS = " ".join([_LONG, _MORE, _THIRD, _FOURTH]).split()
-_SMALL = [_COOKIE, _RIGHTS, _REPLY, _LETTER, _SHARE, _LOGIN, "Advertisement", "Print this page", "Was this of use? Yes No"]
-_STRONG = ["aside", "nav", "footer", "div class=advert", "div id=comments", "div class='related-posts'"]
-_WEAK = ["div class='public-notice'", "div class=search", "form", "div class='right-sidebar'", "div class='site-header'", "div class=legal"]
-
-
-def _words(start: int, n: int) -> str:
-    return " ".join(_WORDS[(start + i) % len(_WORDS)] for i in range(n))
-
-
-def _box(element: str, *inside: str) -> str:
-    return f"<{element}>{''.join(inside)}</{element.split(' ')[0]}>"
-
-
-def _laid_out(i: int) -> tuple[str, list[int]]:
-    """Page i of a series in which the lengths of the blocks and the names around them change from page to page."""
-    found: list[tuple[str, list[int]]] = [(_box("div", _SMALL[(i + j) % len(_SMALL)]), [0]) for j in range(i % 3)]
-    found += [(_box("li", f"<a href={j}>{_words(i + j, 1 + (i + j) % 4)}</a>"), [0]) for j in range(i % 4)]
-    # Rows of links without a list, as long as a paragraph, and texts that hold a link.
-    found += [(_box("div", " ".join(f"<a href={j}>{_words(4 * i + 3 * j, 1 + j % 3)}</a>" for j in range(1 + 5 * i % 17))), [0])] if i % 2 else []
-    # Longer texts outside the article, in elements whose names tell it, one or several together.
-    found += [(_box(_STRONG[(i + j) % len(_STRONG)], _box("p", _words(3 * i + j, 1 + (13 * i + 17 * j) % 58))), [0]) for j in range(1 + i % 3)]
-    least = 13 if i % 3 == 2 else 10  # in an element whose name is in doubt only longer ones are clear
-    article = [(_box("h1", _words(i, 1 + i % 9)), [1])] if i % 5 else []
-    article += [
-        (_box("p", _words(2 * i, least + 7 * i % 34)), [1]),
-        (_box("p", _words(5 * i, 1 + i % 8)), [1]),
-        (_box("p", f"{_words(7 * i, least + 11 * i % 47)} <a href=2>{_words(i, 1 + i % 6)}</a>"), [1]),
-        (_box("p", _words(9 * i, least + 5 * i % 24)), [1]),
-    ]
-    named = i % 3
-    if named == 1:  # An article of its own may have short texts and links anywhere, and boxes of any length in between.
-        article += [(_box("p", _words(i, 1 + i % 5)), [1]), (_box("p", f"<a href=1>{_words(i, 2 + 5 * i % 24)}</a>"), [1])]
-        article += [(_box("p", f"<a href=1>{_words(i, 2 + 5 * i % 23)}</a> {_words(2 * i, 2 + 7 * i % 29)}"), [1])]
-        article = article[i % 7 % len(article) :] + article[: i % 7 % len(article)]  # in any order
-        article.insert(3 + i % 4, (_box(_WEAK[i % len(_WEAK)], _box("p", _words(3 * i, 2 + i % 11))), [0]))
-        article.insert(2, (_box(_STRONG[i % len(_STRONG)], _box("h3", _words(i, 1 + i % 4)), _box("p", _words(4 * i, 1 + 19 * i % 50))), [0, 0]))
-    if named == 1 and i % 2:
-        article.insert(0, ("<header>" + _box("h1", _words(i + 1, 2 + i % 7)), [1]))
-        article.insert(1, (_box("p", _words(i + 2, 2 + i % 4)) + "</header>", [0]))
-    elif named == 1:  # The whole article within an element of a weak name.
-        article = [(f"<{_WEAK[i % len(_WEAK)]}><article>", []), *article, (f"</article></{_WEAK[i % len(_WEAK)].split(' ')[0]}>", [])]
-    wrapper = ["div", "article", _WEAK[i // 3 % len(_WEAK)]][named]
-    if named != 1 and i % 4 == 0:
-        article.insert(3, (_box("p", f"<a href=1>{_words(i, 1 + 3 * i % 19)}</a>"), [0]))
-    found += [(f"<{wrapper}>", []), *article, (f"</{wrapper.split(' ')[0]}>", [])]
-    found += [(_box(_WEAK[(i + 2) % len(_WEAK)], _words(6 * i, 1 + i % 12)), [0])]
-    found += [(_box("div", _SMALL[(2 * i + j) % len(_SMALL)]), [0]) for j in range(1 + i % 2)]
-    return "<body>" + "".join(html for html, _ in found) + "</body>", [y for _, labels in found for y in labels]
-
-
-PAGES += [_laid_out(i) for i in range(72)]
-# Pages of one short text, which has no other to be compared with.
-PAGES += [(f"<body><p>{_words(3 * n, n)}</p></body>", [1]) for n in range(1, 13)]
-# Articles that begin the page, with a heading or a first paragraph of any length.
-PAGES += [_plain([], [("h1", _words(n, n)), ("p", _words(2 * n, 14 + 3 * n)), ("p", _LONG)], [_SMALL[n % len(_SMALL)]]) for n in range(1, 13)]
-PAGES += [_plain([], [("p", _words(2 * n, 12 + n)), ("p", _MORE), ("p", _words(n, n))] + [("p", _LONG)], [_SMALL[n % len(_SMALL)]], ["div", "article"][n % 2]) for n in range(1, 13)]

@@ -91,29 +91,6 @@ def test_article_in_a_named_wrapper(spark):
     assert texts(spark, *gone) == [expected] * 2
 
 
-def test_the_tree_reads_words_and_neighbours(spark):
-    shares = dict(zip(pages.FEATURES, pages.train(spark).featureImportances.toArray()))
-    assert shares["words"] > 0.1 and sum(shares[f] for f in ("before_words", "before_links", "after_words", "after_links")) > 0.1
-
-
-def test_boilerplate_without_a_telling_name(spark):
-    long = "The old mill at the end of the lane has been closed for years, and its wheel no longer turns in any wind or water."
-    more = "Children used to fish from the small wooden platform behind it, until the council put up a fence and locked the only gate."
-    article = ["The mill", long, "Nobody went.", more, long]
-    inside = "<h1>{}</h1><p>{}</p><p>{}</p><p>{}</p><p>{}</p>".format(*article)
-    expected = "\n\n".join(article)
-    got = texts(
-        spark,
-        f"<div>We use cookies. Accept all.</div><div>{inside}</div><div>Leave a reply: name, mail, text.</div><div>Copyright 2020 All rights reserved</div>",
-        f"<div>{' '.join(f'<a href={i}>Page {i} of it</a>' for i in range(9))}</div><section>{inside}</section>",
-        f"<div class='public-notice'>{inside}</div>",
-        f"<article><header><h1>The mill</h1></header><p>{long}</p><p>{more}</p></article>",
-        f"<nav><p>{long}</p><p>{more}</p></nav><article>{inside}<aside><h3>More</h3><p>{more}</p></aside></article><footer><p>{long}</p></footer>",
-        f"<article><p>{long}</p><p><a href=1>Read the other report</a></p><p>{more}</p><p>Yes.</p><p>No, thanks.</p></article>",
-    )
-    assert got == [expected, expected, expected, f"The mill\n\n{long}\n\n{more}", expected, f"{long}\n\nRead the other report\n\n{more}\n\nYes.\n\nNo, thanks."]
-
-
 @pytest.mark.parametrize(
     "html, expected",
     [
