@@ -23,7 +23,7 @@ SOFT = (
 )
 SOFT_HITS = 2
 # Rules (host and its subdomains, prefix of the path, verdict).
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Terms that a vocabulary table may have: it goes to every task.
 MAX_TERMS = 100_000
 
