@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bondmarts import constants as K
+from bondmarts.constants import LIST_MARK
 from bondmarts.functions.text import joined_names, trim_spaces
 from bondmarts.operators.filters import filter_eq, rated
 from bondmarts.operators.lists import exploded
@@ -16,6 +17,8 @@ from bondmarts.storage import store
 BLOCK, HOT = 2_000, 100_000
 #: Names in one text.
 PAGE = 1_000
+#: Pairs whose names one task puts together, and the most of an underwriter that does not go by `name_pages`.
+TASK = 250_000
 
 
 def scope(bond: DataFrame) -> DataFrame:
@@ -118,30 +121,76 @@ def partner_network(bond: DataFrame, main_at: int = K.MAIN_PARTNER_AT, lists: bo
     page 1 of both lists, and only where an underwriter has more clients than that, further rows have the next pages.
     """
     pairs = _clients(scope(bond), with_all=True)
-    if lists:
-        pairs = store(pairs)
+    if not lists:
+        return _graded(_placed(pairs), main_at)
+    pairs, key = store(pairs), ["province", "underwriter"]
+    sizes = store(pairs.groupBy(*key).agg(F.count("*").alias("_pairs")))
+    heavy = F.col("_pairs") > TASK
+    light, most = sizes.agg(F.coalesce(F.sum(F.when(~heavy, F.col("_pairs"))), F.lit(0)), F.coalesce(F.max("_pairs"), F.lit(0))).first()
+    tasks = light // TASK + 1
+    if most <= TASK:
+        found = _listed(pairs, tasks)
+    else:
+        large = store(sizes.filter(heavy).select(*key))
+        found = _listed(pairs.join(large, key, "left_anti"), tasks).unionByName(_paged(store(pairs.join(large, key, "left_semi"))))
+    return _graded(found, main_at, lists=True)
+
+
+def _placed(pairs: DataFrame) -> DataFrame:
+    """(province, underwriter, agency, n, total_issuers) of each agency, and of no agency where an underwriter has none."""
     clients = pairs.groupBy("province", "underwriter", "agency").agg(F.count("*").alias("n"))
     # A window over the few agencies of one underwriter.
     underwriter = W.partitionBy("province", "underwriter")
-    everyone = F.col("agency").isNull()
-    placed = clients.select(
+    total = F.max(F.when(F.col("agency").isNull(), F.col("n"))).over(underwriter)
+    placed = clients.select("*", total.alias("total_issuers"), F.count("agency").over(underwriter).alias("_agencies"))
+    return placed.filter("agency is not null or _agencies = 0").drop("_agencies")
+
+
+def _listed(pairs: DataFrame, tasks: int) -> DataFrame:
+    """As `_placed`, with the pages of both lists, of underwriters of at most TASK pairs each.
+
+    The pairs are shuffled once, by underwriter: names are collected after that and not in the map tasks, which would sort and spill
+    them, and both lists of an underwriter come from the same task, so no text is joined.
+    """
+    key = ["province", "underwriter"]
+    names = pairs.repartition(tasks, *key).groupBy(*key, "agency").agg(F.sort_array(F.collect_list("issuer")).alias("_own"))
+    everyone, underwriter = F.col("agency").isNull(), W.partitionBy(*key)
+    rows = names.select(
         "*",
-        F.max(F.when(everyone, F.col("n"))).over(underwriter).alias("total_issuers"),
+        F.max(F.when(everyone, F.col("_own"))).over(underwriter).alias("_all"),
         F.count("agency").over(underwriter).alias("_agencies"),
     ).filter("agency is not null or _agencies = 0")
-    shared = F.when(everyone, F.lit(0)).otherwise(F.col("n"))
-    if lists:
-        pages = store(name_pages(pairs, ["province", "underwriter", "agency"]))
-        total = pages.filter("agency IS NULL").select("province", "underwriter", "page", F.col("names").alias("total_list"))
-        own = pages.filter("agency IS NOT NULL").withColumnRenamed("names", "shared_list")
-        placed = placed.join(total, ["province", "underwriter"]).join(own, ["province", "underwriter", "agency", "page"], "left")
+    pages = F.sequence(F.lit(1), F.ceil(F.size("_all") / PAGE).cast("int"))
+    text = lambda c: F.array_join(F.slice(c, (F.col("page") - 1) * PAGE + 1, PAGE), LIST_MARK)
+    return rows.select("*", F.explode(pages).alias("page")).select(
+        *key, "agency",
+        F.size("_own").cast("long").alias("n"),
+        F.size("_all").cast("long").alias("total_issuers"),
+        text("_all").alias("total_list"),
+        F.when(everyone, "").otherwise(text("_own")).alias("shared_list"),
+        F.col("page").cast("long").alias("page"),
+    )
+
+
+def _paged(pairs: DataFrame) -> DataFrame:
+    """As `_listed`, of underwriters of any size."""
+    key = ["province", "underwriter"]
+    pages = store(name_pages(pairs, [*key, "agency"]))
+    total = pages.filter("agency IS NULL").select(*key, "page", F.col("names").alias("total_list"))
+    own = pages.filter("agency IS NOT NULL").withColumnRenamed("names", "shared_list")
+    found = _placed(pairs).join(total, key).join(own, [*key, "agency", "page"], "left")
+    return found.withColumn("shared_list", F.coalesce("shared_list", F.lit("")))
+
+
+def _graded(placed: DataFrame, main_at: int, lists: bool = False) -> DataFrame:
+    shared = F.when(F.col("agency").isNull(), F.lit(0)).otherwise(F.col("n"))
     return placed.select(
         "province",
         F.coalesce("agency", F.lit(K.UNKNOWN_AGENCY)).alias("agency"),
         "underwriter", "total_issuers",
         *(["total_list"] if lists else []),
         shared.alias("shared_issuers"),
-        *([F.coalesce("shared_list", F.lit("")).alias("shared_list")] if lists else []),
+        *(["shared_list"] if lists else []),
         grade(shared, main_at).alias("grade"),
         *(["page"] if lists else []),
     )

@@ -40,9 +40,10 @@ def _stats(cells: DataFrame, by) -> DataFrame:
 
 def underwriter_slices(bond: DataFrame, e: DataFrame, drop_blank: bool = False) -> DataFrame:
     """Unranked statistics per province, city, level, rating, fiscal band and underwriter."""
-    by = ["province", "city", "admin_level", "rating"]
-    cells = with_band(underwriter_cells(bond, by, drop_blank), e)
-    found = _stats(cells, [*by, "fiscal_band"])
+    by = ["province", "city", "admin_level", "rating", "fiscal_band"]
+    # The band comes to the bonds, which are several times fewer than the cells of their underwriters.
+    listed = bond.filter("underwriters is not null and underwriters != ''")
+    found = _stats(underwriter_cells(with_band(listed, e), by, drop_blank), by)
     return found.withColumn("province", F.coalesce("province", F.lit(K.UNKNOWN_PROVINCE)))
 
 

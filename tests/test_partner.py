@@ -103,6 +103,20 @@ def test_large_lists_are_pages_of_bounded_size(spark, bonds, monkeypatch):
     assert rows(first) == rows(partner.partner_network(df).select(*first.columns))
 
 
+def test_lists_of_an_underwriter_come_from_one_shuffle_without_joins(spark, bonds, monkeypatch):
+    df = bonds(*[bond(f"i{i:02d}", "U,V" if i % 2 else "U", issuer_agency="x" if i % 3 else "y") for i in range(30)], bond("独", "W"))
+    got = partner.partner_network(df, lists=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    # Underwriters of more pairs than TASK go by pages of a numbered table: the same rows.
+    monkeypatch.setattr(partner, "PAGE", 7)
+    paged = rows(partner.partner_network(df, lists=True))
+    for most in (1, 20, 50):
+        monkeypatch.setattr(partner, "TASK", most)
+        assert rows(partner.partner_network(df, lists=True)) == paged
+    assert partner.partner_network(df.limit(0), lists=True).count() == 0
+
+
 def test_hot_issuers_give_each_pair_once(spark, bonds, monkeypatch):
     """An issuer of many underwriters and agencies, dealt into parts, beside light ones and one without name."""
     agencies, names = ",".join(f"a{i}" for i in range(7)), ",".join(f"U{i}" for i in range(25))
