@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 import parity
 from bondmarts.operators import issuers, kpi, underwriter
@@ -50,6 +51,21 @@ def test_underwriters_are_summed_before_any_shuffle(spark):
     assert cells.count("Exchange") == 1 and "partial_count" in cells
 
 
+def test_bands_join_bonds_and_not_their_underwriters(spark):
+    text = plan(underwriter.underwriter_slices(P.bond(spark, SF_DIR), issuers.enriched(P.bond(spark, SF_DIR), None)))
+    assert text.index("Generate explode(split(underwriters") < text.index("Join")
+
+
+def test_raw_bonds_are_projected_once(spark, tmp_path, monkeypatch):
+    """The older raw file is a part of the newer one as written; the tables are not joined again for it."""
+    raw = spark.range(20).select(F.expr("uuid()").alias("证券代码"), F.expr("date_add(date'1999-12-25', cast(id as int))").alias("财务最新报告期"))
+    monkeypatch.setattr(P, "raw_bond", lambda *_: raw)
+    monkeypatch.setattr(P, "raw_fiscal", lambda *_: spark.createDataFrame([("c", "1", "P")], "`地区名称` string, `2021年一般公共预算收入` string, `省份` string"))
+    folder = P.raw_files(spark, str(tmp_path))
+    codes = [{r[0] for r in spark.read.parquet(f"{folder}/bond/{P.SOURCE.replace(P.ACTIVE, d)}").select("证券代码").collect()} for d in (P.ACTIVE, P.EARLIER)]
+    assert len(codes[0]) == 20 and len(codes[1]) == 7 and codes[1] <= codes[0]
+
+
 def test_large_fiscal_side_is_not_broadcast(spark):
     """Without a hint, a side above the limit is sort-merged."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
