@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window as W, functions as F
 
+from bondmarts import storage
 from bondmarts.operators import agency, city, filters, issuers, lists, partner, ranking, underwriter
 from bondmarts.sources import snapshots
 from parity import projection as P
@@ -171,7 +172,7 @@ def _(spark, sf):
      FROM enriched GROUP BY province, city, city_fiscal) r ON d.province = r.province AND d.city = r.city""",
 )
 def _(spark, sf):
-    cells = city.rating_levels(enriched(spark, sf))
+    cells = storage.store(city.rating_levels(enriched(spark, sf)))
     return city.rating_totals(cells).join(city.city_ranks(cells), ["province", "city"])
 
 

@@ -56,6 +56,10 @@ def test_bands_join_bonds_and_not_their_underwriters(spark):
     assert text.index("Generate explode(split(underwriters") < text.index("Join")
 
 
+def test_city_cells_are_counted_once(spark):
+    assert "WindowGroupLimit" not in plan(parity.QUERIES["city_rank_join"](spark, SF_DIR))
+
+
 def test_raw_bonds_are_projected_once(spark, tmp_path, monkeypatch):
     """The older raw file is a part of the newer one as written; the tables are not joined again for it."""
     raw = spark.range(20).select(F.expr("uuid()").alias("证券代码"), F.expr("date_add(date'1999-12-25', cast(id as int))").alias("财务最新报告期"))
