@@ -20,9 +20,9 @@ def _rounded(found: DataFrame, by: Sequence[str]) -> DataFrame:
     return found.select(*by, "metric", "n_rows", "n", *[round_to(s, 2).alias(s) for s in STATS])
 
 
-def bench_rows(e: DataFrame, by: Sequence[str], metrics: Sequence[str] = K.METRICS) -> DataFrame:
+def bench_rows(e: DataFrame, by: Sequence[str], metrics: Sequence[str] = K.METRICS, stored: bool = True) -> DataFrame:
     """Long form: one row per group and metric with n_rows, n and the six rounded statistics."""
-    return _rounded(quantiles(e, by, metrics, "issuer", _PROBS), by)
+    return _rounded(quantiles(e, by, metrics, "issuer", _PROBS, stored), by)
 
 
 def wide_bench(rows: DataFrame, by: Sequence[str], metrics: Sequence[str] = K.METRICS) -> DataFrame:
@@ -45,10 +45,13 @@ def _benchmarked(e: DataFrame) -> DataFrame:
     return rated(e).filter("province is not null and province != ''")
 
 
-def financial_bench(e: DataFrame) -> DataFrame:
-    """Statistics per province, city, level and rating. Groups are the raw values, labels are cleaned after."""
+def financial_bench(e: DataFrame, stored: bool = True) -> DataFrame:
+    """Statistics per province, city, level and rating. Groups are the raw values, labels are cleaned after.
+
+    Without `stored` a plan that runs only when queried.
+    """
     by = ["province", "city", "admin_level", "rating"]
-    wide = wide_bench(bench_rows(_benchmarked(e), by), by)
+    wide = wide_bench(bench_rows(_benchmarked(e), by, stored=stored), by)
     return wide.withColumns({c: _label(c, unknown) for c, unknown in _LABELS.items()})
 
 

@@ -80,6 +80,16 @@ def counted_quantiles(
         found = _by_value(counted, by, ranks, spread if within else None)
     else:
         found = _by_cells(counted, by, ranks, [*within, "metric"] if within else None, spread, few)
+    return _statistics(found, by, ranks)
+
+
+def planned_quantiles(counted: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """As `counted_quantiles`, but a plan that runs only when queried, and `counted` need not be stored. The values of a group are in one task."""
+    by, ranks = [*by, "metric"], _Ranks(probs)
+    return _statistics(_by_value(counted, by, ranks, None), by, ranks)
+
+
+def _statistics(found: DataFrame, by: list[str], ranks: _Ranks) -> DataFrame:
     mean = (F.col("_total") / F.nullif(F.col("n"), F.lit(0))).alias("mean")
     return found.select(*by, "n_rows", "n", "min", "max", mean, *ranks.between())
 

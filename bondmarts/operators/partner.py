@@ -112,14 +112,19 @@ def grade(shared: Column, main_at: int) -> Column:
     )
 
 
-def partner_network(bond: DataFrame, main_at: int = K.MAIN_PARTNER_AT, lists: bool = False) -> DataFrame:
+def partner_network(bond: DataFrame, main_at: int = K.MAIN_PARTNER_AT, lists: bool = False, stored: bool = True) -> DataFrame:
     """Clients of each underwriter and those shared with each agency, by province.
 
     Every issuer has a row without agency beside those of its agencies, so one join and one aggregation give
     the shared clients and, in the group without agency, all clients. The names are rows of `shared_clients` and
     `underwriter_issuers`. With lists, as in the published view, they are also texts of at most PAGE names: a row has
     page 1 of both lists, and only where an underwriter has more clients than that, further rows have the next pages.
+    Without `stored` the lists are a plan that runs only when queried.
     """
+    if lists and not stored:
+        rows = scope(bond)
+        pairs = underwriter_issuers(rows).join(agency_issuers(rows, with_all=True), ["province", "issuer"])
+        return _graded(_planned(pairs), main_at, lists=True)
     pairs = _clients(scope(bond), with_all=True)
     if not lists:
         return _graded(_placed(pairs), main_at)
@@ -172,6 +177,33 @@ def _listed(pairs: DataFrame, tasks: int) -> DataFrame:
     )
 
 
+def _planned(pairs: DataFrame) -> DataFrame:
+    """As `_listed`, of underwriters of any size, from pairs that are not stored.
+
+    The pairs are shuffled once, by underwriter, sorted and numbered; a text never holds more than a page, and a task of many pairs spills.
+    """
+    key = ["province", "underwriter"]
+    agency, underwriter = W.partitionBy(*key, "agency"), W.partitionBy(*key)
+    everyone, last = F.col("agency").isNull(), F.max("page").over(agency)
+    counted = pairs.repartition(*key).withColumn("_seq", F.row_number().over(agency.orderBy("issuer")))
+    texts = counted.groupBy(*key, "agency", F.ceil(F.col("_seq") / PAGE).alias("page")).agg(
+        joined_names("issuer").alias("_names"), F.count("*").alias("_rows")
+    )
+    total = F.max(F.when(everyone, F.col("n"))).over(underwriter)
+    pages = F.max(F.when(everyone, F.col("page"))).over(underwriter)
+    texts = texts.select("*", F.sum("_rows").over(agency).alias("n"), last.alias("_last")).select(
+        "*", total.alias("total_issuers"), pages.alias("_pages"), F.max((~everyone).cast("int")).over(underwriter).alias("_agencies")
+    )
+    # After its last own page an agency has rows without names, up to the last page of all clients.
+    ahead = F.when(F.col("page") == F.col("_last"), F.sequence("page", "_pages")).otherwise(F.array("page"))
+    rows = texts.select("*", F.posexplode(ahead).alias("_after", "_page"))
+    names = F.when(F.col("_after") == 0, F.col("_names")).otherwise("")
+    rows = rows.select(*key, "agency", "n", "total_issuers", "_agencies", names.alias("_names"), F.col("_page").alias("page"))
+    shown = F.max(F.when(everyone, F.col("_names"))).over(W.partitionBy(*key, "page"))
+    rows = rows.withColumn("total_list", shown).filter("agency is not null or _agencies = 0")
+    return rows.select(*key, "agency", "n", "total_issuers", "total_list", F.when(everyone, "").otherwise(F.col("_names")).alias("shared_list"), "page")
+
+
 def _paged(pairs: DataFrame) -> DataFrame:
     """As `_listed`, of underwriters of any size."""
     key = ["province", "underwriter"]

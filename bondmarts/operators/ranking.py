@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bondmarts.operators.histogram import counted_quantiles, counted_values
+from bondmarts.operators.histogram import counted_quantiles, counted_values, planned_quantiles
 from bondmarts.storage import store
 
 
@@ -56,13 +56,16 @@ def quantiles(
     metrics: Sequence[str],
     key: str,
     probs: dict[str, float],
+    stored: bool = True,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, nulls ignored: one row per group and metric.
 
     Columns: by, metric, n_rows, n, min, max, mean and one per entry of probs. Equal values are counted, not ranked
-    one by one, so rows need not be told apart: `key`, which names a row, is not read.
+    one by one, so rows need not be told apart: `key`, which names a row, is not read. Without `stored` nothing runs until the
+    result is queried.
     """
-    return counted_quantiles(store(counted_values(df, by, metrics)), by, probs)
+    counted = counted_values(df, by, metrics)
+    return counted_quantiles(store(counted), by, probs) if stored else planned_quantiles(counted, by, probs)
 
 
 def top_rows(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:

@@ -1,6 +1,6 @@
 """Underwriter statistics."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from bondmarts import constants as K
 from bondmarts.functions.numeric import ratio, round_to
@@ -47,10 +47,16 @@ def underwriter_slices(bond: DataFrame, e: DataFrame, drop_blank: bool = False)
     return found.withColumn("province", F.coalesce("province", F.lit(K.UNKNOWN_PROVINCE)))
 
 
-def underwriter_stats(bond: DataFrame, e: DataFrame, drop_blank: bool = False) -> DataFrame:
-    """Statistics per slice and underwriter, numbered within the slice by bonds."""
+def underwriter_stats(bond: DataFrame, e: DataFrame, drop_blank: bool = False, stored: bool = True) -> DataFrame:
+    """Statistics per slice and underwriter, numbered within the slice by bonds.
+
+    Without `stored` a plan that runs only when queried; a slice, of one row an underwriter, is then numbered in one task.
+    """
     by = ["province", "city", "admin_level", "rating", "fiscal_band"]
-    return numbered(underwriter_slices(bond, e, drop_blank), [F.desc("bonds"), F.col("underwriter")], by=by)
+    slices, order = underwriter_slices(bond, e, drop_blank), [F.desc("bonds"), F.col("underwriter")]
+    if not stored:
+        return slices.withColumn("seq", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+    return numbered(slices, order, by=by)
 
 
 def underwriter_province_totals(bond: DataFrame) -> DataFrame:

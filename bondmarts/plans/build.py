@@ -39,6 +39,7 @@ def build(spark: SparkSession, root: str, bond_folder: str, fiscal_folder: str,
         problems = snapshots.write_fiscal(snapshots.read_fiscal_files(spark, fiscal_folder, fiscal_year), root)
         kinds = problems.groupBy("problem").count().collect()  # three kinds at most
         notes += [f"fiscal: {r['problem']} ({r['count']})" for r in sorted(kinds)]
+    serving.write_marts(spark, root, date, fiscal_year)
     serving.activate(spark, root, date, fiscal_year)
     snapshots.record_build(spark, root, date, fiscal_year, notes)
     return date

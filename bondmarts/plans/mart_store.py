@@ -5,6 +5,7 @@ fiscal provinces that were complete when the marts were computed; a manifest say
 was written. When provinces join the lake, only cities whose revenue changes are looked at: the provinces that hold issuers or
 bonds of such cities are computed again, the next manifest points to the old files for all others. Files that a manifest
 points to are never changed, and a manifest counts only once it is complete, so a lost run leaves the earlier marts as they were.
+A view that was wanted by itself before has a manifest of its own, manifest_of/<view>/inputs=<key>; the marts take it over as it is.
 """
 
 import hashlib
@@ -50,9 +51,12 @@ class MartStore:
         wanted = self.spark.createDataFrame([tuple(n.split("/", 1)) for n in names], "fiscal_year string, province string")
         return rows.join(wanted, ["province", "fiscal_year"], "left_semi").select(*rows.columns)
 
-    def manifest(self, key: str) -> dict[str, T.Row] | None:
-        """One row a view; none if marts of that key are not complete."""
-        path = f"{self.path}/manifest/inputs={key}"
+    def _manifest_path(self, key: str, view: str | None) -> str:
+        return f"{self.path}/{f'manifest_of/{view}' if view else 'manifest'}/inputs={key}"
+
+    def manifest(self, key: str, view: str | None = None) -> dict[str, T.Row] | None:
+        """One row a view; none if marts of that key are not complete. With `view` the manifest of that view alone."""
+        path = self._manifest_path(key, view)
         if not storage.exists(self.spark, f"{path}/_SUCCESS"):
             return None
         return {r.view: r for r in self.spark.read.schema(_MANIFEST).parquet(path).collect()}
@@ -84,8 +88,31 @@ class MartStore:
         rows.write.mode("overwrite").partitionBy("part").parquet(path)
         return {n.partition("=")[2]: key for n in storage.list_names(self.spark, path) if n.startswith("part=")}
 
-    def _publish(self, rows: list[tuple], key: str) -> None:
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/inputs={key}")
+    def _publish(self, rows: list[tuple], key: str, view: str | None = None) -> None:
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(self._manifest_path(key, view))
+
+    def _bond(self) -> DataFrame:
+        return snapshots.bond(self.spark, self.root, self.date).drop("snapshot_date")
+
+    def written(self) -> bool:
+        """Whether the marts were ever completed, for the fiscal lake of now or an earlier one."""
+        return self._earlier(covered(self.spark, self.root, self.fiscal_year)) is not None
+
+    def computed(self, compute) -> dict[str, DataFrame]:
+        """What `compute` gives of the bonds and the fiscal lake of now; nothing is written."""
+        return compute(self._bond(), self._fiscal(covered(self.spark, self.root, self.fiscal_year)))
+
+    def write_view(self, view: str, compute) -> DataFrame:
+        """One view, written by itself unless the marts or it are complete. `compute` gives its rows of (bond, fiscal)."""
+        names = covered(self.spark, self.root, self.fiscal_year)
+        key = _key(names)
+        found = self.manifest(key) or self.manifest(key, view)
+        if found is None:
+            with storage.temporary(self.spark):
+                df = compute(self._bond(), self._fiscal(names))
+                self._publish([(view, df.schema.json(), self._write(view, df, key), names)], key, view)
+            found = self.manifest(key, view)
+        return self.table(found[view])
 
     def write(self, compute) -> str:
         """Bring the marts up to the fiscal lake of now; returns their key. `compute` gives all views of (bond, fiscal)."""
@@ -94,12 +121,14 @@ class MartStore:
         if self.manifest(key) is None:
             earlier = self._earlier(names)
             with storage.temporary(self.spark):
-                bond = snapshots.bond(self.spark, self.root, self.date).drop("snapshot_date")
                 if earlier is None:
-                    tables = {view: df for view, df in compute(bond, self._fiscal(names)).items() if view != "v_bond"}
-                    rows = [(view, df.schema.json(), self._write(view, df, key), names) for view, df in tables.items()]
+                    tables = {view: df for view, df in compute(self._bond(), self._fiscal(names)).items() if view != "v_bond"}
+                    rows = []
+                    for view, df in tables.items():
+                        own = self.manifest(key, view)
+                        rows.append(tuple(own[view]) if own else (view, df.schema.json(), self._write(view, df, key), names))
                 else:
-                    rows = self._refreshed(earlier, bond, names, key)
+                    rows = self._refreshed(earlier, self._bond(), names, key)
                 self._publish(rows, key)
         return key
 

@@ -136,6 +136,42 @@ def test_an_unfinished_refresh_changes_nothing_and_is_done_again(spark, lake, mo
     assert rows(store.tables(second)[ENRICHED].filter("issuer = '丙'"), "city_fiscal") == [(2386.6,)]
 
 
+def test_a_switch_computes_no_mart(spark, lake):
+    """Before marts are written every view is a plan with the same rows; once they are, the views read them."""
+    root, folder = lake
+    load(spark, root, folder)
+    store = MartStore(spark, root, DATE, YEAR)
+    stored = len(storage.list_names(spark, storage.shared_dir(spark)))
+    serving.activate(spark, root, DATE, YEAR, labelled=False)
+    assert not storage.exists(spark, f"{root}/marts") and not store.written()
+    assert len(storage.list_names(spark, storage.shared_dir(spark))) == stored
+    computed = full(spark, root)
+    for view in serving.VIEW_LABELS:
+        assert spark.table(view).columns == computed[view].columns and spark.table(view).dtypes == computed[view].dtypes, view
+        assert rows(spark.table(view)) == rows(computed[view]), view
+    serving.write_marts(spark, root, DATE, YEAR)
+    serving.activate(spark, root, DATE, YEAR, labelled=False)
+    for view in serving.VIEW_LABELS:
+        assert rows(spark.table(view)) == rows(computed[view]), view
+    assert store.written() and all(f"{store.path}/v_partner_network" in f for f in spark.table("v_partner_network").inputFiles())
+
+
+def test_scoring_writes_the_cube_alone(spark, lake):
+    """The marts take over a cube that was written by itself, and a cube written with the marts is not written again."""
+    root, folder = lake
+    load(spark, root, folder)
+    store = MartStore(spark, root, DATE, YEAR)
+    cube = rows(serving.write_cube(spark, root, DATE, YEAR))
+    assert cube == rows(full(spark, root)[serving.CUBE]) and not store.written()
+    assert storage.list_names(spark, store.path) == [serving.CUBE, "manifest_of"]
+    files = written_files(store)
+    key = store.write(serving.marts)
+    same_as_computed(spark, root, store, key)
+    now = written_files(store)
+    assert files.items() <= now.items() and [f for f in now if f"/{serving.CUBE}/" in f and f not in files] == []
+    assert rows(serving.write_cube(spark, root, DATE, YEAR)) == cube and written_files(store) == now
+
+
 def test_switches_at_once_have_numbers_of_their_own(spark, tmp_path):
     root, numbers = str(tmp_path), []
     threads = [threading.Thread(target=lambda i=i: numbers.append((snapshots.set_active(spark, root, f"2023010{i}", YEAR), f"2023010{i}"))) for i in range(6)]

@@ -117,6 +117,19 @@ def test_lists_of_an_underwriter_come_from_one_shuffle_without_joins(spark, bond
     assert partner.partner_network(df.limit(0), lists=True).count() == 0
 
 
+def test_planned_lists_are_the_stored_ones(spark, bonds, monkeypatch):
+    """Pages, underwriters without agency, blank names and repeated and nameless bonds: the same rows without any table written."""
+    df = bonds(
+        *[bond(f"i{i:02d}", "U,V" if i % 2 else "U", issuer_agency="x" if i % 3 else "y", bond_agency="z," if i < 4 else None) for i in range(30)],
+        bond("i01", "U, U", issuer_agency="x"), bond("独", "W"), bond("独", "W,"), bond(None, "U", issuer_agency="x"),
+    )
+    for page in (1, 7, 10, 1000):
+        monkeypatch.setattr(partner, "PAGE", page)
+        stored = partner.partner_network(df, lists=True)
+        planned = partner.partner_network(df, lists=True, stored=False)
+        assert planned.columns == stored.columns and rows(planned) == rows(stored)
+
+
 def test_hot_issuers_give_each_pair_once(spark, bonds, monkeypatch):
     """An issuer of many underwriters and agencies, dealt into parts, beside light ones and one without name."""
     agencies, names = ",".join(f"a{i}" for i in range(7)), ",".join(f"U{i}" for i in range(25))
